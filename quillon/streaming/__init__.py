@@ -1,0 +1,6 @@
+"""Streaming surface.
+
+The query family is defined over closed inputs only (a top-k by exact total has
+no useful incremental result before the input ends), so this package holds no
+operators; it exists to keep the layout explicit.
+"""
