@@ -127,3 +127,27 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
                 parts.append(np.zeros(0, dtype=np.uint64))
             bounds.append(bounds[-1] + len(parts[-1]))
     return (np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)), np.array(bounds, dtype=np.int64)
+
+
+def text_groups(texts: list[str | None], limit: int = 1_000_000) -> list[tuple[int, int]]:
+    """Runs (first, last) of texts of about ``limit`` characters together, one text at least: what is held at once stays bounded."""
+    out, first, size = [], 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > first and size + n > limit:
+            out.append((first, i))
+            first, size = i, 0
+        size += n
+    if first < len(texts):
+        out.append((first, len(texts)))
+    return out
+
+
+def binary_rows(rows: np.ndarray):
+    """A 2-D array's rows as an Arrow binary array."""
+    import pyarrow as pa
+
+    rows = np.ascontiguousarray(rows)
+    width = rows.itemsize * (rows.shape[1] if rows.ndim > 1 else 1)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows.tobytes())])

@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.llm.common import table
+from quillon.llm.neardup import near_duplicates
 from quillon.llm.packing import pack_documents
 from quillon.llm.topk_search import top_k_search
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
@@ -18,7 +23,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
-QUERIES = {"op8_topk_search": op8_topk_search, "op9_packing": op9_packing}
+QUERIES = {"op2_neardup": op2_neardup, "op8_topk_search": op8_topk_search, "op9_packing": op9_packing}
 ORACLES = {
     "op8_topk_search": """
 WITH v AS (
