@@ -8,7 +8,6 @@ first. Pieces arrive in windows, longest first, so that short ones fill gaps.
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm.tokens import byte_bpe
 
-SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
 
 class BestFit:
@@ -67,7 +66,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, max_open: int = 65536, window: int = 65536, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, max_open: int = 65536, window: int = 16384, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """A row for each piece of each document: where its tokens lie in which sequence.
 
@@ -75,7 +74,7 @@ def pack_documents(
     text is the end alone. Only documents longer than ``capacity`` are cut.
     Sequence ids are unique over the table, offsets gapless from 0. A null id
     is kept as null; repeated rows are packed each on its own; an empty table
-    gives no rows. ``with_ids`` adds the ids themselves (array of int).
+    gives no rows. ``ids`` are little-endian unsigned 32-bit integers.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,24 +85,20 @@ def pack_documents(
         def flush() -> pa.RecordBatch:
             pending.sort(key=lambda p: -p[3])
             placed = [fit.place(p[3]) for p in pending]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             arrays = [pa.array([p[i] for p in pending], kind) for i, kind in enumerate(kinds)]
             arrays += [pa.array([p[i] for p in placed], pa.int64()) for i in (0, 1)]
-            if with_ids:
-                arrays.append(pa.array([p[5] for p in pending], pa.list_(pa.int32())))
             pending.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids)
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
-                    own = ids[start : start + length]
-                    pending.append((doc_id, piece, start, length, zlib.crc32(own.tobytes()), own.astype(np.int32) if with_ids else None))
+                    pending.append((doc_id, piece, start, length, ids[start : start + length].tobytes()))
                 if len(pending) >= window:
                     yield flush()
         if pending:
             yield flush()
 
-    schema = SCHEMA + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pack, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pack, SCHEMA)

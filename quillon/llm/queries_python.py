@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillon.llm.bpe import encode_documents
 from quillon.llm.common import table
 from quillon.llm.neardup import near_duplicates
 from quillon.llm.packing import pack_documents
@@ -20,10 +21,16 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
-QUERIES = {"op2_neardup": op2_neardup, "op8_topk_search": op8_topk_search, "op9_packing": op9_packing}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op2_neardup": op2_neardup, "op10_bpe": op10_bpe, "op8_topk_search": op8_topk_search, "op9_packing": op9_packing}
 ORACLES = {
     "op8_topk_search": """
 WITH v AS (

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 #: The word pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters on whose class all Unicode versions and regular expression engines agree.
-_PLAIN = re.compile("[^\t\n\r -~\xa1-ɏ]")
+_PLAIN = re.compile("[^\t\n\r -~\xa1-ſ]")
 
 
 def byte_symbols() -> dict[str, int]:
