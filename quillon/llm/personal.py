@@ -2,8 +2,8 @@
 
 Base spans (e-mail, IP, payment card, phone) are the seeds. Every
 identifier-like token (a seed, or a token with digits) is an instance; its
-surroundings induce lexical patterns: the two words before it, the word before
-it with its shape, and the words on both sides. Patterns and instances form a
+surroundings induce lexical patterns: the word before it, the two words before
+it, the word before it with its shape, and the words on both sides. Patterns and instances form a
 bipartite graph, which Spark scores in rounds: a pattern's confidence is the
 mean score of its instances, an instance's score the confidence of its best
 accepted pattern. Instances that end above the threshold are identifiers that
@@ -155,6 +155,8 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, in
         two, _ = _word_before(text, before)
         token = text[start:end]
         patterns = {_key("left", _form(two), _form(one)), _key("shape", _form(one), _shape(token)), _key("around", _form(one), _form(_word_after(text, end)))}
+        if _form(one):
+            patterns.add(_key("before", _form(one)))
         out.append((start, end, _key("instance", token), seed, sorted(patterns)))
     return out
 

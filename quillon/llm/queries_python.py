@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quillon.llm.bpe import encode_documents
 from quillon.llm.common import table
 from quillon.llm.langid import identify_languages
+from quillon.llm.lm import score_documents
 from quillon.llm.neardup import near_duplicates
 from quillon.llm.packing import pack_documents
 from quillon.llm.personal import KINDS, find_personal_data, spans_text
@@ -32,6 +33,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -42,7 +47,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_neardup": op2_neardup, "op6_personal": op6_personal, "op7_langid": op7_langid, "op10_bpe": op10_bpe, "op8_topk_search": op8_topk_search, "op9_packing": op9_packing}
+QUERIES = {"op2_neardup": op2_neardup, "op5_lm": op5_lm, "op6_personal": op6_personal, "op7_langid": op7_langid, "op10_bpe": op10_bpe, "op8_topk_search": op8_topk_search, "op9_packing": op9_packing}
 ORACLES = {
     "op8_topk_search": """
 WITH v AS (
