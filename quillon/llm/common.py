@@ -151,3 +151,16 @@ def binary_rows(rows: np.ndarray):
     width = rows.itemsize * (rows.shape[1] if rows.ndim > 1 else 1)
     offsets = np.arange(len(rows) + 1, dtype=np.int32) * width
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to a new folder under the shared one, and read again."""
+    import uuid
+
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

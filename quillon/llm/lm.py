@@ -40,7 +40,7 @@ STRIP = 1 << 15
 LAGS = 48
 KEPT = 1_000_000
 #: Byte-pair features, leading components, classes of texts, and the words of all classes lent to each.
-PAIRS, AXES = 128, 3
+PAIRS, AXES = 128, 4
 CLASSES, LENT = 1 << AXES, 200.0
 _SPACE = np.uint8(32)
 
@@ -53,6 +53,19 @@ def _unzip(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned 32- or 64-bit numbers, byte by byte over all of them (equal bytes lie together), compressed."""
+    wide = bool(x.max(initial=0) >> np.uint64(32)) if x.dtype.itemsize == 8 else False
+    x = np.ascontiguousarray(x, "<u8" if wide else "<u4")
+    return struct.pack("<q", x.itemsize) + _zip(np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def _unplanes(data: bytes) -> np.ndarray:
+    (width,) = struct.unpack_from("<q", data)
+    raw = np.frombuffer(_unzip(data[8:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(raw.T).reshape(-1).view(f"<u{width}")
+
+
 # --- blocks of texts -----------------------------------------------------------
 
 
@@ -177,7 +190,8 @@ def _request(buckets: int, mean: np.ndarray, lead: np.ndarray):
                 for b in range(buckets):
                     lo, hi = int(own.limits[b]), int(own.limits[b + 1])
                     if hi > lo:
-                        rows.append((b, block, _zip(struct.pack("<q", hi - lo) + weight[lo:hi].T.tobytes() + own.spelled(lo, hi))))
+                        counts = _planes(weight[lo:hi].T)
+                        rows.append((b, block, struct.pack("<qq", hi - lo, len(counts)) + counts + _zip(own.spelled(lo, hi))))
                 at_risk, ended = np.zeros(LAGS), np.zeros(LAGS)
                 for n in n_words[learn]:
                     at_risk += np.bincount(lag(np.arange(n + 1)), minlength=LAGS)
@@ -194,9 +208,8 @@ ANSWER, WORDS, ENDS = 0, 1, 2
 
 
 def _split(payload: bytes) -> tuple[np.ndarray, bytes]:
-    data = _unzip(payload)
-    (n,) = struct.unpack_from("<q", data)
-    return np.frombuffer(data, "<u4", n * CLASSES, 8).reshape(CLASSES, n), data[8 + 4 * CLASSES * n :]
+    n, size = struct.unpack_from("<qq", payload)
+    return _unplanes(payload[16 : 16 + size]).reshape(CLASSES, n), _unzip(payload[16 + size :])
 
 
 def _merge(table: pa.Table) -> pa.Table:
@@ -212,10 +225,10 @@ def _merge(table: pa.Table) -> pa.Table:
         _, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
         by_class = np.stack([np.bincount(inverse, weights=w) for w in np.concatenate([p[0] for p in parts], axis=1)])
         total = by_class.sum(axis=0).astype("<i8")
-        by_class, at = by_class.astype("<f4"), 0
+        by_class, at = by_class.astype("<u8"), 0
         for block, (weight, _) in zip(blocks, parts):
             asked = inverse[at : at + weight.shape[1]]
-            rows.append((ANSWER, block, bucket, 0, 0, 0, _zip(total[asked].tobytes() + by_class[:, asked].tobytes())))
+            rows.append((ANSWER, block, bucket, 0, 0, 0, _planes(by_class[:, asked])))
             at += weight.shape[1]
         seen = np.flatnonzero(total > 0)
         spelled = b"".join(words.word(first[i]) + b" " for i in seen)
@@ -291,7 +304,7 @@ class Spelling:
         prior = 20 * np.tile(centre, 256)
         self.refined = ((self.rates[:, 1] + prior) / (self.rates.sum(axis=1) + 20)).astype(np.float32)
 
-    def learn(self, data: np.ndarray, weight: np.ndarray, step: float = 0.02) -> None:
+    def learn(self, data: np.ndarray, weight: np.ndarray, step: float = 0.2) -> None:
         """One online step for each bit place of a strip of bytes; each byte's own weight is taken out of the counts."""
         of, kind = contexts(data)
         for place, node, bit in bits(data):
@@ -304,11 +317,10 @@ class Spelling:
             mixed = np.einsum("ij,ij->i", x, self.weights[gate])
             p = _squash(np.clip(mixed, -12, 12))
             np.add.at(self.rates, (node.astype(np.int64) * LEVELS + _level(mixed), bit.astype(np.int64)), weight)
-            influence = np.sqrt(weight)
-            pull = ((bit - p) * influence)[:, None] * x
+            pull = (bit - p)[:, None] * x
             for g in np.unique(gate):
                 own = gate == g
-                self.weights[g] += step * pull[own].sum(axis=0) / np.sqrt(influence[own].sum() + 1.0) / np.sqrt(own.sum() + 1.0) * 4
+                self.weights[g] += step * 4 * pull[own].sum(axis=0) / (own.sum() + 1.0)
 
     def cost(self, data: np.ndarray) -> np.ndarray:
         """Natural log of each byte's probability."""
@@ -414,13 +426,9 @@ class Scorer:
         m = self.model
         ids, flags, texts = unpack_block(blob)
         own = BlockWords(texts, self.buckets)
-        parts, by_class = [np.zeros(0, "<i8")], [np.zeros((CLASSES, 0), "<f4")]
-        for b, n in enumerate(np.diff(own.limits)):
-            if n:
-                data = _unzip(answers[b])
-                parts.append(np.frombuffer(data, "<i8", n))
-                by_class.append(np.frombuffer(data, "<f4", n * CLASSES, 8 * n).reshape(CLASSES, n))
-        count, by_class = np.concatenate(parts).astype(np.float64), np.concatenate(by_class, axis=1)
+        parts = [_unplanes(answers[b]).reshape(CLASSES, n).astype(np.float64) for b, n in enumerate(np.diff(own.limits)) if n]
+        by_class = np.concatenate([np.zeros((CLASSES, 0)), *parts], axis=1)
+        count = by_class.sum(axis=0)
         n_words, bounds, inverse = np.diff(own.words.bounds), own.words.bounds, own.inverse
         below = np.log10(m["tokens"] + 0.5 * (m["distinct"] + 1))
         base = np.log10(count + 0.5) - below

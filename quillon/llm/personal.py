@@ -26,6 +26,8 @@ KINDS = ("email", "ip", "card", "phone")
 FOUND = "identifier"
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.6, 3.0
 LONGEST, SHORTEST = 128, 6
+#: Most identifiers that are sent to every executor.
+_BROADCAST = 500_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -189,6 +191,21 @@ def score_instances(edges: DataFrame, seeds: DataFrame, rounds: int, confidence:
     return scored
 
 
+def _identifiers(scanned: DataFrame, rounds: int, confidence: float, support: float) -> DataFrame:
+    """(instance) of the identifiers that contexts found and no base pattern saw."""
+    tokens = scanned.select(F.explode("instances").alias("x")).select("x.*")
+    edges = saved(tokens.select(F.explode("patterns").alias("pattern"), "instance").distinct())
+    seeds = saved(tokens.where("seed").select("instance").distinct())
+    scored = score_instances(edges, seeds, rounds, confidence, support).where(F.col("score") >= confidence).select("instance")
+    return saved(scored.join(seeds, "instance", "left_anti"))
+
+
+def _found_spans(scanned: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """(uid, spans) of the identifiers' places."""
+    tokens = scanned.select("uid", F.explode("instances").alias("x")).select("uid", "x.start", "x.end", "x.instance", "x.seed").where("NOT seed").drop("seed")
+    return saved(tokens.join(identifiers, "instance").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
+
+
 def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: float = SUPPORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of every whole text: doc_id, base and found, arrays of (kind, start, end) in code points, end exclusive.
 
@@ -199,15 +216,68 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, confidence: float
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scanned = saved(rows.mapInArrow(_scan, _SCANNED))
-    tokens = scanned.select("uid", F.explode("instances").alias("x")).select("uid", "x.*")
-    edges = saved(tokens.select(F.explode("patterns").alias("pattern"), "instance").distinct())
-    seeds = saved(tokens.where("seed").select("instance").distinct())
-    scored = score_instances(edges, seeds, rounds, confidence, support).where(F.col("score") >= confidence).select("instance")
-    added = tokens.where("NOT seed").select("uid", "start", "end", "instance").join(saved(scored.join(seeds, "instance", "left_anti")), "instance")
-    span = F.struct(F.col("start"), F.col("end"))
-    spans = saved(added.groupBy("uid").agg(F.sort_array(F.collect_list(span)).alias("spans")))
+    spans = _found_spans(scanned, _identifiers(scanned, rounds, confidence, support))
     out = scanned.select("uid", "doc_id", "base").join(spans, "uid", "left")
-    return out.select("doc_id", "base", F.coalesce(F.transform("spans", lambda s: F.struct(F.lit(FOUND).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("found"))
+    found = F.transform("spans", lambda s: F.struct(F.lit(FOUND).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return out.select("doc_id", "base", F.coalesce(found, F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("found"))
+
+
+def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """``text`` with each run of overlapping spans replaced by the first one's kind in brackets."""
+    out, at = [], 0
+    for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if start >= at:
+            out += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def mask_personal_data(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: float = SUPPORT, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with every span of :func:`find_personal_data` masked; ``length_col``, if there, is brought up to date.
+
+    Up to ``_BROADCAST`` identifiers go to all executors and the texts stay
+    where they are; beyond that the spans are joined to the rows. Null texts
+    stay null. All rows and columns are kept.
+    """
+    spark = docs.sparkSession
+    text = docs[text_col]
+    scanned = saved(docs.select(F.monotonically_increasing_id().alias("uid"), F.lit(None).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_scan, _SCANNED))
+    identifiers = _identifiers(scanned, rounds, confidence, support)
+    names, fields = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    at, length = names.index(text_col), names.index(length_col) if length_col in names else None
+
+    def finish(batch: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
+        columns = [batch.column(i) for i in range(len(names))]
+        columns[at] = pa.array(texts, pa.string())
+        if length is not None:
+            columns[length] = pa.array([old if t is None else len(t) for t, old in zip(texts, columns[length].to_pylist())], columns[length].type)
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    if identifiers.limit(_BROADCAST + 1).count() <= _BROADCAST:
+        known = spark.sparkContext.broadcast(frozenset(r["instance"] for r in identifiers.collect()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for t in batch.column(at).to_pylist():
+                    if t:
+                        base = base_spans(t)
+                        more = [(FOUND, a, b) for a, b, x, seed, _ in instances(t, base) if not seed and x in known.value]
+                        t = masked(t, base + more)
+                    out.append(t)
+                yield finish(batch, out)
+
+        return docs.mapInArrow(run, fields)
+
+    spans = _found_spans(scanned, identifiers)
+    joined = docs.withColumn("__uid", F.monotonically_increasing_id()).join(spans.withColumnRenamed("uid", "__uid").withColumnRenamed("spans", "__spans"), "__uid", "left").select(*names, "__spans")
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())
+            yield finish(batch, [t and masked(t, base_spans(t) + [(FOUND, s["start"], s["end"]) for s in more or ()]) for t, more in pairs])
+
+    return joined.mapInArrow(run_joined, fields)
 
 
 def spans_text(spans: Column) -> Column:
