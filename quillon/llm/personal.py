@@ -203,7 +203,7 @@ def _identifiers(scanned: DataFrame, rounds: int, confidence: float, support: fl
 def _found_spans(scanned: DataFrame, identifiers: DataFrame) -> DataFrame:
     """(uid, spans) of the identifiers' places."""
     tokens = scanned.select("uid", F.explode("instances").alias("x")).select("uid", "x.start", "x.end", "x.instance", "x.seed").where("NOT seed").drop("seed")
-    return saved(tokens.join(identifiers, "instance").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
+    return saved(tokens.join(identifiers, "instance").groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")))
 
 
 def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: float = SUPPORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,7 +241,7 @@ def mask_personal_data(docs: DataFrame, rounds: int = ROUNDS, confidence: float
     """
     spark = docs.sparkSession
     text = docs[text_col]
-    scanned = saved(docs.select(F.monotonically_increasing_id().alias("uid"), F.lit(None).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_scan, _SCANNED))
+    scanned = saved(docs.select(F.xxhash64(text).alias("uid"), F.lit(None).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_scan, _SCANNED))
     identifiers = _identifiers(scanned, rounds, confidence, support)
     names, fields = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at, length = names.index(text_col), names.index(length_col) if length_col in names else None
@@ -270,12 +270,18 @@ def mask_personal_data(docs: DataFrame, rounds: int = ROUNDS, confidence: float
         return docs.mapInArrow(run, fields)
 
     spans = _found_spans(scanned, identifiers)
-    joined = docs.withColumn("__uid", F.monotonically_increasing_id()).join(spans.withColumnRenamed("uid", "__uid").withColumnRenamed("spans", "__spans"), "__uid", "left").select(*names, "__spans")
+    joined = docs.withColumn("__uid", F.xxhash64(text)).join(spans.withColumnRenamed("uid", "__uid").withColumnRenamed("spans", "__spans"), "__uid", "left").select(*names, "__spans")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())
-            yield finish(batch, [t and masked(t, base_spans(t) + [(FOUND, s["start"], s["end"]) for s in more or ()]) for t, more in pairs])
+            out = []
+            for t, more in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
+                if t:
+                    base = base_spans(t)
+                    places = {(s["start"], s["end"]) for s in more or ()}  # of the texts with this hash
+                    t = masked(t, base + [(FOUND, a, b) for a, b, _, seed, _ in instances(t, base) if not seed and (a, b) in places])
+                out.append(t)
+            yield finish(batch, out)
 
     return joined.mapInArrow(run_joined, fields)
 
