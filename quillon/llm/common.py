@@ -12,16 +12,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint in the shared folder.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``; only
-    where that is unset (local tests) a folder of our own is used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; only where that is unset (local tests) one of our own."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame, small: bool = False) -> DataFrame:
+    """``df`` cut from its lineage by a reliable checkpoint in the shared folder.
+
+    ``small`` tables (a few bytes for each row of the input, or less) are first
+    dealt to fewer partitions, a sixteenth of the usual number: each partition
+    is a file, and small files cost more than they hold.
+    """
+    shared_folder(df.sparkSession)
+    if small:
+        df = df.repartition(max(8, partitions(df.sparkSession) // 16))
     return df.checkpoint(eager=True)
 
 
@@ -158,9 +166,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     import uuid
 
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
-    path = f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

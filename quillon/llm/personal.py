@@ -181,29 +181,29 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def score_instances(edges: DataFrame, seeds: DataFrame, rounds: int, confidence: float, support: float) -> DataFrame:
     """(instance, score) of the bipartite graph (pattern, instance): seeds stay at 1, others take their best accepted pattern's confidence."""
-    scored = saved(seeds.select("instance", F.lit(1.0).alias("score")))
+    scored = saved(seeds.select("instance", F.lit(1.0).alias("score")), small=True)
     for _ in range(rounds):
         marked = edges.join(scored, "instance", "left")
         patterns = marked.groupBy("pattern").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("positive"), F.count(F.lit(1)).alias("n"))
-        accepted = saved(patterns.where((F.col("positive") >= support) & (F.col("positive") / F.col("n") >= confidence)).select("pattern", (F.col("positive") / F.col("n")).alias("confidence")))
+        accepted = saved(patterns.where((F.col("positive") >= support) & (F.col("positive") / F.col("n") >= confidence)).select("pattern", (F.col("positive") / F.col("n")).alias("confidence")), small=True)
         reached = edges.join(accepted, "pattern").groupBy("instance").agg(F.max("confidence").alias("score"))
-        scored = saved(reached.unionByName(seeds.select("instance", F.lit(1.0).alias("score"))).groupBy("instance").agg(F.max("score").alias("score")))
+        scored = saved(reached.unionByName(seeds.select("instance", F.lit(1.0).alias("score"))).groupBy("instance").agg(F.max("score").alias("score")), small=True)
     return scored
 
 
 def _identifiers(scanned: DataFrame, rounds: int, confidence: float, support: float) -> DataFrame:
     """(instance) of the identifiers that contexts found and no base pattern saw."""
     tokens = scanned.select(F.explode("instances").alias("x")).select("x.*")
-    edges = saved(tokens.select(F.explode("patterns").alias("pattern"), "instance").distinct())
-    seeds = saved(tokens.where("seed").select("instance").distinct())
+    edges = saved(tokens.select(F.explode("patterns").alias("pattern"), "instance").distinct(), small=True)
+    seeds = saved(tokens.where("seed").select("instance").distinct(), small=True)
     scored = score_instances(edges, seeds, rounds, confidence, support).where(F.col("score") >= confidence).select("instance")
-    return saved(scored.join(seeds, "instance", "left_anti"))
+    return saved(scored.join(seeds, "instance", "left_anti"), small=True)
 
 
 def _found_spans(scanned: DataFrame, identifiers: DataFrame) -> DataFrame:
     """(uid, spans) of the identifiers' places."""
     tokens = scanned.select("uid", F.explode("instances").alias("x")).select("uid", "x.start", "x.end", "x.instance", "x.seed").where("NOT seed").drop("seed")
-    return saved(tokens.join(identifiers, "instance").groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")))
+    return saved(tokens.join(identifiers, "instance").groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), small=True)
 
 
 def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: float = SUPPORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
