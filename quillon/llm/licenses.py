@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Known licence sentences (identifier, wording), from the public licence texts and common notices.
+# A wording stops where the sentence break does ("v. 2.0" breaks behind the "v").
 SENTENCES = [
     ("all-rights", "All rights reserved"),
     ("apache-notice", "Licensed under the Apache License, Version 2.0"),
@@ -43,7 +44,7 @@ SENTENCES = [
     ("gpl-see", "See the GNU General Public License for more details"),
     ("lgpl-notice", "This work is licensed under the GNU Lesser General Public License, version 3"),
     ("agpl-notice", "This work is licensed under the GNU Affero General Public License, version 3"),
-    ("mpl-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v"),
     ("mpl-notice", "Licensed under the Mozilla Public License 2.0"),
     ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("isc-warranty", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS"),

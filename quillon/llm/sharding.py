@@ -3,7 +3,8 @@
 Rows are numbered 0..n-1 in content order (id, then text checksum and length),
 whatever the physical layout. A keyed generalised Feistel network over
 Z_a x Z_b (a*b >= n, a*b - n < a) permutes the numbers; a value at or above n
-walks on along its cycle until it falls below n. The permuted number gives
+walks on along its cycle until it falls below n (fewer than sqrt(n) + 1 values
+can begin such a walk, so where they end is a small table). The permuted number gives
 shard ``x % shards`` and slot ``x / shards``, so both can be computed for any
 row number without looking at any other row (:func:`place`).
 """
@@ -59,33 +60,41 @@ def place(x: int, n: int, shards: int, seed: int) -> tuple[int, int]:
     return p % shards, p // shards
 
 
-def longest_walk(n: int, seed: int) -> int:
-    """The most steps any row needs until it falls below ``n``: exact, from the fewer than sqrt(n) + 1 values at or above ``n``."""
+def landings(n: int, seed: int) -> list[tuple[int, int]]:
+    """Where each value at or above ``n`` (fewer than sqrt(n) + 1 of them) ends its walk below ``n``."""
+    if n == 0:
+        return []
     a, b = dimensions(n)
-    longest = 0
+    out = []
     for start in range(n, a * b):
-        x, steps = start, 0
-        while x >= n:
-            x, steps = _step(x, a, b, seed), steps + 1
-        longest = max(longest, steps)
-    return longest + 1
+        x = _step(start, a, b, seed)
+        while x >= n and x != start:
+            x = _step(x, a, b, seed)
+        if x < n:  # else a cycle of such values only, which no row enters
+            out.append((start, x))
+    return out
 
 
 def permute_column(df: DataFrame, column: str, out: str, n: int, seed: int) -> DataFrame:
-    """``df`` with ``out``: the permuted ``column``, by built-in functions only."""
+    """``df`` with ``out``: the permuted ``column``, by built-in functions only.
+
+    One pass of the network; the few values that leave it at or above ``n``
+    walk on, by a broadcast table of where such walks end.
+    """
     a, b = dimensions(n)
     left, right, x = "__left", "__right", "__x"
-    df = df.withColumn(x, F.col(column))
-    for walk in range(longest_walk(n, seed)):
-        df = df.withColumns({left: F.expr(f"{x} % {a}L"), right: F.expr(f"{x} div {a}L")})
-        for step in range(ROUNDS):
-            if step % 2 == 0:
-                df = df.withColumn(left, F.expr(f"pmod({left} + pmod(xxhash64({seed + step}L, {right}), {a}L), {a}L)"))
-            else:
-                df = df.withColumn(right, F.expr(f"pmod({right} + pmod(xxhash64({seed + step}L, {left}), {b}L), {b}L)"))
-        moved = F.expr(f"{right} * {a}L + {left}")
-        df = df.withColumn(x, moved if walk == 0 else F.when(F.col(x) >= n, moved).otherwise(F.col(x)))
-    return df.withColumnRenamed(x, out).drop(left, right)
+    df = df.withColumns({left: F.expr(f"{column} % {a}L"), right: F.expr(f"{column} div {a}L")})
+    for step in range(ROUNDS):
+        if step % 2 == 0:
+            df = df.withColumn(left, F.expr(f"pmod({left} + pmod(xxhash64({seed + step}L, {right}), {a}L), {a}L)"))
+        else:
+            df = df.withColumn(right, F.expr(f"pmod({right} + pmod(xxhash64({seed + step}L, {left}), {b}L), {b}L)"))
+    df = df.withColumn(x, F.expr(f"{right} * {a}L + {left}")).drop(left, right)
+    ends = landings(n, seed)
+    if not ends:
+        return df.withColumnRenamed(x, out)
+    walks = F.broadcast(df.sparkSession.createDataFrame(ends, f"{x} long, __land long"))  # fewer than sqrt(n) + 1 rows
+    return df.join(walks, x, "left").withColumn(out, F.coalesce("__land", x)).drop(x, "__land")
 
 
 def number_rows(df: DataFrame, order: list[str], out: str) -> tuple[DataFrame, int]:
