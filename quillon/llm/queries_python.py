@@ -49,6 +49,25 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op2_neardup": op2_neardup, "op5_lm": op5_lm, "op6_personal": op6_personal, "op7_langid": op7_langid, "op10_bpe": op10_bpe, "op8_topk_search": op8_topk_search, "op9_packing": op9_packing}
 ORACLES = {
+    "op2_neardup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_sort(list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) END AS sh FROM w
+), e AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s
+), links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), r AS (
+  SELECT doc_id, doc_id AS c FROM s UNION SELECT v, c FROM r JOIN links ON u = doc_id
+), m AS (
+  SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept,
+  CASE WHEN len(sh) = 0 THEN s.doc_id ELSE min(s.doc_id) OVER (PARTITION BY sh) END AS class_id
+FROM s JOIN m ON m.doc_id = s.doc_id
+""",
     "op8_topk_search": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
