@@ -31,6 +31,12 @@ def lower_bound(agg: Agg, value: Column) -> Column:
     return F.max(value) if agg is Agg.MAX else F.min(value)
 
 
+def estimated_per_group(agg: Agg, total: Column, count: Column, most: Column, groups: Column) -> Column:
+    """What a group of a bucket is likely to have: the even share of a sum or count, else the maximum."""
+    share = {Agg.SUM: total.cast("double"), Agg.COUNT: count.cast("double")}.get(agg)
+    return most.cast("double") if share is None else share / F.greatest(groups, F.lit(1))
+
+
 def hoeffding_width(count: Column, low: Column, high: Column, confidence: float) -> Column:
     """Half-width of the mean of ``count`` draws from [low, high]; 0 for no draws or no spread."""
     spread = high.cast("double") - low.cast("double")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.config import Agg, Mode, TopKConfig
+from quillon.functions.bounds import estimated_per_group
 from quillon.operators import compare, routing, sampling
 from quillon.operators.exact import RESULT
 from quillon.plans.engine import top_k
@@ -82,6 +83,20 @@ def pruning_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.join(kept, "bucket", "left").agg(F.avg(F.when(F.col("kept").isNull(), 1.0).otherwise(0.0)).alias("pruned"))
 
 
+def bucket_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surviving buckets by what a group in them is likely to have."""
+    stats = bucket_stats(spark, sf_dir).join(bucket_survivors(spark, sf_dir).select("bucket"), "bucket", "left_semi")
+    share = lambda agg: F.floor(estimated_per_group(agg, F.col("sum"), F.col("count"), F.col("max"), F.col("groups")))
+    return stats.select("bucket", share(Agg.SUM).alias("sum_share"), share(Agg.COUNT).alias("count_share"), share(Agg.MAX).alias("max_share")).orderBy(F.desc("sum_share"), "bucket")
+
+
+def lowest_candidate_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the least frequent of the 20 groups of the largest values."""
+    rows = _table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_extendedprice").alias(sampling.VALUE))
+    chosen = sampling.measure_index(rows, ["l_suppkey"], 20)
+    return sampling.occurrence_index(rows, ["l_suppkey"]).join(F.broadcast(chosen), "l_suppkey", "left_semi").agg(F.coalesce(F.min("row_count"), F.lit(0)).alias("lowest"))
+
+
 def occurrence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.occurrence_index(_table(spark, sf_dir, "lineitem"), ["l_suppkey"])
 
@@ -181,7 +196,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{
         f.__name__: f
         for f in (
-            topk_join_input, bucket_stats, bucket_survivors, pruning_fraction, occurrence_index, measure_index, all_aggregates, sample_bounds, underrepresented_groups, candidate_split, approximate_groups, hit_rate,
+            topk_join_input, bucket_stats, bucket_survivors, bucket_ranking, lowest_candidate_count, pruning_fraction, occurrence_index, measure_index, all_aggregates, sample_bounds, underrepresented_groups, candidate_split, approximate_groups, hit_rate,
             missing_extra, sample_stats, candidates, metrics, generated_zipf, generated_cyclic,
         )
     },
@@ -193,6 +208,8 @@ ORACLES: dict[str, str] = {
     "bucket_stats": _LINE_STATS,
     "bucket_survivors": f"{_SURVIVE} SELECT bucket, max FROM s, b WHERE max >= bound",
     "pruning_fraction": f"{_SURVIVE} SELECT avg(CASE WHEN max >= bound THEN 0.0 ELSE 1.0 END) AS pruned FROM s, b",
+    "bucket_ranking": f"{_SURVIVE} SELECT bucket, CAST(floor(sum / groups) AS BIGINT) AS sum_share, CAST(floor(count / groups) AS BIGINT) AS count_share, CAST(floor(max) AS BIGINT) AS max_share FROM s, b WHERE max >= bound",
+    "lowest_candidate_count": "SELECT min(n) AS lowest FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) WHERE l_suppkey IN (SELECT l_suppkey FROM (SELECT l_suppkey FROM lineitem ORDER BY l_extendedprice DESC, l_suppkey LIMIT 20))",
     "occurrence_index": "SELECT l_suppkey, count(*) AS row_count FROM lineitem GROUP BY 1",
     "measure_index": "SELECT DISTINCT l_suppkey FROM (SELECT l_suppkey FROM lineitem ORDER BY l_extendedprice DESC, l_suppkey LIMIT 50)",
     "all_aggregates": "SELECT l_suppkey, CAST(sum(p) AS DOUBLE) AS sum, CAST(max(p) AS DOUBLE) AS max, CAST(min(p) AS DOUBLE) AS min, count(*) AS count FROM (SELECT l_suppkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS p FROM lineitem) GROUP BY 1",
