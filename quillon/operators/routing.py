@@ -4,46 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from quillon.config import Agg
 from quillon.functions.bounds import bucket_of, lower_bound, upper_bound
 from quillon.operators.exact import RESULT, aggregate_column
-from quillon.operators.sampling import VALUE, same_key
+from quillon.operators.sampling import VALUE
 
-BUCKET, IS_CANDIDATE = "__bucket", "__candidate"
+BUCKET, SLOT = "__bucket", "__slot"
 
 
 def candidate_frame(rows: DataFrame, keys: Sequence[str], candidates: list) -> DataFrame:
-    """The candidate keys as a frame to broadcast: at most ``fa_capacity`` of them."""
-    return F.broadcast(rows.sparkSession.createDataFrame(candidates, rows.select(*keys).schema))
+    """The candidate keys and their numbers, to broadcast: at most ``fa_capacity`` of them."""
+    kinds = rows.select(*keys).schema.add(SLOT, T.IntegerType())
+    frame = rows.sparkSession.createDataFrame([(*c, i) for i, c in enumerate(candidates)], kinds)
+    return F.broadcast(frame.withColumnsRenamed({k: f"__c_{k}" for k in keys}))
 
 
 def route(rows: DataFrame, keys: Sequence[str], candidates: list, level: int, n_buckets: int) -> DataFrame:
-    """``rows`` with a candidate flag and, for the others, a bucket."""
-    if candidates:
-        frame = candidate_frame(rows, keys, candidates).select(*keys, F.lit(True).alias(IS_CANDIDATE))
-        rows = rows.join(frame, same_key(rows, frame, keys), "left").select(*[rows[c] for c in rows.columns], F.coalesce(frame[IS_CANDIDATE], F.lit(False)).alias(IS_CANDIDATE))
-    else:
-        rows = rows.withColumn(IS_CANDIDATE, F.lit(False))
-    return rows.withColumn(BUCKET, F.when(~F.col(IS_CANDIDATE), bucket_of(keys, level, n_buckets)))
-
-
-def routed_aggregate(routed: DataFrame, keys: Sequence[str], agg: Agg) -> DataFrame:
+    """``rows`` with a slot: a candidate's number, or for all others the number of candidates plus a bucket."""
+    bucket = F.lit(len(candidates)) + bucket_of(keys, level, n_buckets)
+    if not candidates:
+        return rows.withColumn(SLOT, bucket)
+    frame = candidate_frame(rows, keys, candidates)
+    nulls = any(None in c for c in candidates)  # else plain equality, which probes faster: a null key is then no candidate
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & (F.col(k).eqNullSafe(F.col(f"__c_{k}")) if nulls else F.col(k) == F.col(f"__c_{k}"))
+    return rows.join(frame, condition, "left").select(*rows.columns, F.coalesce(SLOT, bucket).alias(SLOT))
+
+
+def routed_aggregate(routed: DataFrame, agg: Agg) -> DataFrame:
     """A row for each candidate (exact) and each bucket (bounds): few rows reach the shuffle, whatever the number of groups."""
     value = F.col(VALUE)
-    own = [F.when(F.col(IS_CANDIDATE), F.col(k)).alias(k) for k in keys]
-    grouped = routed.select(IS_CANDIDATE, BUCKET, *own, VALUE, F.xxhash64(*keys).alias("__group")).groupBy(IS_CANDIDATE, BUCKET, *keys)
-    kind = dict(routed.dtypes)[VALUE]
-    nan = F.count(F.when(F.isnan(VALUE), 1)) if kind in ("float", "double") else F.lit(0)
-    return grouped.agg(
-        aggregate_column(agg, value).alias(RESULT),
-        upper_bound(agg, value).alias("ub"),
-        lower_bound(agg, value).alias("lb"),
-        F.count(F.lit(1)).alias("rows"),
-        F.approx_count_distinct("__group").alias("groups"),
-        nan.alias("nan"),
-    )
+    return routed.groupBy(SLOT).agg(aggregate_column(agg, value).alias(RESULT), upper_bound(agg, value).alias("ub"), lower_bound(agg, value).alias("lb"), F.count(F.lit(1)).alias("rows"))
+
+
+def bucket_groups(rest: DataFrame, keys: Sequence[str], bucket) -> dict[int, int]:
+    """About how many groups each bucket holds; a sketch, at most ``n_partitions`` rows."""
+    counted = rest.groupBy(bucket.alias(BUCKET)).agg(F.approx_count_distinct(F.xxhash64(*keys)).alias("groups"))
+    return {r[BUCKET]: r["groups"] for r in counted.collect()}
 
 
 def bucket_statistics(rows: DataFrame, bucket, keys: Sequence[str], value) -> DataFrame:

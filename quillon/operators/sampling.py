@@ -90,31 +90,29 @@ def select_candidates(statistics: DataFrame, keys: Sequence[str], k: int, agg: A
     SUM and COUNT, when the top k hold less than ``min_topk_share`` of the sample.
     ``config.force`` skips both gates.
     """
-    spark = statistics.sparkSession
     scored = statistics.withColumn("lb", sample_lower_bound(agg, config.beta_ci))
-    best = ranked(scored, keys, k, "lb").select("lb").collect()
-    floor = min((r["lb"] for r in best if r["lb"] is not None), default=None) if len(best) == k else None
-    passing = F.col("lb") >= F.lit(floor) if floor is not None else F.lit(True)
-    above = scored.where(passing).count()
+    forced = list(dict.fromkeys(forced or []))[: config.fa_capacity]
+    # one row more than fit, best bound first: the k-th gives the floor, the rest tell whether all above it fit
+    best = ranked(scored, keys, max(k, config.fa_capacity + 1), "lb").select(*keys, "count", "lb").collect()
+    floor = best[k - 1]["lb"] if 0 < k <= len(best) else None
+    over = [r for r in best if floor is None or r["lb"] is not None and r["lb"] >= floor]
     share = None
     if agg in (Agg.SUM, Agg.COUNT):
         column = "sum" if agg is Agg.SUM else "count"
         total = statistics.agg(F.sum(F.col(column).cast("double"))).first()[0] or 0.0
         top = sum(float(r[column] or 0) for r in ranked(statistics, keys, k, column).select(column).collect())
         share = top / total if total > 0 else 0.0
-    forced = (forced or [])[: config.fa_capacity]
     reason = ""
-    if above > config.fa_capacity - len(forced):
+    if len(over) > config.fa_capacity - len(forced):
         reason = "more possible winners than candidate slots"
     elif share is not None and share < config.min_topk_share:
         reason = "the top k hold too little of the total"
     if reason and not config.force:
-        return Selection(False, reason, [], floor, above, share)
-    pool = scored.select(*keys, "count", "lb", F.when(passing, 1).otherwise(2).alias("priority"))
-    if forced:
-        first = spark.createDataFrame(forced, statistics.select(*keys).schema).select(*keys, F.lit(0).cast("long").alias("count"), F.lit(0.0).alias("lb"), F.lit(0).alias("priority"))
-        pool = pool.unionByName(first)
-    merged = pool.groupBy(*keys).agg(F.min("priority").alias("priority"), F.max("count").alias("count"), F.max("lb").alias("lb"))
-    order = [F.col("priority"), F.col("count").desc(), F.col("lb").desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in keys]]
-    chosen = merged.orderBy(*order).limit(config.fa_capacity).select(*keys).collect()
-    return Selection(True, reason, [tuple(r) for r in chosen], floor, above, share)
+        return Selection(False, reason, [], floor, len(over), share)
+    key = lambda r: tuple(r[c] for c in keys)
+    chosen = dict.fromkeys(forced)
+    chosen.update(dict.fromkeys(map(key, sorted(over, key=lambda r: -r["count"]))))
+    if len(chosen) < config.fa_capacity:  # fill up with heavy groups
+        order = [F.col("count").desc(), F.col("lb").desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in keys]]
+        chosen.update(dict.fromkeys(map(key, scored.orderBy(*order).limit(config.fa_capacity).select(*keys).collect())))
+    return Selection(True, reason, list(chosen)[: config.fa_capacity], floor, len(over), share)

@@ -128,39 +128,43 @@ def top_k(df: DataFrame, group_cols: Sequence[str] | str, value: Column | str, k
 
     clock.ms()
     routed = routing.route(rows, keys, candidates, 1, config.n_partitions)
-    collected = routing.routed_aggregate(routed, keys, agg)
+    collected = routing.routed_aggregate(routed, agg)
     kind = collected.schema[RESULT].dataType
     found = collected.collect()  # a row for each candidate and bucket
     metrics.pass1_duration_ms, metrics.total_passes = clock.ms(), 1
-    if any(r["nan"] for r in found):
+    if any(isinstance(x, float) and math.isnan(x) for r in found for x in (r[RESULT], r["ub"])):
         metrics.is_optimizable, metrics.fallback_reason = False, "NaN measures"
         return finish(exact(), candidates)
-    done = [r for r in found if r[routing.IS_CANDIDATE]]
-    buckets = [r for r in found if not r[routing.IS_CANDIDATE]]
-    bound = pruning.threshold((r[RESULT] for r in done), (r["lb"] for r in buckets), k)
-    left = [r for r in buckets if pruning.survives(r["ub"], bound)]
+    n = len(candidates)
+    done = [r for r in found if r[routing.SLOT] < n]
+    buckets = [(r[routing.SLOT] - n, r) for r in found if r[routing.SLOT] >= n]
+    bound = pruning.threshold((r[RESULT] for r in done), (r["lb"] for _, r in buckets), k)
+    left = [(b, r) for b, r in buckets if pruning.survives(r["ub"], bound)]
     metrics.topKBound_after_pass1 = bound
     metrics.partitions_pruned_pct = 1 - len(left) / len(buckets) if buckets else 0.0
 
     lowest = min((r["rows"] for r in done), default=0)
-    rest, level = routed.where(~F.col(routing.IS_CANDIDATE)).select(*keys, VALUE), 1
+    rest, level = routed.where(F.col(routing.SLOT) >= n).select(*keys, VALUE), 1
     while left:
-        rest = _of_buckets(rest, keys, level, config, [r[routing.BUCKET] for r in left])
-        decisions = [pruning.classify(r["groups"], r["rows"], lowest, config) for r in left]
-        again = sum(r["groups"] for r in left) > config.fa_capacity and level < config.max_levels and any(d != "EXACT" for d in decisions)
-        if not again:
+        rest = _of_buckets(rest, keys, level, config, [b for b, _ in left])
+        decisions = []
+        if level < config.max_levels and sum(r["rows"] for _, r in left) > config.fa_capacity:  # else there cannot be too many groups
+            groups = routing.bucket_groups(rest, keys, bucket_of(keys, level, config.n_partitions))
+            if sum(groups.values()) > config.fa_capacity:
+                decisions = [pruning.classify(groups.get(b, 0), r["rows"], lowest, config) for b, r in left]
+        if all(d == "EXACT" for d in decisions):
             metrics.partitions_exact_agg += len(left)
             break
         metrics.partitions_logical += decisions.count("LOGICAL")
         metrics.partitions_physical += decisions.count("PHYSICAL")
         level += 1
-        finer = routing.routed_aggregate(routing.route(rest, keys, [], level, config.n_partitions), keys, agg).collect()
+        finer = routing.routed_aggregate(routing.route(rest, keys, [], level, config.n_partitions), agg).collect()
         metrics.total_passes += 1
         bound = max(bound, pruning.threshold((r[RESULT] for r in done), (r["lb"] for r in finer), k))
-        left = [r for r in finer if pruning.survives(r["ub"], bound)]
+        left = [(r[routing.SLOT], r) for r in finer if pruning.survives(r["ub"], bound)]
     spark = df.sparkSession
     schema = rows.select(*keys).schema.add(RESULT, kind)
-    out = spark.createDataFrame([tuple(r[c] for c in keys) + (r[RESULT],) for r in done], schema)
+    out = spark.createDataFrame([(*candidates[r[routing.SLOT]], r[RESULT]) for r in done], schema)
     if left:
         metrics.total_passes += 1
         out = out.unionByName(group_aggregate(rest, keys, F.col(VALUE), agg))
