@@ -120,7 +120,10 @@ def sample_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def underrepresented_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users whose share of the first tenth of the events is below half of what their row count promises."""
+    """Users drawn less than half as often as their row count promises, in a sample of every tenth event.
+
+    The sample is the operator's input; a systematic one has the same rows in SQL.
+    """
     events = _table(spark, sf_dir, "events").select("user_id", "event_id")
     counts = events.agg(F.count(F.lit(1)), F.max("event_id")).first()
     sample = events.where(F.col("event_id") % 10 == 0).groupBy("user_id").agg(F.count(F.lit(1)).alias("seen"))
