@@ -50,7 +50,7 @@ def _add_terms(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     starts = F.filter(F.sequence(F.lit(0), F.col("__n") - 1), lambda i: (i == 0) | (F.get("__words", i - 1) != F.get("__words", i)))
     df = df.withColumn("__starts", F.when(F.col("__n") > 0, starts).otherwise(F.array().cast("array<int>")))
     runs = F.transform("__starts", lambda s, j: F.struct(F.get("__words", s).alias("word"), (F.coalesce(F.get("__starts", j + 1), F.col("__n")) - s).alias("count")))
-    rows = df.select(*keys, F.inline_outer(runs).alias("__word", "__count"))
+    rows = df.withColumn("__runs", runs).select(*keys, F.inline_outer("__runs").alias("__word", "__count"))
     return rows.select(*keys, F.xxhash64("__word").alias("term"), F.when(F.col("__word").isNotNull(), F.log(F.col("__count") * F.char_length("__word"))).alias("log_weight"))
 
 
