@@ -1,18 +1,18 @@
 """Language-model scoring by online logistic mixing of hashed-context bit predictors.
 
-A word is spelled byte by byte, with a closing space, and a byte bit by bit.
-For each order 0..4 a hashed table holds how often the next bit was 0 or 1
-behind that context, over all training words weighted by their counts. The
-tables' log odds are mixed with weights of a gate (bit place and kind of the
-last byte), learned online, and refined by an adaptive map from the mixed
-odds to observed rates; both are learned on all training words, each with its
-own occurrences taken out. A word seen in training has its share of the
-training words besides, weighted by how rarely new words come. That share is
-taken in each of a few classes of texts (the signs of the leading principal
-components of byte-pair frequencies over all training texts); the class of a
-scored text is a hidden gate, summed out, so its weights adapt word by word.
-The end of a text has a rate that depends on the words so far. So every text
-has a probability, whose bits per byte are returned too.
+A text's words, each closed by a space, are spelled byte by byte, and a byte
+bit by bit. Hashed tables hold how often the next bit was 0 or 1 behind eight
+contexts, over the bytes of all training texts: orders 0..4 within the word,
+the word so far, it with the word before, and the last six bytes whatever
+words they are in. Three of them (``BY_CLASS``) are kept apart by the class of
+the text so far: the signs of four directions, the leading principal
+components of byte-pair frequencies over all training texts, at the word's
+start. The tables' log odds are mixed with weights of a gate (bit place, kind
+of the last byte, how much was counted), learned online over the bytes of all
+training texts, and refined by an adaptive map from the mixed odds to observed
+rates; both are learned with each byte's own occurrence taken out. The end of a text has a rate that
+depends on the words so far. So every text has a probability, whose bits per
+byte are returned too, and no word is scored without the words before it.
 
 Texts are packed in blocks. Blocks send their distinct words to buckets by the
 words' hash, buckets send back each word's count over the whole corpus: what
@@ -22,6 +22,7 @@ moves is a row for each block and bucket, never a row for each token.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +33,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm.common import Words, partitions, saved
 
-CONTEXTS, TABLE = 5, 1 << 18
+#: Contexts within the word, and all; least and most slots of a context's table.
+INNER, CONTEXTS = 5, 8
+TABLE, LARGEST = 1 << 18, 1 << 22
 PARTS = 8
 BLOCK_CHARS, BLOCK_DOCS = 2_000_000, 2048
-GATES, LEVELS = 8 * 5, 33
-STRIP = 1 << 15
+GATES, LEVELS, STEPS = 8 * 5 * 16, 33, 15
+STRIP, LEARNED = 1 << 15, 1 << 12
+#: Training words for each mixer that learns by itself.
+ALONE = 200_000
+#: Bytes taken at once, and bytes before a piece of a long text that its contexts may reach.
+PIECE, BEHIND = 1 << 20, 1 << 12
 LAGS = 48
-KEPT = 1_000_000
-#: Byte-pair features, leading components, classes of texts, and the words of all classes lent to each.
-PAIRS, AXES = 128, 4
-CLASSES, LENT = 1 << AXES, 200.0
+#: Byte-pair features, leading components, and the contexts that know the class of the text so far.
+PAIRS, AXES, BY_CLASS = 128, 4, (2, 4, 5)
+_LEAD = b" " * 8
 _SPACE = np.uint8(32)
 
 
@@ -111,8 +117,10 @@ def axes(moments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mean, lead * np.sign(lead[np.abs(lead).argmax(axis=0), np.arange(AXES)])
 
 
-def text_class(text: bytes, mean: np.ndarray, lead: np.ndarray) -> int:
-    return int((((pair_features(text) - mean) @ lead > 0) << np.arange(AXES)).sum())
+def directions(mean: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """What each byte pair adds to a text's place on the axes: the axes about the mean, for frequencies instead of their roots."""
+    pull = lead / (2 * np.maximum(mean, 0.02)[:, None])
+    return pull - (mean**2 @ pull) / max((mean**2).sum(), 1e-9)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +181,8 @@ def lag(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(2 * np.log2(n + 1.0)), LAGS - 1).astype(np.int64)
 
 
-def _request(buckets: int, mean: np.ndarray, lead: np.ndarray):
-    """(bucket, block, payload): the block's distinct words and training counts by class in each bucket; negative buckets hold the ends of texts and the classes."""
+def _request(buckets: int):
+    """(bucket, block, payload): the block's distinct words and training counts in each bucket; negative buckets hold the ends of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,64 +191,50 @@ def _request(buckets: int, mean: np.ndarray, lead: np.ndarray):
                 own = BlockWords(texts, buckets)
                 n_words = np.diff(own.words.bounds)
                 learn = (flags & 2) > 0
-                classes = np.array([text_class(t, mean, lead) if f else 0 for t, f in zip(texts, learn)], dtype=np.int64)
-                cell = own.inverse * CLASSES + np.repeat(classes, n_words)
-                weight = np.bincount(cell, weights=np.repeat(learn, n_words), minlength=len(own) * CLASSES).astype("<u4").reshape(-1, CLASSES)
+                weight = np.bincount(own.inverse, weights=np.repeat(learn, n_words), minlength=len(own)).astype("<u4")
                 rows = []
                 for b in range(buckets):
                     lo, hi = int(own.limits[b]), int(own.limits[b + 1])
                     if hi > lo:
-                        counts = _planes(weight[lo:hi].T)
+                        counts = _planes(weight[lo:hi])
                         rows.append((b, block, struct.pack("<qq", hi - lo, len(counts)) + counts + _zip(own.spelled(lo, hi))))
                 at_risk, ended = np.zeros(LAGS), np.zeros(LAGS)
                 for n in n_words[learn]:
                     at_risk += np.bincount(lag(np.arange(n + 1)), minlength=LAGS)
                     ended[lag(np.array([n]))[0]] += 1
-                of_class = np.bincount(classes[learn], minlength=CLASSES), np.bincount(classes[learn], weights=n_words[learn], minlength=CLASSES)
-                rows.append((-1 - block % 16, block, np.concatenate((ended, at_risk, *of_class)).astype("<f8").tobytes()))
+                rows.append((-1 - block % 16, block, np.concatenate((ended, at_risk)).astype("<f8").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "block", "payload"])
 
     return run
 
 
-_MERGED = "kind int, block long, bucket int, n long, v long, once long, payload binary"
+_MERGED = "kind int, block long, bucket int, n long, v long, payload binary"
 ANSWER, WORDS, ENDS = 0, 1, 2
 
 
 def _split(payload: bytes) -> tuple[np.ndarray, bytes]:
     n, size = struct.unpack_from("<qq", payload)
-    return _unplanes(payload[16 : 16 + size]).reshape(CLASSES, n), _unzip(payload[16 + size :])
+    return _unplanes(payload[16 : 16 + size])[:n], _unzip(payload[16 + size :])
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """All requests of one bucket: an answer to each, and the bucket's training words."""
+    """All requests of one bucket: an answer to each, and how many training words the bucket has."""
     blocks, payloads = table.column("block").to_pylist(), table.column("payload").to_pylist()
     bucket = table.column("bucket")[0].as_py()
     rows = []
     if bucket < 0:
-        rows.append((ENDS, 0, bucket, 0, 0, 0, sum(np.frombuffer(p, "<f8") for p in payloads).astype("<f8").tobytes()))
+        rows.append((ENDS, 0, bucket, 0, 0, sum(np.frombuffer(p, "<f8") for p in payloads).astype("<f8").tobytes()))
     else:
         parts = [_split(p) for p in payloads]
         words = Words([b"".join(p[1] for p in parts).decode("utf-8", "surrogatepass")])
-        _, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        by_class = np.stack([np.bincount(inverse, weights=w) for w in np.concatenate([p[0] for p in parts], axis=1)])
-        total = by_class.sum(axis=0).astype("<i8")
-        by_class, at = by_class.astype("<u8"), 0
+        _, inverse = np.unique(words.hashes(), return_inverse=True)
+        total, at = np.bincount(inverse, weights=np.concatenate([p[0] for p in parts])).astype("<u8"), 0
         for block, (weight, _) in zip(blocks, parts):
-            asked = inverse[at : at + weight.shape[1]]
-            rows.append((ANSWER, block, bucket, 0, 0, 0, _planes(by_class[:, asked])))
-            at += weight.shape[1]
-        seen = np.flatnonzero(total > 0)
-        spelled = b"".join(words.word(first[i]) + b" " for i in seen)
-        rows.append((WORDS, 0, bucket, int(total.sum()), len(seen), int((total == 1).sum()), _zip(struct.pack("<q", len(seen)) + total[seen].tobytes() + spelled)))
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "block", "bucket", "n", "v", "once", "payload"])
-
-
-def _training_words(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    data = _unzip(payload)
-    (n,) = struct.unpack_from("<q", data)
-    return np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, np.uint8, offset=8 + 8 * n)
+            rows.append((ANSWER, block, bucket, 0, 0, _planes(total[inverse[at : at + len(weight)]])))
+            at += len(weight)
+        rows.append((WORDS, 0, bucket, int(total.sum()), int((total > 0).sum()), b""))
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "block", "bucket", "n", "v", "payload"])
 
 
 # --- bit predictors ------------------------------------------------------------
@@ -248,11 +242,11 @@ def _training_words(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def contexts(data: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashes of the last 0..4 bytes of the same word before each byte, and the kind of the last byte."""
-    padded = np.concatenate((np.full(CONTEXTS, _SPACE), data))
+    padded = np.concatenate((np.full(INNER, _SPACE), data))
     n, last, out = len(data), None, [np.full(len(data), 0x9E3779B1, np.uint32)]
     kind = None
-    for k in range(1, CONTEXTS):
-        prev = padded[CONTEXTS - k : CONTEXTS - k + n]
+    for k in range(1, INNER):
+        prev = padded[INNER - k : INNER - k + n]
         last = prev if last is None else np.where(last == _SPACE, _SPACE, prev)
         if kind is None:
             kind = np.where(prev == 32, 0, np.where(prev >= 128, 1, np.where((prev >= 48) & (prev <= 57), 2, np.where((prev >= 97) & (prev <= 122), 3, 4)))).astype(np.int64)
@@ -261,25 +255,131 @@ def contexts(data: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return out, kind
 
 
-def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+def _scramble(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
+        x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
+        return x ^ (x >> np.uint32(16))
+
+
+def reaching(data: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the word so far, of it with the word before, and of the last six bytes, whatever words they are in."""
+    n = len(data)
+    at = np.arange(n, dtype=np.int64)
+    number = _per_word(data)
+    starts = np.concatenate(([0], np.flatnonzero(data == _SPACE) + 1))
+    with np.errstate(over="ignore"):
+        place = (at - starts[number]).astype(np.uint32)
+        terms = _scramble(data.astype(np.uint32) * np.uint32(0x9E3779B1) + place * np.uint32(0x85EBCA6B) + np.uint32(1))
+        sums = np.zeros(n + 1, np.uint32)
+        np.cumsum(terms, dtype=np.uint32, out=sums[1:])
+        so_far = sums[:-1] - sums[starts[number]]
+        whole = np.concatenate(([0], sums[starts[1:]] - sums[starts[:-1]])).astype(np.uint32)  # of the word before each
+        six = np.full(n, 7, np.uint32)
+        padded = np.concatenate((np.full(6, _SPACE), data)).astype(np.uint32)
+        for k in range(6):
+            six = (six ^ (padded[k : k + n] + np.uint32(1))) * np.uint32(0x01000193) + (six >> np.uint32(15))
+        return [_scramble(so_far + np.uint32(5)), _scramble(so_far * np.uint32(3) + _scramble(whole[number] + np.uint32(6))), _scramble(six)]
+
+
+def classes(data: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    """Class of the text so far at each word's start; 16 more where the text has begun. A text begins behind ``_LEAD``."""
+    n, wide, space = len(data), data.astype(np.uint32), data == _SPACE
+    with np.errstate(over="ignore"):
+        pair = np.concatenate(([0], ((wide[:-1] * np.uint32(251) + wide[1:]) * np.uint32(0x9E3779B1)) >> np.uint32(25))).astype(np.int64)
+    spaces = np.concatenate((np.zeros(len(_LEAD), np.int64), np.cumsum(space)))
+    begin = np.zeros(n + 1, np.int64)
+    behind = np.flatnonzero(spaces[len(_LEAD) :] - spaces[:n] == len(_LEAD)) + 1
+    begin[behind] = behind
+    begin = np.maximum.accumulate(begin)
+    start = np.concatenate(([0], np.flatnonzero(space) + 1))
+    out = 16 * (start > begin[start]).astype(np.uint32)
+    for axis in range(AXES):
+        sums = np.concatenate(([0.0], np.cumsum(pull[:, axis].take(pair))))
+        out += (sums[start] > sums[begin[start]]).astype(np.uint32) << np.uint32(axis)
+    return out[_per_word(data)]
+
+
+def predictors(data: np.ndarray, pull: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Context hashes of every byte, and the kind of the last byte."""
+    inner, kind = contexts(data)
+    of = inner + reaching(data)
+    if pull is not None and len(data):
+        with np.errstate(over="ignore"):
+            salt = classes(data, pull) * np.uint32(0x3779B1) + np.uint32(9)
+        for k in BY_CLASS:
+            of[k] = _scramble(of[k] ^ salt)
+    return of, kind
+
+
+def slots(context: np.ndarray, nibble: np.ndarray, size: int) -> np.ndarray:
+    """First of the 16 cells of a half byte behind a context and the half byte before it (0 for none, else 16 + its value)."""
     with np.errstate(over="ignore"):
-        h = (context + node * np.uint32(0x9E3779B1)) * np.uint32(0xC2B2AE35)
-        return (h ^ (h >> np.uint32(15))) * np.uint32(0x27D4EB2F) >> np.uint32(14)
+        h = _scramble(context + nibble * np.uint32(0x9E3779B1))
+    return (h >> np.uint32(36 - size.bit_length() + 1)).astype(np.int64) << 4
 
 
-def bits(data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(bit place, node, bit) of every byte, high bit first; a node is the bits so far behind a leading 1."""
+def bits(data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]]:
+    """(bit place, node, bit, half byte before where a half begins, cell in the half) of every byte, high bit first; a node is the bits so far behind a leading 1."""
     wide = data.astype(np.uint32)
     for place in range(8):
-        yield place, (np.uint32(1) << np.uint32(place)) | (wide >> np.uint32(8 - place)), (wide >> np.uint32(7 - place)) & np.uint32(1)
+        within = place & 3
+        before = None if within else (wide >> np.uint32(4)) + np.uint32(16) if place else np.zeros(len(data), np.uint32)
+        half = wide >> np.uint32(4) if place < 4 else wide & np.uint32(15)
+        cell = ((np.uint32(1) << np.uint32(within)) | (half >> np.uint32(4 - within))).astype(np.int64)
+        yield place, (np.uint32(1) << np.uint32(place)) | (wide >> np.uint32(8 - place)), (wide >> np.uint32(7 - place)) & np.uint32(1), before, cell
+
+
+def count_halves(data: np.ndarray, learn: np.ndarray, counts: np.ndarray, pull: np.ndarray | None = None) -> None:
+    """Count both half bytes of the bytes to learn from in ``counts`` (contexts x slots): 16 values behind each context and half byte before."""
+    of, _ = predictors(data, pull)
+    at = np.flatnonzero(learn)
+    wide, size = data[at].astype(np.uint32), counts.shape[1]
+    high = wide >> np.uint32(4)
+    for before, half in ((np.zeros(len(at), np.uint32), high), (high + np.uint32(16), wide & np.uint32(15))):
+        for k in range(CONTEXTS):
+            np.add.at(counts[k], slots(of[k][at], before, size) + half, counts.dtype.type(1))
+
+
+def cells(halves: np.ndarray) -> np.ndarray:
+    """Counts of 0 and 1 of every node of the half bytes, from the counts of their 16 values."""
+    values = halves.reshape(-1, 16)
+    out = np.zeros((len(values), 16, 2), values.dtype)
+    for depth in range(4):
+        out[:, 1 << depth : 2 << depth] = values.reshape(len(values), 1 << depth, 2, -1).sum(axis=3)
+    return out.reshape(-1, 2)
 
 
 def count_bits(data: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> None:
-    """Add every byte's bits to ``counts`` (contexts x TABLE x 2)."""
-    of, _ = contexts(data)
-    for _, node, bit in bits(data):
-        for k in range(CONTEXTS):
-            counts[k] += np.bincount(slots(of[k], node) * 2 + bit, weights=weight, minlength=2 * TABLE).reshape(TABLE, 2)
+    """Add every byte's bits to ``counts`` (contexts x slots x 2), bytes of no weight left out."""
+    halves = np.zeros(counts.shape[:2], np.uint32)
+    count_halves(data, weight > 0, halves)
+    for k in range(CONTEXTS):
+        counts[k] += cells(halves[k])
+
+
+def bounded(counts: np.ndarray) -> np.ndarray:
+    """Pairs of counts as 16-bit numbers; larger pairs are scaled down, their odds kept."""
+    most = np.maximum(counts.max(axis=-1, keepdims=True), 65535.0)
+    return np.maximum(np.rint(counts * (65535.0 / most)), counts > 0).astype(np.uint16)
+
+
+_LOG = np.log(np.arange(65536) + 0.4).astype(np.float32)
+
+
+#: One occurrence of a 0, of a 1, in a pair seen as one number (zeros first, little-endian).
+_ONE = np.array([1, 1 << 16], np.uint32)
+
+
+def _trust(total: np.ndarray) -> np.ndarray:
+    """0 to 3: how much was counted: nothing, once, up to 6 times, more."""
+    return (total > 0).astype(np.int16) + (total > 1) + (total > 6)
+
+
+def codes(pairs: np.ndarray) -> np.ndarray:
+    """Log odds of bounded pairs in steps of 1/STEPS, and above them how much was counted."""
+    odds = np.rint(np.clip(_LOG[pairs[..., 1]] - _LOG[pairs[..., 0]], -8, 8) * STEPS).astype(np.int16)
+    return odds + 128 + 256 * _trust(pairs[..., 0].astype(np.int64) + pairs[..., 1])
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -290,57 +390,84 @@ def _level(mixed: np.ndarray) -> np.ndarray:
     return np.clip(np.rint((mixed + 8) * 2), 0, LEVELS - 1).astype(np.int64)
 
 
+def _gate(kind: np.ndarray, place: int, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Weight set: kind of the last byte, bit place, and how much was counted behind the word so far, and behind it and the word before."""
+    return (kind * 8 + place) * 16 + word * 4 + pair
+
+
 class Spelling:
     """Mixer and adaptive map over the merged tables."""
 
-    def __init__(self, counts: np.ndarray, weights: np.ndarray | None = None, rates: np.ndarray | None = None):
-        self.counts = counts
-        self.weights = np.full((GATES, CONTEXTS + 1), 0.3) if weights is None else weights
+    def __init__(self, counts: np.ndarray | None, weights: np.ndarray | None = None, rates: np.ndarray | None = None, odds: np.ndarray | None = None, pull: np.ndarray | None = None):
+        self.counts = counts if counts is None or counts.dtype == np.uint16 else bounded(counts)
+        self.odds, self.pull, self.steps = odds, pull, 0
+        self.weights = np.full((GATES, CONTEXTS + 1), 0.2) if weights is None else weights
         if weights is None:
             self.weights[:, -1] = 0
+        self.average = self.weights.copy()
         self.rates = np.zeros((256 * LEVELS, 2)) if rates is None else rates
-        self.odds = np.clip(np.log((counts[:, :, 1] + 0.4) / (counts[:, :, 0] + 0.4)), -8, 8).astype(np.float32)
         centre = _squash((np.arange(LEVELS) / 2 - 8))
         prior = 20 * np.tile(centre, 256)
         self.refined = ((self.rates[:, 1] + prior) / (self.rates.sum(axis=1) + 20)).astype(np.float32)
 
-    def learn(self, data: np.ndarray, weight: np.ndarray, step: float = 0.2) -> None:
-        """One online step for each bit place of a strip of bytes; each byte's own weight is taken out of the counts."""
-        of, kind = contexts(data)
-        for place, node, bit in bits(data):
-            x = np.ones((len(data), CONTEXTS + 1))
+    def learn(self, data: np.ndarray, weight: np.ndarray, step: float = 0.03) -> None:
+        """Online steps over strips of a text's bytes, one for each bit place of a strip; each byte's own occurrence is taken out of the counts."""
+        of, kind = predictors(data, self.pull)
+        learn = np.flatnonzero(weight)
+        for lo in range(0, len(learn), LEARNED):
+            at = learn[lo : lo + LEARNED]
+            self._strip(data[at], [c[at] for c in of], kind[at], step)
+            self.steps += 1
+            self.average += (self.weights - self.average) * (2 / (self.steps + 1))  # later weights count more
+
+    def _strip(self, data: np.ndarray, of: list[np.ndarray], kind: np.ndarray, step: float) -> None:
+        size, first, trust = self.counts.shape[1], [None] * CONTEXTS, [None] * (CONTEXTS - INNER)
+        packed, x = self.counts.view(np.uint32)[:, :, 0], np.ones((CONTEXTS + 1, len(data)), np.float32)
+        for place, node, bit, before, cell in bits(data):
+            one = np.where(bit == 1, _ONE[1], _ONE[0])
             for k in range(CONTEXTS):
-                pair = self.counts[k][slots(of[k], node)]
-                ones, zeros = pair[:, 1] - weight * bit, pair[:, 0] - weight * (1 - bit.astype(np.float64))
-                x[:, k] = np.clip(np.log((np.maximum(ones, 0) + 0.4) / (np.maximum(zeros, 0) + 0.4)), -8, 8)
-            gate = kind * 8 + place
-            mixed = np.einsum("ij,ij->i", x, self.weights[gate])
+                if before is not None:
+                    first[k] = slots(of[k], before, size)
+                pair = packed[k].take(first[k] + cell) - one
+                ones, zeros = pair >> np.uint32(16), pair & np.uint32(0xFFFF)
+                x[k] = _LOG.take(ones) - _LOG.take(zeros)
+                if k >= INNER:
+                    trust[k - INNER] = _trust(ones + zeros)
+            np.clip(x[:CONTEXTS], -8, 8, out=x[:CONTEXTS])
+            gate = _gate(kind, place, *trust[:2])
+            weights = self.weights.T.astype(np.float32)
+            mixed = sum(x[j] * weights[j].take(gate) for j in range(CONTEXTS + 1))
             p = _squash(np.clip(mixed, -12, 12))
-            np.add.at(self.rates, (node.astype(np.int64) * LEVELS + _level(mixed), bit.astype(np.int64)), weight)
-            pull = (bit - p)[:, None] * x
-            for g in np.unique(gate):
-                own = gate == g
-                self.weights[g] += step * 4 * pull[own].sum(axis=0) / (own.sum() + 1.0)
+            self.rates += np.bincount((node.astype(np.int64) * LEVELS + _level(mixed)) * 2 + bit, minlength=512 * LEVELS).reshape(-1, 2)
+            pull, seen = bit - p, np.bincount(gate, minlength=GATES)
+            for j in range(CONTEXTS + 1):
+                self.weights[:, j] += step * 4 * np.bincount(gate, weights=pull * x[j], minlength=GATES) / (seen + 50.0)
 
     def cost(self, data: np.ndarray) -> np.ndarray:
-        """Natural log of each byte's probability."""
+        """Natural log of each byte's probability, given all bytes before it."""
+        if self.odds is None:
+            self.odds = np.stack([codes(c) for c in self.counts])
         out = np.zeros(len(data))
-        weights, refined = self.weights.astype(np.float32), self.refined
+        weights, refined, size = self.weights.T.astype(np.float32), self.refined, self.odds.shape[1]
+        of_all, kinds = predictors(data, self.pull)
         for lo in range(0, len(data), STRIP):
-            back = lo
-            while back > 0 and lo - back < CONTEXTS:  # contexts reach back a few bytes
-                back -= 1
-            part = data[back : lo + STRIP]
-            of, kind = contexts(part)
-            total = np.zeros(len(part), dtype=np.float64)
-            for place, node, bit in bits(part):
-                gate = weights[kind * 8 + place]
-                mixed = gate[:, CONTEXTS].copy()
+            part, of, kind = data[lo : lo + STRIP], [c[lo : lo + STRIP] for c in of_all], kinds[lo : lo + STRIP]
+            first, trust, total = [None] * CONTEXTS, [None] * (CONTEXTS - INNER), np.zeros(len(part), dtype=np.float64)
+            for place, node, bit, before, cell in bits(part):
+                x = np.empty((CONTEXTS, len(part)), np.float32)
                 for k in range(CONTEXTS):
-                    mixed += gate[:, k] * self.odds[k][slots(of[k], node)]
+                    if before is not None:
+                        first[k] = slots(of[k], before, size)
+                    code = self.odds[k].take(first[k] + cell)
+                    x[k] = (code & 255) - 128
+                    if k >= INNER:
+                        trust[k - INNER] = code >> 8
+                x *= np.float32(1 / STEPS)
+                gate = _gate(kind, place, *trust[:2])
+                mixed = weights[CONTEXTS].take(gate) + sum(x[j] * weights[j].take(gate) for j in range(CONTEXTS))
                 p = 0.5 * (_squash(np.clip(mixed, -12, 12)) + refined[node.astype(np.int64) * LEVELS + _level(mixed)])
                 total += np.log(np.where(bit == 1, p, 1 - p))
-            out[lo : lo + STRIP] = total[lo - back :]
+            out[lo : lo + STRIP] = total
         return out
 
 
@@ -349,42 +476,93 @@ def _per_word(data: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(data == _SPACE)[:-1])) if len(data) else np.zeros(0, np.int64)
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((CONTEXTS, TABLE, 2))
-    any_rows = False
+def normal(text: bytes) -> bytes:
+    """The words of a text, each closed by a space."""
+    words = text.lower().split()
+    return b" ".join([*words, b""]) if words else b""
+
+
+def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, text of each byte) of the words of whole texts, some texts at a time; -1 marks bytes that only stand before others.
+
+    Every text begins behind the same spaces. A text longer than ``PIECE`` comes
+    in several pieces, each behind the ``BEHIND`` bytes before it.
+    """
+    held: list[bytes] = []
+    owner: list[np.ndarray] = []
+    size = 0
+    for i, t in enumerate(map(normal, texts)):
+        for lo in range(0, len(t), PIECE):
+            lead = t[lo - BEHIND : lo] if lo else _LEAD
+            part = t[lo : lo + PIECE]
+            held += [lead, part]
+            owner += [np.full(len(lead), -1, np.int32), np.full(len(part), i, np.int32)]
+            size += len(lead) + len(part)
+            if size >= PIECE:
+                yield np.frombuffer(b"".join(held), np.uint8), np.concatenate(owner)
+                held, owner, size = [], [], 0
+    if held:
+        yield np.frombuffer(b"".join(held), np.uint8), np.concatenate(owner)
+
+
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, whether each is learned from) of the training texts of blocks, some blocks at a time, their texts by a hash."""
+    held: list[bytes] = []
+
+    def flush() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for data, owner in pieces(sorted(held, key=lambda t: (zlib.crc32(t), t))):
+            yield data, owner >= 0
+        held.clear()
+
     for batch in batches:
-        for payload in batch.column(0).to_pylist():
-            count, data = _training_words(payload)
+        for blob in batch.column(0).to_pylist():
+            _, flags, texts = unpack_block(blob)
+            held += [t for t, f in zip(texts, flags) if f & 2]
+            if sum(map(len, held)) >= 4 * PIECE:
+                yield from flush()
+    yield from flush()
+
+
+def table_size(distinct: int) -> int:
+    """Slots of each context's table: 16 or more for each distinct training word, up to ``LARGEST``."""
+    return min(max(TABLE, 1 << (16 * max(distinct, 1) - 1).bit_length()), LARGEST)
+
+
+def _tables(size: int, pull: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, any_rows = np.zeros((CONTEXTS, size), np.uint32), False
+        for data, learn in _learned(batches):
             any_rows = True
-            weight = count[_per_word(data)].astype(np.float64)
-            for lo in range(0, len(data), 1 << 20):
-                back = max(0, lo - CONTEXTS)
-                own = weight[back : lo + (1 << 20)].copy()
-                own[: lo - back] = 0
-                count_bits(data[back : lo + (1 << 20)], own, counts)
-    if any_rows:
-        width = TABLE // PARTS
-        rows = [(k, p, _zip(counts[k, p * width : (p + 1) * width].astype("<f4").tobytes())) for k in range(CONTEXTS) for p in range(PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["context", "part", "payload"])
+            count_halves(data, learn, counts, pull)
+        if any_rows:
+            width = size // PARTS
+            for k in range(CONTEXTS):
+                rows = [_planes(counts[k, p * width : (p + 1) * width]) for p in range(PARTS)]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * PARTS, pa.int32()), pa.array(range(PARTS), pa.int32()), pa.array(rows, pa.binary())], names=["context", "part", "payload"])
 
+    return run
 
-def _add_tables(table: pa.Table) -> pa.Table:
+
+def _add_moments(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(_unzip(p), "<f4").astype(np.float64) for p in table.column("payload").to_pylist())
     return pa.table([table.column("context").slice(0, 1), table.column("part").slice(0, 1), pa.array([_zip(total.astype("<f4").tobytes())], pa.binary())], names=["context", "part", "payload"])
 
 
-def _fit(counts_value):
+def _add_tables(table: pa.Table) -> pa.Table:
+    total = 0.0
+    for p in table.column("payload"):
+        total = total + _unplanes(p.as_py()).astype(np.float64)
+    return pa.table([table.column("context").slice(0, 1), table.column("part").slice(0, 1), pa.array([_zip(bounded(cells(total)).tobytes())], pa.binary())], names=["context", "part", "payload"])
+
+
+def _fit(counts_value, pull: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = Spelling(counts_value.value.astype(np.float64)), 0.0
-        for batch in batches:
-            for payload in batch.column(0).to_pylist():
-                count, data = _training_words(payload)
-                weight = count[_per_word(data)].astype(np.float64)
-                for lo in range(0, len(data), STRIP):
-                    model.learn(data[lo : lo + STRIP], weight[lo : lo + STRIP])
-                seen += float(count.sum())
+        model, seen = Spelling(np.stack([np.frombuffer(_unzip(c), np.uint16).reshape(-1, 2) for c in counts_value.value]), pull=pull), 0.0
+        for data, learn in _learned(batches):
+            model.learn(data, learn)
+            seen += float(learn.sum())
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([model.weights.astype("<f8").tobytes()], pa.binary()), pa.array([_zip(model.rates.astype("<f8").tobytes())], pa.binary())], names=["seen", "weights", "rates"])
+            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([model.average.astype("<f8").tobytes()], pa.binary()), pa.array([_zip(model.rates.astype("<f8").tobytes())], pa.binary())], names=["seen", "weights", "rates"])
 
     return run
 
@@ -393,58 +571,33 @@ def _fit(counts_value):
 
 
 class Scorer:
-    """Scores blocks with a fitted model; keeps the spelling costs of words it has met."""
+    """Scores blocks with a fitted model."""
 
     def __init__(self, model: dict, buckets: int):
         self.model, self.buckets = model, buckets
-        self.spelling = Spelling(model["counts"], model["weights"], model["rates"])
-        self.known_hash, self.known_cost = np.zeros(0, np.uint64), np.zeros(0)
-
-    def spell(self, own: BlockWords) -> np.ndarray:
-        """Natural log of the spelled probability of the block's distinct words."""
-        order = np.argsort(own.hash)
-        sorted_hash = own.hash[order]
-        at = np.searchsorted(self.known_hash, sorted_hash)
-        met = (at < len(self.known_hash)) & (self.known_hash[np.minimum(at, max(len(self.known_hash) - 1, 0))] == sorted_hash) if len(self.known_hash) else np.zeros(len(at), bool)
-        cost = np.zeros(len(own))
-        cost[order[met]] = self.known_cost[at[met]]
-        new = np.flatnonzero(~met)
-        if len(new):
-            data, start, end = own.words.data, own.words.start, own.words.end
-            first = own.first[order[new]]
-            spelled = np.frombuffer(b"".join(data[start[f] : end[f]].tobytes() + b" " for f in first), np.uint8)
-            each = np.bincount(_per_word(spelled), weights=self.spelling.cost(spelled), minlength=len(new))
-            cost[order[new]] = each
-            if len(self.known_hash) + len(new) > KEPT:
-                self.known_hash, self.known_cost = np.zeros(0, np.uint64), np.zeros(0)
-            merged = np.concatenate((self.known_hash, sorted_hash[new]))
-            place = np.argsort(merged, kind="stable")
-            self.known_hash, self.known_cost = merged[place], np.concatenate((self.known_cost, each))[place]
-        return cost
+        self.spelling = Spelling(None, model["weights"], model["rates"], np.stack([np.frombuffer(_unzip(c), np.int16) for c in model["odds"]]), model["pull"])
+
+    def spell(self, texts: list[bytes]) -> np.ndarray:
+        """Natural log of the probability of each text's words."""
+        total = np.zeros(len(texts))
+        for data, owner in pieces(texts):
+            own = owner >= 0
+            total += np.bincount(owner[own], weights=self.spelling.cost(data)[own], minlength=len(texts))
+        return total
 
     def block(self, blob: bytes, answers: dict[int, bytes]) -> list[list]:
         m = self.model
         ids, flags, texts = unpack_block(blob)
         own = BlockWords(texts, self.buckets)
-        parts = [_unplanes(answers[b]).reshape(CLASSES, n).astype(np.float64) for b, n in enumerate(np.diff(own.limits)) if n]
-        by_class = np.concatenate([np.zeros((CLASSES, 0)), *parts], axis=1)
-        count = by_class.sum(axis=0)
+        count = np.concatenate([np.zeros(0), *[_unplanes(answers[b])[:n].astype(np.float64) for b, n in enumerate(np.diff(own.limits)) if n]])
         n_words, bounds, inverse = np.diff(own.words.bounds), own.words.bounds, own.inverse
         below = np.log10(m["tokens"] + 0.5 * (m["distinct"] + 1))
         base = np.log10(count + 0.5) - below
-        spelled = self.spell(own)
-        new = m["new"]
         total = lambda per_word: np.add.reduceat(np.append(per_word[inverse], 0.0), np.append(bounds[:-1], len(inverse)))[: len(n_words)] * (n_words > 0)
         ends = m["ends"]
         stay = np.concatenate(([0.0], np.cumsum(np.log1p(-ends[lag(np.arange(int(n_words.max(initial=0)) + 1))]))))
         end_log = stay[n_words] + np.log(ends[lag(n_words)])
-        with np.errstate(divide="ignore"):
-            fresh, shares = np.log(new) + spelled, np.log1p(-new) if new < 1 else -np.inf
-            by_gate = []
-            for k in range(CLASSES):
-                share = (by_class[k] + LENT * count / max(m["words"], 1)) / (m["class_words"][k] + LENT)
-                by_gate.append(np.log(m["class_texts"][k]) + total(np.logaddexp(shares + np.log(share), fresh)))
-        score = (np.logaddexp.reduce(by_gate, axis=0) + end_log) / np.log(10)
+        score = (self.spell(texts) + end_log) / np.log(10)
         size = np.array([len(t) for t in texts])
         return [
             ids, [bool(f & 1) for f in flags], (n_words + 1).tolist(), (total((count > 0).astype(np.float64)).astype(np.int64) + int(m["end_count"] > 0)).tolist(),
@@ -474,30 +627,30 @@ def score_documents(docs: DataFrame, modulus: int = 5, remainder: int = 1, id_co
     packed = saved(rows.mapInArrow(_pack, "block long, blob binary"))
     blocks = packed.where("block >= 0")
     moments = packed.where("block < 0").select(F.lit(0).alias("context"), F.pmod("block", F.lit(16)).cast("int").alias("part"), F.col("blob").alias("payload"))
-    moments = moments.groupBy("context", "part").applyInArrow(_add_tables, "context int, part int, payload binary").collect()
-    mean, lead = axes(sum((np.frombuffer(_unzip(r["payload"]), "<f4").astype(np.float64) for r in moments), np.zeros(1 + PAIRS + PAIRS * PAIRS)))
+    moments = moments.groupBy("context", "part").applyInArrow(_add_moments, "context int, part int, payload binary").collect()
+    pull = directions(*axes(sum((np.frombuffer(_unzip(r["payload"]), "<f4").astype(np.float64) for r in moments), np.zeros(1 + PAIRS + PAIRS * PAIRS))))
     buckets = partitions(spark)
-    merged = saved(blocks.mapInArrow(_request(buckets, mean, lead), "bucket int, block long, payload binary").groupBy("bucket").applyInArrow(_merge, _MERGED))
+    merged = saved(blocks.mapInArrow(_request(buckets), "bucket int, block long, payload binary").groupBy("bucket").applyInArrow(_merge, _MERGED))
     words = merged.where(F.col("kind") == WORDS)
-    n, v, once = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("once"), F.lit(0))).first()
-    ends = sum((np.frombuffer(r["payload"], "<f8") for r in merged.where(F.col("kind") == ENDS).select("payload").collect()), np.zeros(2 * LAGS + 2 * CLASSES))
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    ends = sum((np.frombuffer(r["payload"], "<f8") for r in merged.where(F.col("kind") == ENDS).select("payload").collect()), np.zeros(2 * LAGS))
     texts = int(ends[:LAGS].sum())
 
-    few = words.select("payload").coalesce(max(16, buckets // 4))
-    counts = np.zeros((CONTEXTS, TABLE, 2), dtype=np.float32)
-    for r in few.mapInArrow(_tables, "context int, part int, payload binary").groupBy("context", "part").applyInArrow(_add_tables, "context int, part int, payload binary").collect():
-        width = TABLE // PARTS
-        counts[r["context"], r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(_unzip(r["payload"]), "<f4").reshape(width, 2)
-    shared = spark.sparkContext.broadcast(counts)  # CONTEXTS x TABLE pairs, whatever the corpus
+    few, size = blocks.select("blob").coalesce(max(16, buckets // 4)), table_size(v)
+    counts, width = np.zeros((CONTEXTS, size, 2), dtype=np.uint16), size // PARTS
+    for r in few.mapInArrow(_tables(size, pull), "context int, part int, payload binary").groupBy("context", "part").applyInArrow(_add_tables, "context int, part int, payload binary").toLocalIterator():
+        counts[r["context"], r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(_unzip(r["payload"]), np.uint16).reshape(width, 2)
+    shared = spark.sparkContext.broadcast([_zip(c.tobytes()) for c in counts])  # CONTEXTS x LARGEST pairs at most
     weights, rates, seen = np.zeros((GATES, CONTEXTS + 1)), np.zeros((256 * LEVELS, 2)), 0.0
-    for r in few.mapInArrow(_fit(shared), "seen double, weights binary, rates binary").collect():
+    learners = blocks.select("blob").coalesce(max(1, min(max(16, buckets // 4), n // ALONE)))  # few texts: one mixer sees all
+    for r in learners.mapInArrow(_fit(shared, pull), "seen double, weights binary, rates binary").collect():
         weights += r["seen"] * np.frombuffer(r["weights"], "<f8").reshape(weights.shape)
         rates += np.frombuffer(_unzip(r["rates"]), "<f8").reshape(rates.shape)
         seen += r["seen"]
+    shared.destroy()
     model = {
-        "counts": counts, "weights": weights / seen if seen else Spelling(counts).weights, "rates": rates, "words": n, "tokens": n + texts, "distinct": v + (texts > 0), "end_count": texts,
-        "new": min(max((once + 1) / (n + 2), 1e-9), 1.0) if n else 1.0, "ends": np.clip((ends[:LAGS] + 0.05) / (ends[LAGS : 2 * LAGS] + 0.1), 1e-9, 1 - 1e-9),
-        "class_texts": (ends[2 * LAGS : 2 * LAGS + CLASSES] + 1.0) / (texts + CLASSES), "class_words": ends[2 * LAGS + CLASSES :],
+        "odds": [_zip(codes(c).tobytes()) for c in counts], "pull": pull, "weights": weights / seen if seen else Spelling(counts).weights, "rates": rates, "tokens": n + texts, "distinct": v + (texts > 0), "end_count": texts,
+        "ends": np.clip((ends[:LAGS] + 0.05) / (ends[LAGS:] + 0.1), 1e-9, 1 - 1e-9),
     }
     model_value = spark.sparkContext.broadcast(model)
 

@@ -93,3 +93,16 @@ def test_odd_rows(odd, nothing):
     assert lm.score_documents(nothing).count() == 0
     unlearned = lm.score_documents(odd.where("doc_id IS NULL")).toPandas()
     assert len(unlearned) == 2 and np.isfinite(unlearned.score).all() and (unlearned.n_known == 0).all()
+
+
+def test_words_are_scored_behind_the_words_before_them(spark):
+    """The order of the words counts, and what follows reliably costs little."""
+    rng = np.random.default_rng(3)
+    names = [f"{a}{b}" for a in ("ka", "lo", "mi", "tu", "re", "so") for b in ("n", "r", "st", "l", "x")]
+    after = dict(zip(names, rng.permutation(names).tolist()))
+    rows = [(i, " ".join(f"{w} {after[w]}" for w in rng.choice(names, 40))) for i in range(300)]
+    held = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 == 1]
+    rows += [(1000 + 10 * i + k, " ".join(rng.permutation(t.split()).tolist())) for i, t in held for k in range(10) if zlib.crc32(str(1000 + 10 * i + k).encode()) % 5 == 1]
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").toPandas()
+    whole, mixed = got[got.doc_id < 1000], got[got.doc_id >= 1000]
+    assert len(mixed) and whole.bits_per_byte.mean() < 0.8 * mixed.bits_per_byte.mean()
