@@ -138,9 +138,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     longest = max(len(k) for k in known)
     numbers = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), F.lit(v))])
     starts = sorted({k.split(" ")[0] for k in known})
-    quick = "^[^A-Za-z0-9]*(" + "|".join(starts) + ")([^A-Za-z0-9]|$)"
+    quick = "^[^A-Za-z0-9]*+(?i:" + "|".join(starts) + ")([^A-Za-z0-9]|$)"  # the first ASCII word, however far in
     pieces = F.split(F.coalesce(F.col(text_col), F.lit("")), BREAK)
-    likely = F.filter(pieces, lambda s: F.translate(F.substring(s, 1, 64), _UPPER, _LOWER).rlike(quick))
+    likely = F.filter(pieces, lambda s: s.rlike(quick))
     forms = F.filter(F.transform(likely, _normalise), lambda s: F.length(s) <= longest)
     found = F.filter(F.transform(forms, lambda s: F.element_at(numbers, s)), lambda n: n.isNotNull())
     out = docs.select(F.col(id_col).alias("doc_id"), F.transform(found, lambda n: n.cast("string")).alias("__ids"))

@@ -33,3 +33,9 @@ def test_odd_rows(odd, nothing):
     assert licenses.scan_licenses(odd).count() == odd.count()
     assert licenses.scan_licenses(nothing).count() == 0
     assert "PythonUDF" not in (plan := licenses.scan_licenses(odd)._jdf.queryExecution().toString()) and "Exchange" not in plan
+
+
+def test_known_sentences_behind_long_banners(spark):
+    lead = ["#" * 63, "#" * 64, "=" * 500, " " * 200, "Лицензия " * 20, "许可证" * 40]
+    got = found(spark, *[f"{x} Licensed under the MIT License" for x in lead])
+    assert all(g == (1, "MIT") for g in got.values())
