@@ -8,7 +8,7 @@ All stages but the last return the columns of documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.common import stored, table
 from quillon.llm.langid import identify_languages
@@ -18,8 +18,8 @@ from quillon.llm.personal import mask_personal_data
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of undetermined language: null texts and texts without a letter."""
-    return identify_languages(docs, keep=True).where(F.col("__lang_pred") != "und").drop("__lang_pred", "__score")
+    """Drops null texts and texts without a letter; documents stay where no language could be learned."""
+    return identify_languages(docs, keep=True, letter=True).where("__letter").drop("__lang_pred", "__score", "__letter")
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,3 +42,11 @@ def test_odd_rows(spark, odd, nothing):
         for _, stage in corpus_pipeline.STAGES:
             now = stage(spark, now, "")
         now.collect()
+
+
+def test_nothing_to_learn_drops_nothing_with_letters(spark, docs):
+    from pyspark.sql import functions as F
+
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, bare, "").collect()}
+    assert kept and kept == {r["doc_id"] for r in docs.collect() if has_letter(r["text"])}
