@@ -4,6 +4,12 @@ A text is cut into sentences, each sentence is normalised and looked up among
 known licence sentences; the identifiers found, in text order, are matched
 against ordered licence rules, longest rules first, and a rule uses up the
 identifiers it matches. Built-in functions only: no shuffle, no Python.
+
+A sentence ends at closing marks before white space or the text's end and at
+blank lines (lines without an ASCII letter or digit, so comment frames too). A
+single line end may be a wrap: a known sentence is found over any number of
+whole lines, if it begins and ends where a line or sentence does. Marks at the
+beginning of a line (comment leaders, bullets) are left out.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ SENTENCES = [
     ("apache-notice", "Licensed under the Apache License, Version 2.0"),
     ("apache-notice-full", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License"),
     ("apache-copy", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-copy", "You may obtain a copy of the License at"),
     ("apache-asis", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
     ("apache-see", "See the License for the specific language governing permissions and limitations under the License"),
     ("mit-notice", "Released under the MIT License"),
@@ -91,9 +98,17 @@ RULES = [
     ("Proprietary", ["all-rights"]),
 ]
 
-#: Ends of sentences: closing marks before white space or the end, and line ends.
-BREAK = r"[.!?]+([ \t]+|[\r\n\f]+|$)|[\r\n\f]+"
+# In the marked form letters are lower case, so capitals are free: S ends a sentence, L a line.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FOLD_FROM, _FOLD_TO = _UPPER + "\f", _LOWER + "S"
+#: (pattern, replacement) that turn a folded text into its marked form, in order; they mean the same in Java's and in RE2's syntax.
+MARKING = [
+    (r"(\r\n?|\n)[^a-z0-9S\r\n]*", "L"),
+    (r"[.!?]+([ \tL]|\z)", "S"),
+    (r"[^a-z0-9SL]+", " "),
+    (r"[ SL]*(S|L *L)[ SL]*", ">|<"),
+    (r" ?L ?", "><"),
+]
 
 
 def normal(sentence: str) -> str:
@@ -121,8 +136,18 @@ def rule_patterns() -> list[tuple[str, str]]:
     return [(name, "".join(f"<{numbers[i]}>" for i in ids)) for name, ids in RULES]
 
 
-def _normalise(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, _UPPER, _LOWER), "[^a-z0-9]+", " "))
+def sentence_pattern() -> str:
+    """Any known sentence in a marked text, longest first; its words may be parted by line ends."""
+    forms = sorted(known_sentences(), key=lambda s: (-len(s), s))
+    return "<(?:" + "|".join(f.replace(" ", "(?: |><)") for f in forms) + ")>"
+
+
+def _marked(text: Column) -> Column:
+    """The text as ``<piece>`` for each line of a sentence, with ``|`` between sentences."""
+    out = F.translate(text, _FOLD_FROM, _FOLD_TO)
+    for pattern, replacement in MARKING:
+        out = F.regexp_replace(out, pattern, replacement)
+    return F.concat(F.lit("<"), F.trim(out), F.lit(">"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,15 +159,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     punctuation-only texts give zeros and empty strings; ids are passed through
     unchanged, null and repeated ones too; an empty table gives no rows.
     """
-    known = known_sentences()
-    longest = max(len(k) for k in known)
-    numbers = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), F.lit(v))])
-    starts = sorted({k.split(" ")[0] for k in known})
-    quick = "^[^A-Za-z0-9]*+(?i:" + "|".join(starts) + ")([^A-Za-z0-9]|$)"  # the first ASCII word, however far in
-    pieces = F.split(F.coalesce(F.col(text_col), F.lit("")), BREAK)
-    likely = F.filter(pieces, lambda s: s.rlike(quick))
-    forms = F.filter(F.transform(likely, _normalise), lambda s: F.length(s) <= longest)
-    found = F.filter(F.transform(forms, lambda s: F.element_at(numbers, s)), lambda n: n.isNotNull())
+    numbers = F.create_map(*[x for k, v in known_sentences().items() for x in (F.lit(k), F.lit(v))])
+    matches = F.regexp_extract_all(_marked(F.coalesce(F.col(text_col), F.lit(""))), F.lit(sentence_pattern()), F.lit(0))
+    found = F.transform(matches, lambda m: F.element_at(numbers, F.regexp_replace(F.translate(m, "<", " "), "^ |>", "")))
     out = docs.select(F.col(id_col).alias("doc_id"), F.transform(found, lambda n: n.cast("string")).alias("__ids"))
     out = out.select("doc_id", F.size("__ids").cast("long").alias("n_sentences"), F.when(F.size("__ids") > 0, F.concat(F.lit("<"), F.array_join("__ids", "><"), F.lit(">"))).otherwise("").alias("sentence_ids"))
     marked = F.col("sentence_ids")
@@ -161,13 +180,14 @@ def oracle() -> str:
     marked = "sentence_ids"
     for name, pattern in rule_patterns():
         marked = f"replace({marked}, {quote(pattern)}, {quote('{' + name + '}')})"
-    breaks = "[.!?]+([ \\t]+|[\\r\\n\\f]+|$)|[\\r\\n\\f]+"
+    text = f"translate(coalesce(text, ''), '{_UPPER}' || chr(12), '{_FOLD_TO}')"
+    for pattern, replacement in MARKING:
+        text = f"regexp_replace({text}, {quote(pattern)}, {quote(replacement)}, 'g')"
     return f"""
 WITH pieces AS (
-  SELECT doc_id, list_transform(string_split_regex(coalesce(text, ''), {quote(breaks)}),
-    lambda s: trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'))) AS forms FROM documents
+  SELECT doc_id, regexp_extract_all('<' || trim({text}) || '>', {quote(sentence_pattern())}, 0) AS matches FROM documents
 ), found AS (
-  SELECT doc_id, list_filter(list_transform(forms, lambda s: map([{keys}], [{values}])[s]), lambda n: n IS NOT NULL) AS ids FROM pieces
+  SELECT doc_id, list_transform(matches, lambda m: map([{keys}], [{values}])[regexp_replace(translate(m, '<', ' '), '^ |>', '', 'g')]) AS ids FROM pieces
 ), joined AS (
   SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences,
     CASE WHEN len(ids) > 0 THEN '<' || array_to_string(ids, '><') || '>' ELSE '' END AS sentence_ids FROM found
