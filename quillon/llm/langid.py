@@ -23,7 +23,8 @@ SLOTS_LOG2 = 16
 SLOTS = 1 << SLOTS_LOG2
 ORDERS = 4
 SLICE, BATCH = 1 << 20, 128
-_LETTER = re.compile(r"[^\W\d_]")
+#: Runs of word characters other than digits and the underscore: letters, and numerals that are none.
+_LETTERS = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -95,7 +96,8 @@ def scores(flags: np.ndarray, folded: np.ndarray) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    """Whether the text holds a letter (Unicode category L): numerals such as ``½``, ``²`` or ``Ⅷ`` are none."""
+    return text is not None and any(c.isalpha() for m in _LETTERS.finditer(text) for c in m.group())
 
 
 def training_sample(docs: DataFrame, held_out: Column, per_language: int) -> list[tuple[np.ndarray, str]]:

@@ -26,12 +26,50 @@ def test_slices_change_nothing(monkeypatch):
     assert (after & before == before).all() and after.sum() - before.sum() <= 12  # a slice's first gram may begin with a space
 
 
-def test_folding_equals_kernel_scores():
-    slots = [np.flatnonzero(langid.presence(t)) for t in ("der die und das", "the and of it", "und die der", "of the and")]
-    names, folded = langid.fit(slots, ["de", "en", "de", "en"], landmarks=4)
-    assert names == ["de", "en"]
-    got = langid.scores(np.stack([langid.presence("die und der"), langid.presence("it of the")]), folded)
-    assert got.argmax(axis=1).tolist() == [0, 1]
+def test_fit_and_scores_equal_plain_kernel_ridge():
+    """Kernels from sets, the normal equations of the Nyström ridge solved as they stand, scores as sums over landmarks."""
+    train = [("der die und das ist", "de"), ("the and of it was", "en"), ("und die der haus", "de"), ("of the and house", "en"), ("le la et les des", "fr"), ("ein haus und der hund", "de"), ("les maisons et la rue", "fr")]
+    sets = [frozenset(np.flatnonzero(langid.presence(t)).tolist()) for t, _ in train]
+    labels = [x for _, x in train]
+    kernel = lambda a, b: len(a & b) / (max(len(a), 1) ** 0.5 * max(len(b), 1) ** 0.5)
+    names, folded = langid.fit([np.array(sorted(s)) for s in sets], labels, landmarks=12, ridge=1e-3)
+    assert names == ["de", "en", "fr"]
+    marks = [i for name in names for i in [j for j, x in enumerate(labels) if x == name][:4]]
+    rows = np.array([[kernel(s, sets[m]) for m in marks] for s in sets])
+    share = np.diag([1 / labels.count(x) for x in labels])
+    target = np.array([[1.0 if x == n else -1.0 for n in names] for x in labels])
+    inner = np.array([[kernel(sets[a], sets[b]) for b in marks] for a in marks])
+    alpha = np.linalg.solve(rows.T @ share @ rows + 1e-3 * inner + 1e-6 * np.eye(len(marks)), rows.T @ share @ target)
+    asked = ["die und der", "it of the", "la rue des", "zz", "ein the"]
+    flags = np.stack([langid.presence(t) for t in asked])
+    expected = [[sum(kernel(frozenset(np.flatnonzero(f).tolist()), sets[m]) * alpha[i, c] for i, m in enumerate(marks)) for c in range(3)] for f in flags]
+    np.testing.assert_allclose(langid.scores(flags, folded), expected, atol=2e-4)
+    assert langid.scores(flags, folded).argmax(axis=1)[:3].tolist() == [0, 1, 2]
+
+
+def test_query_equals_plain_kernel_ridge(spark, docs):
+    """The query's predictions from its own documented sample, brute force: one row at a time, over sets."""
+    sample = langid.training_sample(docs, langid.held_out_rows(), 200)
+    assert all(sum(x == name for _, x in sample) <= 200 for name in {x for _, x in sample})
+    held = {r["doc_id"] for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2}
+    names, folded = langid.fit([s for s, _ in sample], [x for _, x in sample])
+    got = {r["doc_id"]: r for r in langid.identify_languages(docs).collect()}
+    for r in docs.collect():
+        mine = got[r["doc_id"]]
+        assert mine["held_out"] == (r["doc_id"] in held)
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (mine["lang_pred"], mine["score"]) == ("und", 0.0)
+            continue
+        slots = np.flatnonzero(langid.presence(r["text"]))
+        score = folded[slots].astype(np.float64).sum(axis=0) / len(slots) ** 0.5
+        best = np.sort(score)[::-1]
+        assert mine["lang_pred"] == names[int(score.argmax())] or best[0] - best[1] < 1e-4
+        assert abs(mine["score"] - 1 / (1 + np.exp(-4 * (best[0] - best[1])))) < 1e-3
+
+
+def test_letters():
+    assert not any(langid.has_letter(t) for t in (None, "", "½ ² Ⅷ ① 12 _ -", "\u0301 ٣", "\U0001f600"))
+    assert all(langid.has_letter(t) for t in ("½a", "中", "ª", "1 é", "\U00010400"))
 
 
 def test_held_out_accuracy(spark, docs):
