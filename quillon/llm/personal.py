@@ -1,13 +1,16 @@
 """Personal data: exact base patterns, and identifiers found by bootstrapped contexts.
 
 Base spans (e-mail, IP, payment card, phone) are the seeds. Every
-identifier-like token (a seed, or a token with digits) is an instance; its
-surroundings induce lexical patterns: the word before it, the two words before
-it, the word before it with its shape, and the words on both sides. Patterns and instances form a
-bipartite graph, which Spark scores in rounds: a pattern's confidence is the
-mean score of its instances, an instance's score the confidence of its best
-accepted pattern. Instances that end above the threshold are identifiers that
-no base pattern saw.
+identifier-like token is an instance: a seed, a token with a digit of whatever
+length, or groups joined by single blanks, dashes or colons (account numbers,
+national phones, hardware and long IP addresses). Its surroundings induce
+lexical patterns: the word before it, the two words before it, the word before
+it with its shape, and the words on both sides. Patterns and instances form a
+bipartite graph, which Spark scores in rounds: a pattern is accepted where its
+instances' scores add up to ``support`` and their mean, its confidence, is high
+enough; an instance's score is the confidence of its best accepted pattern.
+Instances that end above the threshold are identifiers that no base pattern
+saw. Tokens without an ASCII digit are no instances.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from quillon.llm.common import saved, text_groups
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "identifier"
+#: Rounds of scoring; least mean score of an accepted pattern's instances, and of an identifier; least sum of a pattern's instances' scores.
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.6, 3.0
-LONGEST, SHORTEST = 128, 6
 #: Most identifiers that are sent to every executor.
 _BROADCAST = 500_000
 
@@ -35,7 +38,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
-_BREAKS = frozenset(" \t\n\x0b\f\r=:")
+_SPACES = frozenset(" \t\n\x0b\f\r")
+_BREAKS = _SPACES | frozenset("=:")
+_BREAK = re.compile("[ \t\n\x0b\f\r=:]")
+#: Groups of one identifier: account numbers in fours; digits with blanks or dashes; hexadecimal groups with colons.
+_RUN = re.compile(r"(?<![\w:+-])(?:[A-Z]{2}[0-9]{2}(?: [0-9A-Z]{4})+(?: [0-9A-Z]{1,3})?|[0-9]{1,5}(?:[ -][0-9]{2,8})+|(?=[A-Fa-f:]*[0-9])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,})(?![\w:])")
 _WRAP = "\"'`()[]{}<>,;.!?*|"
 
 
@@ -81,24 +88,24 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _word_before(text: str, at: int) -> tuple[str, int]:
-    """The last word before ``at`` in the same line, with its end marks, and where it begins; empty at the line's start."""
+    """The last word before ``at`` in the same line, with its end marks, and where it begins; empty at the line's start. ``=`` and ``:`` end a word."""
     end = at
     while end > 0 and text[end - 1] in " \t":
         end -= 1
     start = end
-    while start > 0 and end - start < 48 and text[start - 1] not in " \t\n\r\x0b\f":
+    while start > 0 and text[start - 1] in "=:":
+        start -= 1
+    while start > 0 and text[start - 1] not in _BREAKS:
         start -= 1
     return text[start:end], start
 
 
 def _word_after(text: str, at: int) -> str:
-    end = at
-    while end < len(text) and text[end] in _WRAP + " \t":
-        end += 1
-    start = end
-    while end < len(text) and end - start < 48 and text[end] not in " \t\n\r\x0b\f":
-        end += 1
-    return text[start:end]
+    start = at
+    while start < len(text) and (text[start] in _WRAP or text[start] in " \t=:"):
+        start += 1
+    m = _BREAK.search(text, start)
+    return text[start : m.start() if m else len(text)]
 
 
 def _form(word: str) -> str:
@@ -128,25 +135,35 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, in
         else:
             merged.append([a, b])
     starts = [a for a, _ in merged]
-    found = [(a, b, True) for a, b in merged if b - a <= LONGEST]
-    done = 0
+
+    def free(start: int, end: int) -> bool:
+        near = bisect_right(starts, end - 1) - 1
+        return near < 0 or merged[near][1] <= start
+
+    found, runs = [(a, b, True) for a, b in merged], []
+    if _DIGITS.search(text) is not None:
+        runs = [(m.start(), m.end()) for m in _RUN.finditer(text) if free(*m.span())]
+        found += [(a, b, False) for a, b in runs]
+    done, run = 0, 0
     for m in _DIGITS.finditer(text):
         if m.start() < done:
             continue
-        start, end = m.start(), m.end()
-        while start > done and end - start <= LONGEST and text[start - 1] not in _BREAKS:
-            start -= 1
-        while end < len(text) and end - start <= LONGEST and text[end] not in _BREAKS:
-            end += 1
-        done = max(end, m.end())
-        if end - start > LONGEST:
+        while run < len(runs) and runs[run][1] <= m.start():
+            run += 1
+        if run < len(runs) and runs[run][0] <= m.start():
+            done = runs[run][1]
             continue
+        start = m.start()
+        while start > done and text[start - 1] not in _BREAKS:
+            start -= 1
+        after = _BREAK.search(text, m.end())
+        end = after.start() if after else len(text)
+        if run < len(runs):
+            end = min(end, runs[run][0])
+        done = end
         token = text[start:end]
         start, end = start + len(token) - len(token.lstrip(_WRAP)), end - len(token) + len(token.rstrip(_WRAP))
-        near = bisect_right(starts, end - 1) - 1
-        if near >= 0 and merged[near][1] > start:
-            continue
-        if end - start >= SHORTEST and sum(c.isdecimal() for c in text[start:end]) >= 2:
+        if free(start, end):
             found.append((start, end, False))
     out = []
     for start, end, seed in sorted(found):
@@ -184,7 +201,7 @@ def score_instances(edges: DataFrame, seeds: DataFrame, rounds: int, confidence:
     scored = saved(seeds.select("instance", F.lit(1.0).alias("score")), small=True)
     for _ in range(rounds):
         marked = edges.join(scored, "instance", "left")
-        patterns = marked.groupBy("pattern").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("positive"), F.count(F.lit(1)).alias("n"))
+        patterns = marked.groupBy("pattern").agg(F.round(F.sum(F.coalesce("score", F.lit(0.0))), 9).alias("positive"), F.count(F.lit(1)).alias("n"))
         accepted = saved(patterns.where((F.col("positive") >= support) & (F.col("positive") / F.col("n") >= confidence)).select("pattern", (F.col("positive") / F.col("n")).alias("confidence")), small=True)
         reached = edges.join(accepted, "pattern").groupBy("instance").agg(F.max("confidence").alias("score"))
         scored = saved(reached.unionByName(seeds.select("instance", F.lit(1.0).alias("score"))).groupBy("instance").agg(F.max("score").alias("score")), small=True)

@@ -66,3 +66,80 @@ def test_odd_rows(odd, nothing):
     assert kept.columns == odd.columns and kept.count() == odd.count()
     assert kept.where("doc_id = 1").first()["text"] is None
     assert find_personal_data(nothing).count() == 0 and mask_personal_data(nothing).count() == 0
+
+
+def spans_of(text):
+    return [(text[a:b], seed) for a, b, _, seed, _ in personal.instances(text, base_spans(text))]
+
+
+def test_instances_have_no_length_bounds():
+    long = "a" * 140 + "@" + "b" * 300 + ".example"
+    assert spans_of(f"mail {long} now") == [(long, True)]
+    token = "K" * 200 + "7"
+    assert spans_of(f"key {token}, then 12345 or 7.") == [(token, False), ("12345", False), ("7", False)]
+    assert spans_of("no digits here at all") == []
+
+
+def test_grouped_identifiers_are_one_instance():
+    for text in ("DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "00:1A:2B:3C:4D:5E", "fe80::1ff:fe23:4567:890a", "0171 234 5678", "0171-2345678"):
+        assert spans_of(f"number {text} is") == [(text, False)], text
+    assert spans_of("id=48213377, day 2024-05-01") == [("48213377", False), ("2024-05-01", False)]
+    assert spans_of("a12b:c3 x") == [("a12b", False), ("c3", False)]
+
+
+def test_contexts_beyond_48_characters_count():
+    word = "w" * 60
+    a, b = (personal.instances(f"{word}{x} 1234", [])[0][4] for x in "xy")
+    assert not set(a) & set(b)
+
+
+def test_odd_texts_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for text in ("1=" * 200_000, "x" * 400_000 + " 1", "12 " * 150_000, "((((" * 50_000 + "1" + "))))" * 50_000, "1:" * 200_000, "a1," * 100_000, "=" * 400_000 + "1", "1 " + "." * 400_000, "AB12 " + "CDEF " * 50_000):
+        personal.instances(text, base_spans(text))
+    assert time.perf_counter() - began < 30
+
+
+def brute_scores(edges, seeds, rounds, confidence, support):
+    score = {i: 1.0 for i in seeds}
+    for _ in range(rounds):
+        accepted = {}
+        for p in {p for p, _ in edges}:
+            own = [score.get(i, 0.0) for q, i in edges if q == p]
+            if sum(own) >= support - 1e-9 and sum(own) / len(own) >= confidence:
+                accepted[p] = sum(own) / len(own)
+        score = {}
+        for p, i in edges:
+            if p in accepted:
+                score[i] = max(score.get(i, 0.0), accepted[p])
+        score.update({i: 1.0 for i in seeds})
+    return score
+
+
+def test_graph_scores_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    edges = sorted({(rng.randrange(25), rng.randrange(120)) for _ in range(420)} | {(100, i) for i in range(60)} | {(101, i) for i in range(0, 40, 2)})
+    seeds = sorted(rng.sample(range(120), 75))
+    df, first = spark.createDataFrame(edges, "pattern long, instance long"), spark.createDataFrame([(i,) for i in seeds], "instance long")
+    for rounds, confidence, support in ((1, 0.6, 3.0), (3, 0.6, 3.0), (4, 0.5, 6.0)):
+        got = {r["instance"]: r["score"] for r in personal.score_instances(df, first, rounds, confidence, support).collect()}
+        expected = brute_scores(edges, seeds, rounds, confidence, support)
+        assert got.keys() == expected.keys() and all(abs(got[i] - expected[i]) < 1e-6 for i in got)
+        assert len(got) > len(seeds)
+
+
+def test_found_spans_equal_brute_force(spark, docs):
+    """The whole operator over a table, in plain Python."""
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    rows += [(10_000 + i, f"account holder id: {400 + i} 55{i:02d} {i:04d} end") for i in range(9)] + [(20_000 + i, f"account holder id: +1 (386) 555-{1000 + i} end") for i in range(30)]
+    of = {i: personal.instances(t, base_spans(t)) for i, t in rows}
+    edges = {(p, x) for found in of.values() for _, _, x, _, patterns in found for p in patterns}
+    seeds = {x for found in of.values() for _, _, x, seed, _ in found if seed}
+    score = brute_scores(sorted(edges), seeds, personal.ROUNDS, personal.CONFIDENCE, personal.SUPPORT)
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"]] for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = {i: sorted({(a, b) for a, b, x, seed, _ in found if not seed and x not in seeds and score.get(x, 0) >= personal.CONFIDENCE - 1e-9}) for i, found in of.items()}
+    assert got == expected and all(len(got[10_000 + i]) == 1 for i in range(9))
