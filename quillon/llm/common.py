@@ -13,10 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``; only where that is unset (local tests) one of our own."""
+    """The folder that the session names in ``spark.checkpoint.dir``; a temporary one where that is unset and all runs in one process (tests), else an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

@@ -26,3 +26,19 @@ def test_every_operator_has_a_query():
 def test_library_does_not_import_the_subpackage():
     code = "import sys, quillon.queries, quillon.cli, quillon.sources.reports; sys.exit(any(m.startswith('quillon.llm') for m in sys.modules))"
     assert subprocess.run([sys.executable, "-c", code], cwd=".").returncode == 0
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from quillon.llm.common import shared_folder
+
+    def session(local, named, chosen):
+        inner = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: not chosen, get=lambda: chosen[0]), isLocal=lambda: local)
+        context = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: inner), getConf=lambda: {"spark.checkpoint.dir": named}, setCheckpointDir=chosen.append)
+        return SimpleNamespace(sparkContext=context)
+
+    assert shared_folder(session(False, "hdfs://shared", [])) == "hdfs://shared" and shared_folder(session(False, None, ["s3://x"])) == "s3://x"
+    assert "quillon-checkpoint-" in shared_folder(session(True, None, []))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session(False, None, []))
