@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 
 import pytest
 
-from quillon.llm.fingerprints import fingerprint_documents
+from quillon.llm.fingerprints import SAMPLES, fingerprint_documents
 
 
 def jaccard(a: str, b: str) -> float:
@@ -29,8 +30,9 @@ def test_against_brute_force(spark, docs, partitions):
         edited = text[: len(text) - cut] + after["text"][:cut]
         mine = got.loc[row["doc_id"]]
         assert mine.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and mine.n_chars == len(text)
-        error[0] += mine.near_edited - jaccard(text, edited)
-        error[1] += mine.near_next - jaccard(text, after["text"])
+        for i, (near, true) in enumerate(((mine.near_edited, jaccard(text, edited)), (mine.near_next, jaccard(text, after["text"])))):
+            error[i] += near - true
+            assert abs(near - true) <= 4.5 * math.sqrt(true * (1 - true) / SAMPLES) + 2 / SAMPLES  # each document: what so many samples allow
         same = sum(mine.fingerprint[4 * i : 4 * i + 4] == mine.edited_fingerprint[4 * i : 4 * i + 4] for i in range(32)) / 32
         assert mine.near_edited == same
     assert abs(error[0] / len(rows)) < 0.03 and abs(error[1] / len(rows)) < 0.03
