@@ -142,6 +142,24 @@ def sentence_pattern() -> str:
     return "<(?:" + "|".join(f.replace(" ", "(?: |><)") for f in forms) + ")>"
 
 
+def marker_words() -> list[str]:
+    """A few words of which every known sentence holds one: again and again the word that most of the sentences left hold."""
+    left, out = [set(f.split()) for f in known_sentences()], []
+    while left:
+        most = max(sorted({w for f in left for w in f if len(w) > 4}), key=lambda w: sum(w in f for f in left))
+        out.append(most)
+        left = [f for f in left if most not in f]
+    return out
+
+
+def _may_hold(text: Column) -> Column:
+    """Whether the text holds a marker word in any case: cheap, and never false where a known sentence stands."""
+    lower, out = F.lower(text), F.lit(False)
+    for word in marker_words():
+        out = out | F.contains(lower, F.lit(word))
+    return out
+
+
 def _marked(text: Column) -> Column:
     """The text as ``<piece>`` for each line of a sentence, with ``|`` between sentences."""
     out = F.translate(text, _FOLD_FROM, _FOLD_TO)
@@ -160,7 +178,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     unchanged, null and repeated ones too; an empty table gives no rows.
     """
     numbers = F.create_map(*[x for k, v in known_sentences().items() for x in (F.lit(k), F.lit(v))])
-    matches = F.regexp_extract_all(_marked(F.coalesce(F.col(text_col), F.lit(""))), F.lit(sentence_pattern()), F.lit(0))
+    matches = F.regexp_extract_all(_marked(F.col(text_col)), F.lit(sentence_pattern()), F.lit(0))
+    matches = F.when(_may_hold(F.col(text_col)), matches).otherwise(F.array().cast("array<string>"))
     found = F.transform(matches, lambda m: F.element_at(numbers, F.regexp_replace(F.translate(m, "<", " "), "^ |>", "")))
     out = docs.select(F.col(id_col).alias("doc_id"), F.transform(found, lambda n: n.cast("string")).alias("__ids"))
     out = out.select("doc_id", F.size("__ids").cast("long").alias("n_sentences"), F.when(F.size("__ids") > 0, F.concat(F.lit("<"), F.array_join("__ids", "><"), F.lit(">"))).otherwise("").alias("sentence_ids"))
