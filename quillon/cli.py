@@ -15,8 +15,8 @@ from quillon.sources import reports
 from quillon.sources.binary import infer_n_rows, read_rows
 
 _OPTIONS = {
-    "fa-capacity": int, "n-partitions": int, "sample-frac": float, "delta": float, "alpha-ci": float, "beta-ci": float, "alpha-locality": float, "segment-size": int, "underrep-threshold": float, "boost-rows": int, "measure-m": int,
-    "min-topk-share": float, "max-levels": int, "seed": int,
+    "fa-capacity": int, "n-partitions": int, "sample-frac": float, "delta": float, "alpha-ci": float, "beta-ci": float, "alpha-locality": float, "underrep-threshold": float, "boost-rows": int, "measure-m": int,
+    "min-topk-share": float, "min-rows-per-core": int, "max-levels": int, "seed": int,
 }
 
 
@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--force", action="store_true", help="prune even where the gates advise against it")
     out.add_argument("--output-fa-groups", action="store_true")
     out.add_argument("--verbose", action="store_true")
+    out.add_argument("--segment-size", type=int, help="accepted and without effect: Spark splits its scans itself")
     defaults = TopKConfig()
     for name, kind in _OPTIONS.items():
         out.add_argument(f"--{name}", type=kind, default=getattr(defaults, name.replace("-", "_")))

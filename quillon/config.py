@@ -44,7 +44,11 @@ class Mode(Enum):
 
 @dataclass(frozen=True)
 class TopKConfig:
-    """Options of the pruned plans; defaults suit large skewed inputs."""
+    """Options of the pruned plans; defaults suit large skewed inputs.
+
+    Inputs of fewer than ``min_rows_per_core`` rows for each core take the exact
+    plan, whose single shuffle is then cheaper than several scans (0: never).
+    """
 
     fa_capacity: int = 50_000
     n_partitions: int = 10_000
@@ -53,20 +57,20 @@ class TopKConfig:
     alpha_ci: float = 0.05
     beta_ci: float = 0.95
     alpha_locality: float = 0.20
-    segment_size: int = 100_000
     underrep_threshold: float = 0.5
     boost_rows: int = 10
     measure_m: int = 500
     min_topk_share: float = 0.01
+    min_rows_per_core: int = 10_000_000
     force: bool = False
     max_levels: int = 2
     seed: int = 42
 
     def __post_init__(self):
-        for name in ("fa_capacity", "n_partitions", "max_levels", "segment_size"):
+        for name in ("fa_capacity", "n_partitions", "max_levels"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
-        for name in ("boost_rows", "measure_m"):
+        for name in ("boost_rows", "measure_m", "min_rows_per_core"):
             if getattr(self, name) < 0:
                 raise ValueError(f"{name} must not be negative")
         if not 0 < self.sample_frac <= 1:

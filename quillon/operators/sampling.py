@@ -47,13 +47,22 @@ def occurrence_index(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def boosted_rows(rows: DataFrame, keys: Sequence[str], statistics: DataFrame, n_rows: int, size: int, config: TopKConfig) -> DataFrame:
-    """Up to ``boost_rows`` rows of each group that the sample underrepresents.
+def group_index(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each group's true row count and largest value: what the occurrence index and the extremes need, in one scan."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"), F.max(VALUE).alias("most"))
+
+
+def extremes_of(index: DataFrame, keys: Sequence[str], m: int) -> DataFrame:
+    """The ``m`` groups of the largest values, from :func:`group_index`; they hold all groups of the ``m`` largest rows."""
+    return ranked(index, keys, m, "most").select(*keys)
+
+
+def boosted_rows(rows: DataFrame, keys: Sequence[str], statistics: DataFrame, index: DataFrame, n_rows: int, size: int, config: TopKConfig) -> DataFrame:
+    """The first ``boost_rows`` rows, in the order of the scan, of each group that the sample underrepresents.
 
     Only groups expected at most ``boost_rows`` times in the sample are
     boosted, which bounds what any one group brings to the window.
     """
-    index = occurrence_index(rows, keys)
     observed = statistics.select(*[F.col(k).alias(f"__s_{k}") for k in keys], F.col("count").alias("__seen"))
     condition = F.lit(True)
     for k in keys:
@@ -61,9 +70,10 @@ def boosted_rows(rows: DataFrame, keys: Sequence[str], statistics: DataFrame, n_
     joined = index.join(observed, condition, "left")
     short = underrepresented(F.col("row_count"), F.coalesce("__seen", F.lit(0)), n_rows, size, config.underrep_threshold)
     wanted = joined.where(short & (F.col("row_count") * (size / max(n_rows, 1)) <= config.boost_rows)).select(*keys)
-    picked = rows.join(wanted, same_key(rows, wanted, keys), "left_semi")
-    order = Window.partitionBy(*keys).orderBy(F.col(VALUE).desc_nulls_last())
-    return picked.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= config.boost_rows).drop("__rank")
+    placed = rows.withColumn("__at", F.monotonically_increasing_id())
+    picked = placed.join(wanted, same_key(placed, wanted, keys), "left_semi")
+    order = Window.partitionBy(*keys).orderBy("__at")
+    return picked.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= config.boost_rows).drop("__rank", "__at")
 
 
 def measure_index(rows: DataFrame, keys: Sequence[str], m: int) -> DataFrame:
@@ -81,6 +91,7 @@ class Selection:
     lower_bound: float | None
     above: int
     share: float | None
+    sampled: int = 0
 
 
 def select_candidates(statistics: DataFrame, keys: Sequence[str], k: int, agg: Agg, config: TopKConfig, forced: list | None = None) -> Selection:
@@ -96,23 +107,23 @@ def select_candidates(statistics: DataFrame, keys: Sequence[str], k: int, agg: A
     best = ranked(scored, keys, max(k, config.fa_capacity + 1), "lb").select(*keys, "count", "lb").collect()
     floor = best[k - 1]["lb"] if 0 < k <= len(best) else None
     over = [r for r in best if floor is None or r["lb"] is not None and r["lb"] >= floor]
+    column = {Agg.SUM: "sum", Agg.COUNT: "count"}.get(agg)
+    sampled, total = statistics.agg(F.coalesce(F.sum("count"), F.lit(0)), F.sum(F.col(column or "count").cast("double"))).first()
     share = None
-    if agg in (Agg.SUM, Agg.COUNT):
-        column = "sum" if agg is Agg.SUM else "count"
-        total = statistics.agg(F.sum(F.col(column).cast("double"))).first()[0] or 0.0
-        top = sum(float(r[column] or 0) for r in ranked(statistics, keys, k, column).select(column).collect())
-        share = top / total if total > 0 else 0.0
+    if column:
+        top = sum(float(r[column] or 0) for r in (best[:k] if agg is Agg.COUNT else ranked(statistics, keys, k, column).select(column).collect()))
+        share = top / total if total and total > 0 else 0.0
     reason = ""
     if len(over) > config.fa_capacity - len(forced):
         reason = "more possible winners than candidate slots"
     elif share is not None and share < config.min_topk_share:
         reason = "the top k hold too little of the total"
     if reason and not config.force:
-        return Selection(False, reason, [], floor, len(over), share)
+        return Selection(False, reason, [], floor, len(over), share, sampled)
     key = lambda r: tuple(r[c] for c in keys)
     chosen = dict.fromkeys(forced)
     chosen.update(dict.fromkeys(map(key, sorted(over, key=lambda r: -r["count"]))))
-    if len(chosen) < config.fa_capacity:  # fill up with heavy groups
+    if len(chosen) < config.fa_capacity and len(over) < len(best):  # fill up with heavy groups, if there are more
         order = [F.col("count").desc(), F.col("lb").desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in keys]]
         chosen.update(dict.fromkeys(map(key, scored.orderBy(*order).limit(config.fa_capacity).select(*keys).collect())))
-    return Selection(True, reason, list(chosen)[: config.fa_capacity], floor, len(over), share)
+    return Selection(True, reason, list(chosen)[: config.fa_capacity], floor, len(over), share, sampled)

@@ -13,6 +13,7 @@ import time
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillon.config import Agg, Mode, TopKConfig
@@ -53,6 +54,13 @@ class TopKResult:
     df: DataFrame
     metrics: RunMetrics
     candidates: list = field(default_factory=list)
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Drop what the run keeps in storage for ``df``, once that is done with."""
+        for frame in self.held:
+            frame.unpersist()
+        self.held.clear()
 
     def metrics_frame(self) -> DataFrame:
         values = {k: (float(v) if isinstance(v, float) else v) for k, v in asdict(self.metrics).items()}
@@ -71,56 +79,82 @@ class _Clock:
         return out
 
 
-def _sample(rows: DataFrame, keys: Sequence[str], k: int, agg: Agg, mode: Mode, config: TopKConfig, metrics: RunMetrics) -> sampling.Selection:
+def _sample(rows: DataFrame, n_rows: int, keys: Sequence[str], k: int, agg: Agg, mode: Mode, config: TopKConfig, metrics: RunMetrics) -> sampling.Selection:
     clock = _Clock()
-    n_rows = rows.count()
-    forced = []
-    if mode in (Mode.EXTREMES, Mode.COMBINED) and config.measure_m:
-        forced = [tuple(r) for r in sampling.measure_index(rows, keys, config.measure_m).collect()]
-        metrics.index_build_duration_ms = clock.ms()
-    size = sampling.sample_size(n_rows, config)
-    # The sample is evaluated more than once; what it yields may differ then, the result never does.
-    sample = sampling.uniform_sample(rows, n_rows, size, config.seed)
-    statistics = sampling.sample_statistics(sample, keys).persist()
+    forced, index = [], None
+    boosts = mode in (Mode.STRATIFIED, Mode.COMBINED) and config.boost_rows > 0 and config.underrep_threshold > 0
+    if boosts and not (mode is Mode.COMBINED and config.measure_m >= k):  # so many extremes would leave no need for boosts
+        index = sampling.group_index(rows, keys).persist()
     try:
-        stratify = mode in (Mode.STRATIFIED, Mode.COMBINED) and config.boost_rows > 0 and config.underrep_threshold > 0 and len(forced) < k
-        if stratify:
-            drawn = sampling.sample_statistics(sample.unionByName(sampling.boosted_rows(rows, keys, statistics, n_rows, size, config)), keys).persist()
+        if mode in (Mode.EXTREMES, Mode.COMBINED) and config.measure_m:
+            extremes = sampling.measure_index(rows, keys, config.measure_m) if index is None else sampling.extremes_of(index, keys, config.measure_m)
+            forced = [tuple(r) for r in extremes.collect()]
+            metrics.index_build_duration_ms = clock.ms()
+        size = sampling.sample_size(n_rows, config)
+        # The sample is evaluated more than once; what it yields may differ then, the result never does.
+        sample = sampling.uniform_sample(rows, n_rows, size, config.seed)
+        statistics = sampling.sample_statistics(sample, keys).persist()
+        try:
+            if boosts and len(forced) < k:
+                index = sampling.group_index(rows, keys).persist() if index is None else index
+                drawn = sampling.sample_statistics(sample.unionByName(sampling.boosted_rows(rows, keys, statistics, index, n_rows, size, config)), keys).persist()
+                statistics.unpersist()
+                statistics = drawn
+            selection = sampling.select_candidates(statistics, keys, k, agg, config, forced)
+        finally:
             statistics.unpersist()
-            statistics = drawn
-        metrics.sample_size_actual = int(statistics.agg(F.sum("count")).first()[0] or 0)
-        selection = sampling.select_candidates(statistics, keys, k, agg, config, forced)
     finally:
-        statistics.unpersist()
+        if index is not None:
+            index.unpersist()
     metrics.sample_duration_ms = clock.ms()
+    metrics.sample_size_actual = selection.sampled
     metrics.is_optimizable, metrics.fallback_reason = selection.optimizable, selection.reason
     metrics.l_k_lower_bound, metrics.cs_above_lk = selection.lower_bound, selection.above
     return selection
 
 
+#: Operators that a repeated scan would repeat.
+_COSTLY = ("Join", "Aggregate", "Window", "Generate", "Sort", "Repartition", "MapInArrow", "MapInPandas", "FlatMap", "Distinct")
+
+
+def _computed(df: DataFrame) -> bool:
+    """Whether ``df`` is more than a scan with columns and filters."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(name in plan for name in _COSTLY)
+
+
 def top_k(df: DataFrame, group_cols: Sequence[str] | str, value: Column | str, k: int, agg: Agg | str = Agg.SUM, mode: Mode | str = Mode.EXACT, config: TopKConfig | None = None, candidates: list | None = None) -> TopKResult:
     """The ``k`` groups of ``df`` with the largest aggregate of ``value``, ties to the smaller key.
 
     MIN means the largest minima. Null measures are skipped as SQL does, COUNT
     counts rows; null keys form a group. ``candidates`` (key tuples) replace
-    the sample. Inputs with NaN measures take the exact plan.
+    the sample. Inputs with NaN measures take the exact plan, and so do inputs
+    with few rows for each core, unless ``config.force``.
     """
     agg, mode, config = Agg.parse(agg), Mode.parse(mode), config or TopKConfig()
     keys = [group_cols] if isinstance(group_cols, str) else list(group_cols)
     value = F.col(value) if isinstance(value, str) else value
     rows = df.select(*keys, value.alias(VALUE))
-    metrics, clock, whole = RunMetrics(), _Clock(), time.perf_counter()
+    metrics, clock, whole, held = RunMetrics(), _Clock(), time.perf_counter(), []
 
     def finish(out: DataFrame, chosen: list) -> TopKResult:
         metrics.total_duration_ms = (time.perf_counter() - whole) * 1000
         metrics.fa_candidates_count = len(chosen)
-        return TopKResult(out, metrics, chosen)
+        return TopKResult(out, metrics, chosen, held)
 
     exact = lambda: exact_top_k(rows, keys, F.col(VALUE), k, agg)
     if mode is Mode.EXACT or k <= 0:
         return finish(exact(), [])
+    cores = df.sparkSession.sparkContext.defaultParallelism
     if candidates is None:
-        selection = _sample(rows, keys, k, agg, mode, config, metrics)
+        n_rows = rows.count()
+        if not config.force and n_rows < config.min_rows_per_core * cores:
+            metrics.is_optimizable, metrics.fallback_reason = False, f"{n_rows} rows on {cores} cores: one shuffle costs less than several scans"
+            return finish(exact(), [])
+        if _computed(rows):  # several passes follow
+            rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(rows)
+        selection = _sample(rows, n_rows, keys, k, agg, mode, config, metrics)
         if not selection.optimizable:
             return finish(exact(), [])
         candidates = selection.candidates
@@ -157,6 +191,9 @@ def top_k(df: DataFrame, group_cols: Sequence[str] | str, value: Column | str, k
             break
         metrics.partitions_logical += decisions.count("LOGICAL")
         metrics.partitions_physical += decisions.count("PHYSICAL")
+        if "PHYSICAL" in decisions:  # what is left moves together, and later passes read it instead of the input
+            rest = rest.repartition(bucket_of(keys, level + 1, config.n_partitions)).persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(rest)
         level += 1
         finer = routing.routed_aggregate(routing.route(rest, keys, [], level, config.n_partitions), agg).collect()
         metrics.total_passes += 1

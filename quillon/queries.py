@@ -24,6 +24,8 @@ def _top(table: str, keys: list[str], value: str, k: int, agg: Agg, mode: Mode =
     """A query and its SQL. Sums are taken over decimals, so that their order cannot show; results are doubles, counts longs."""
     kind = "BIGINT" if agg is Agg.COUNT else "DOUBLE"
 
+    options = {"min_rows_per_core": 0} | options  # the tables are small, and the pruned plans are what these queries show
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         column = F.col(value).cast(cast) if cast else F.col(value)
         out = top_k(_table(spark, sf_dir, table), keys, column, k, agg, mode, TopKConfig(**options)).df
@@ -39,7 +41,7 @@ def _top(table: str, keys: list[str], value: str, k: int, agg: Agg, mode: Mode =
 _LINE = ("lineitem", ["l_suppkey"], "l_extendedprice", 10)
 _SMALL = {"fa_capacity": 20, "n_partitions": 64}
 _EVENTS = ("events", ["user_id"], "value", 10)
-_FEW = {"fa_capacity": 30, "n_partitions": 256, "measure_m": 5}
+_FEW = {"fa_capacity": 30, "n_partitions": 256, "measure_m": 5, "min_rows_per_core": 0}
 
 _PAIRS: dict[str, tuple[Callable, str]] = {
     **{f"topk_{a.value.lower()}_exact": _top(*_LINE, a) for a in Agg},
@@ -139,9 +141,11 @@ def candidate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def approximate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the distinct-count sketch is within a tenth of the exact count."""
+    """The exact count of groups, and whether the distinct-count sketch is within a tenth of it."""
     rows = _table(spark, sf_dir, "lineitem")
-    return rows.agg((F.abs(F.approx_count_distinct("l_partkey", 0.01) / F.countDistinct("l_partkey") - 1) < 0.1).alias("near"))
+    counts = rows.agg(F.countDistinct("l_partkey").alias("groups"), F.approx_count_distinct("l_partkey", 0.01).alias("sketch"))
+    least, most = F.expr("9 * groups div 10"), F.expr("(11 * groups + 9) div 10")
+    return counts.select("groups", least.alias("least"), most.alias("most"), F.col("sketch").between(least, most).alias("near"))
 
 
 def hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,13 +171,20 @@ def _sampled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 
 
 def sample_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.sample_statistics(_sampled(spark, sf_dir)[0], ["user_id"])
+    """Each user's true statistics, and whether the sample's keep within them."""
+    stats = sampling.sample_statistics(_sampled(spark, sf_dir)[0], ["user_id"])
+    rows = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("row_count"), F.min("value").alias("least"), F.max("value").alias("largest"))
+    near = (F.col("min") >= F.col("least")) & (F.col("max") <= F.col("largest")) & F.col("sum").between(F.col("count") * F.col("least") - 1e-6, F.col("count") * F.col("largest") + 1e-6) & (F.col("min") <= F.col("max"))
+    return rows.join(stats, "user_id", "left").select("user_id", "row_count", "least", "largest", F.coalesce(near, F.col("count").isNull()).alias("within"))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many users become candidates, and whether all of them are users of the table, told apart."""
     stats = sampling.sample_statistics(_sampled(spark, sf_dir)[0], ["user_id"])
     chosen = sampling.select_candidates(stats, ["user_id"], 10, Agg.SUM, TopKConfig(fa_capacity=40, force=True))
-    return spark.createDataFrame(chosen.candidates, "user_id long").orderBy("user_id")
+    users = _table(spark, sf_dir, "events").select("user_id").distinct()
+    found = spark.createDataFrame(chosen.candidates, "user_id long").distinct().join(users, "user_id", "left_semi")
+    return found.agg(F.count(F.lit(1)).alias("candidates"))
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +194,7 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generated_zipf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The named small dataset, and its top 5 by the combined plan."""
     rows = generators.generate(spark, generators.DATASETS["S0"])
-    return top_k(rows, ["group_id"], F.col("value").cast("decimal(24,6)"), 5, Agg.SUM, Mode.COMBINED, TopKConfig(fa_capacity=100, n_partitions=1000, measure_m=3)).df
+    return top_k(rows, ["group_id"], F.col("value").cast("decimal(24,6)"), 5, Agg.SUM, Mode.COMBINED, TopKConfig(fa_capacity=100, n_partitions=1000, measure_m=3, min_rows_per_core=0)).df
 
 
 def generated_cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +230,9 @@ ORACLES: dict[str, str] = {
     "sample_bounds": "SELECT l_suppkey, round(CAST(sum(p) AS DOUBLE) - CASE WHEN max(p) > min(p) THEN (CAST(max(p) AS DOUBLE) - CAST(min(p) AS DOUBLE)) * sqrt(ln(2 / 0.05) / (2 * count(*))) ELSE 0 END * count(*), 2) AS lb FROM (SELECT l_suppkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS p FROM lineitem) GROUP BY 1",
     "underrepresented_groups": "SELECT user_id, row_count, seen FROM (SELECT user_id, count(*) AS row_count, count(CASE WHEN event_id % 10 = 0 THEN 1 END) AS seen FROM events GROUP BY 1) WHERE row_count * 0.1 >= 0.5 AND seen < 0.5 * (row_count * 0.1)",
     "candidate_split": "SELECT l_suppkey BETWEEN 1 AND 10 AS candidate, count(*) AS rows FROM lineitem GROUP BY 1",
-    "approximate_groups": "SELECT true AS near",
+    "approximate_groups": "SELECT n AS groups, 9 * n // 10 AS least, (11 * n + 9) // 10 AS most, a BETWEEN 8 * n // 10 AND 12 * n // 10 AS near FROM (SELECT count(DISTINCT l_partkey) AS n, approx_count_distinct(l_partkey) AS a FROM lineitem)",
+    "sample_stats": "SELECT user_id, count(*) AS row_count, min(value) AS least, max(value) AS largest, min(value) <= max(value) AS within FROM events GROUP BY 1",
+    "candidates": "SELECT least(40, count(DISTINCT user_id)) AS candidates FROM events",
     "hit_rate": "WITH h AS (SELECT l_suppkey FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20), b AS (SELECT l_suppkey FROM lineitem GROUP BY 1 ORDER BY sum(CAST(l_extendedprice AS DECIMAL(18,2))) DESC, 1 LIMIT 10) SELECT count(*) / 10 AS hit_rate FROM b WHERE l_suppkey IN (SELECT l_suppkey FROM h)",
     "missing_extra": "WITH h AS (SELECT l_suppkey FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10), b AS (SELECT l_suppkey FROM lineitem GROUP BY 1 ORDER BY sum(CAST(l_extendedprice AS DECIMAL(18,2))) DESC, 1 LIMIT 10) SELECT l_suppkey, 'missing' AS side FROM b WHERE l_suppkey NOT IN (SELECT l_suppkey FROM h) UNION ALL SELECT l_suppkey, 'extra' FROM h WHERE l_suppkey NOT IN (SELECT l_suppkey FROM b)",
     "generated_cyclic": "SELECT i % 100 AS group_id, count(*) AS rows FROM range(1050) t(i) GROUP BY 1",

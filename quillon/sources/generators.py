@@ -127,6 +127,19 @@ DATASETS = {
 }
 
 
+def suite(sizes: tuple[int, ...] = (1_000_000, 5_000_000, 10_000_000, 50_000_000), groups_ratio: float = 0.1, alpha: float = 0.5, value_distribution: str = "uniform", value_scale: float = 50.0, seed: int = 42) -> list[Dataset]:
+    """Recipes of the benchmark suite: every distribution at every size; values are uniform on [0, 100) by default."""
+
+    def tag(n: int) -> str:
+        return f"{n // 1_000_000}M" if n >= 1_000_000 else f"{n // 1000}K" if n >= 1000 else str(n)
+
+    out = []
+    for n_rows in sizes:
+        n_groups = max(100, round(n_rows * groups_ratio))
+        out += [Dataset(f"{d}_{tag(n_rows)}_G{tag(n_groups)}", n_rows, n_groups, alpha, d, value_distribution, value_scale, seed=seed) for d in DISTRIBUTIONS]
+    return out
+
+
 def describe(df: DataFrame, recipe: Dataset, path: str, seconds: float) -> dict:
     """A manifest entry, with the rows and distinct groups that are there."""
     n_rows, n_groups = df.agg(F.count(F.lit(1)), F.countDistinct("group_id")).first()
@@ -140,12 +153,12 @@ def describe(df: DataFrame, recipe: Dataset, path: str, seconds: float) -> dict:
 def write_datasets(spark: SparkSession, recipes: list[Dataset], folder: str) -> list[dict]:
     """Write each recipe as a folder of 16-byte rows, and ``manifest.json`` beside them."""
     from quillon.sources.binary import read_rows, write_rows
+    from quillon.sources.reports import write_text
 
     entries = []
     for recipe in recipes:
         began, path = time.perf_counter(), f"{folder}/{recipe.name}"
         write_rows(generate(spark, recipe), path)
         entries.append(describe(read_rows(spark, path), recipe, path, time.perf_counter() - began))
-    with open(f"{folder}/manifest.json", "w", encoding="utf-8") as f:
-        json.dump(entries, f, indent=2)
+    write_text(spark, json.dumps(entries, indent=2), f"{folder}/manifest.json")
     return entries

@@ -44,6 +44,16 @@ def write_json(report: dict | list, path: str) -> None:
         json.dump(report, f, indent=2, default=str)
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text file wherever Spark can write, shared stores too."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def read_results(spark: SparkSession, pattern: str) -> DataFrame:
     """One row for each result file: dataset (the file's stem without its mode), mode, k, n_rows and all metrics."""
     files = spark.read.json(pattern, multiLine=True).withColumn("__stem", F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.json$", ""))
@@ -51,6 +61,39 @@ def read_results(spark: SparkSession, pattern: str) -> DataFrame:
     return files.select(dataset.alias("dataset"), "mode", "k", "n_rows", *[F.col(f"metrics.{m}").alias(m) for m in METRICS if m in files.schema["metrics"].dataType.names])
 
 
+#: Columns of the benchmark table and their types.
+CSV_SCHEMA = (
+    "experiment string, dataset string, n_rows long, n_groups long, group_dist string, k int, agg string, mode string, is_optimizable boolean, total_duration_ms double, sample_duration_ms double, pass1_duration_ms double, "
+    "pass2plus_duration_ms double, throughput_Mrows_s double, pass1_throughput_Mrows_s double, total_passes int, partitions_pruned_pct double, fa_candidates_count long, fa_hit_rate double, l_k_lower_bound double, "
+    "cs_above_lk long, partitions_exact_agg long, partitions_logical long, partitions_physical long, correct boolean, error string"
+)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a benchmark table, typed; columns by name, those that are absent or do not parse are null."""
+    there = spark.read.csv(path, header=True)
+    kinds = dict(c.rsplit(" ", 1) for c in CSV_SCHEMA.split(", "))
+    return there.select(*[F.expr(f"try_cast(`{c}` AS {kind})").alias(c) if c in there.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()])
+
+
+def results_table(runs: DataFrame, baseline: str = "brute-force") -> DataFrame:
+    """Every pruned run beside the exact run of the same experiment, dataset, k and aggregate: throughputs and speed-up."""
+    by = ["experiment", "dataset", "n_rows", "n_groups", "group_dist", "k", "agg"]
+    base = runs.where(F.col("mode") == baseline).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("throughput_Mrows_s").alias("exact_Mrows_s"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    joined = runs.where(F.col("mode") != baseline).join(base, same, "left")
+    speedup = F.when(F.col("exact_Mrows_s") != 0, F.col("throughput_Mrows_s") / F.col("exact_Mrows_s"))
+    return joined.select("experiment", "dataset", "group_dist", "n_rows", "k", "agg", "mode", "exact_Mrows_s", "throughput_Mrows_s", speedup.alias("speedup"), "total_passes", "partitions_pruned_pct", "fa_hit_rate", "is_optimizable", "correct").orderBy("experiment", "n_rows", "group_dist", "k", "agg", "mode")
+
+
+def results_text(runs: DataFrame) -> str:
+    """The joined table as Markdown."""
+    names = {"experiment": "Experiment", "group_dist": "Distribution", "n_rows": "Rows", "k": "k", "agg": "Aggregate", "mode": "Mode", "exact_Mrows_s": "Exact Mrows/s", "throughput_Mrows_s": "Mrows/s", "speedup": "Speed-up", "total_passes": "Passes", "partitions_pruned_pct": "Pruned", "fa_hit_rate": "Hits", "is_optimizable": "Gate", "correct": "Right"}
+    return markdown(results_table(runs), names)
+
+
 def append_csv(rows: list[dict], path: str) -> None:
     """Append rows; the header is written once."""
     fresh = not os.path.exists(path)

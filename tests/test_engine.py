@@ -92,8 +92,8 @@ def test_all_negative(spark):
 
 def test_gate_falls_back_on_uniform_groups(spark):
     df = spark.range(4000).select((F.col("id") % 1000).alias("g"), F.lit(1.0).alias("v"))
-    result = top_k(df, "g", "v", 3, "SUM", Mode.SAMPLE, TopKConfig(fa_capacity=5000, sample_frac=0.5, min_topk_share=0.05))
-    assert not result.metrics.is_optimizable and result.metrics.total_passes == 0
+    result = top_k(df, "g", "v", 3, "SUM", Mode.SAMPLE, TopKConfig(fa_capacity=5000, sample_frac=0.5, min_topk_share=0.05, min_rows_per_core=0))
+    assert "too little" in result.metrics.fallback_reason and not result.metrics.is_optimizable and result.metrics.total_passes == 0
 
 
 def test_string_and_composite_keys(spark):
@@ -184,3 +184,51 @@ def test_comparisons(spark):
     assert compare.mode_table(runs).first()["ext-a"] == 5.0
     assert compare.mean_by(runs, ["dataset"], "total_duration_ms").first()[1] == 7.5
     assert compare.sample_fraction(runs).agg(F.max("sample_fraction")).first()[0] == 0.01
+
+
+def test_few_rows_take_the_exact_plan(spark):
+    df = skewed(spark)
+    for mode in Mode:
+        result = top_k(df, "g", "v", 5, "SUM", mode)
+        assert pairs(result.df) == pairs(exact_top_k(df, ["g"], F.col("v"), 5, Agg.SUM))
+        assert mode is Mode.EXACT or not result.metrics.is_optimizable and "one shuffle" in result.metrics.fallback_reason
+
+
+def test_extremes_of_the_shared_index(spark):
+    """One scan gives row counts and extremes; the extremes hold all groups of the largest rows."""
+    df = skewed(spark).withColumnRenamed("v", sampling.VALUE)
+    index = sampling.group_index(df, ["g"])
+    assert sorted(pairs(index.select("g", "row_count"))) == sorted(pairs(sampling.occurrence_index(df, ["g"])))
+    few, all_of = {r[0] for r in pairs(sampling.measure_index(df, ["g"], 40))}, {r[0] for r in pairs(sampling.extremes_of(index, ["g"], 40))}
+    assert len(all_of) == 40 and len(few) <= 40
+    values = dict(pairs(index.select("g", "most")))
+    assert min(values[g] for g in all_of) >= max(v for g, v in values.items() if g not in all_of)
+    config = TopKConfig(fa_capacity=8, n_partitions=16, sample_frac=0.2, force=True, measure_m=3, boost_rows=4, min_topk_share=0.0)
+    for agg in Agg:  # fewer extremes than k: stratified from the shared index
+        assert pairs(top_k(skewed(spark), "g", "v", 10, agg, Mode.COMBINED, config).df) == pairs(exact_top_k(skewed(spark), ["g"], F.col("v"), 10, agg))
+
+
+def test_boosted_rows_are_the_first_of_the_scan(spark):
+    df = spark.createDataFrame([(g, float(i)) for i in range(30) for g in (1, 2)], f"g long, {sampling.VALUE} double").coalesce(1)
+    none = sampling.sample_statistics(df.where("false"), ["g"])
+    index = sampling.group_index(df, ["g"])
+    got = sampling.boosted_rows(df, ["g"], none, index, 60, 6, TopKConfig(boost_rows=5))
+    assert sorted(pairs(got)) == sorted((g, float(i)) for i in range(5) for g in (1, 2))
+
+
+def test_physical_rows_move_together(spark):
+    df = spark.createDataFrame([(i % 300, float(i % 7)) for i in range(3000)], "g long, v double")
+    config = TopKConfig(fa_capacity=6, n_partitions=8, force=True, max_levels=3, alpha_locality=0.0)
+    result = top_k(df, "g", "v", 12, "COUNT", Mode.SAMPLE, config, candidates=[(0,), (1,)])
+    assert result.metrics.partitions_physical > 0 and result.held
+    assert pairs(result.df) == pairs(exact_top_k(df, ["g"], F.col("v"), 12, Agg.COUNT))
+    result.release()
+    assert not result.held
+
+
+def test_computed_inputs_are_kept_for_the_passes(spark):
+    df = skewed(spark)
+    joined = df.join(df.groupBy("g").agg(F.max("v").alias("w")), "g")
+    result = top_k(joined, "g", "w", 5, "SUM", Mode.SAMPLE, SMALL)
+    assert len(result.held) >= 1 and pairs(result.df) == pairs(exact_top_k(joined, ["g"], F.col("w"), 5, Agg.SUM))
+    result.release()

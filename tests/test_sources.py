@@ -82,7 +82,7 @@ def test_rare_groups_and_manifest(spark, tmp_path):
 def test_command_line_and_reports(spark, tmp_path):
     generators.write_datasets(spark, [generators.DATASETS["S0"]], str(tmp_path))
     data = str(tmp_path / "S0")
-    common = ["--input", data, "--k", "5", "--fa-capacity", "100", "--n-partitions", "500", "--measure-m", "4"]
+    common = ["--input", data, "--k", "5", "--fa-capacity", "100", "--n-partitions", "500", "--measure-m", "4", "--min-rows-per-core", "0"]
     assert cli.main([*common, "--output", str(tmp_path / "all.json"), "--all-modes"], spark) == 0
     report = json.loads((tmp_path / "all.json").read_text())
     assert all(m["matches_exact_top_k_results"] for m in report["comparisons"]["per_mode"].values())
@@ -104,3 +104,22 @@ def test_command_line_and_reports(spark, tmp_path):
 def test_parquet_input(spark, tmp_path):
     assert cli.main(["--input", "/root/testdata/sf0.001/lineitem.parquet", "--group-cols", "l_suppkey", "--value-col", "l_quantity", "--k", "3", "--mode", "ext-ab", "--output", str(tmp_path / "x.json")], spark) == 0
     assert len(json.loads((tmp_path / "x.json").read_text())["top_k_results"]) == 3
+
+
+def test_sweep(spark, tmp_path, capsys):
+    path = str(tmp_path / "runs.csv")
+    from quillon import sweep
+
+    assert sweep.main(["--csv", path, "--sizes", "3000", "4000", "--modes", "baseline", "ext-b", "--fa-capacity", "300", "--n-partitions", "64"], spark) == 0
+    runs = reports.read_csv(spark, path)
+    n = len(generators.DISTRIBUTIONS) + 4 + 6 + 2
+    assert runs.count() == 3 * n and runs.where("correct AND error IS NULL OR correct AND error = ''").count() == 3 * n
+    assert {r[0] for r in runs.select("k").distinct().collect()} == set(sweep.K_VALUES)
+    table = reports.results_table(runs)
+    assert table.count() >= 2 * n and table.where("speedup IS NULL OR exact_Mrows_s IS NULL").isEmpty()
+    assert "Speed-up" in capsys.readouterr().out
+
+
+def test_suite_names():
+    names = [r.name for r in generators.suite((1_000_000, 5_000))]
+    assert "zipf_1M_G100K" in names and "uniform_5K_G500" in names and len(names) == 12
