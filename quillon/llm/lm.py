@@ -1,29 +1,38 @@
 """Language-model scoring by online logistic mixing of hashed-context bit predictors.
 
 A text's words, each closed by a space, are spelled byte by byte, and a byte
-bit by bit. Hashed tables hold how often the next bit was 0 or 1 behind eight
-contexts, over the bytes of all training texts: orders 0..4 within the word,
-the word so far, it with the word before, and the last six bytes whatever
-words they are in. Three of them (``BY_CLASS``) are kept apart by the class of
-the text so far: the signs of four directions, the leading principal
-components of byte-pair frequencies over all training texts, at the word's
-start. The tables' log odds are mixed with weights of a gate (bit place, kind
-of the last byte, how much was counted), learned online over the bytes of all
-training texts, and refined by an adaptive map from the mixed odds to observed
-rates; both are learned with each byte's own occurrence taken out. The end of a text has a rate that
-depends on the words so far. So every text has a probability, whose bits per
-byte are returned too, and no word is scored without the words before it.
-
-Texts are packed in blocks. Blocks send their distinct words to buckets by the
-words' hash, buckets send back each word's count over the whole corpus: what
-moves is a row for each block and bucket, never a row for each token.
+bit by bit. Hashed tables hold how often the next bit was 0 or 1 behind several
+contexts, over the bytes of all training texts: the last 0..4 bytes of the word,
+the word so far, and the word so far with the word before, if that is one that
+foretells the next (a successor seen ``REPEATED`` times or more makes up a
+``SHARE``-th of all). Three of them (``BY_CLASS``) are kept apart by the class of
+the text before the word: the signs of four directions, the leading principal
+components of byte-pair frequencies over all training texts, summed from the
+text's beginning to the word's, and whether there is a word before. The tables'
+log odds are mixed with weights of a gate (bit place, kind of the last byte, how
+much was counted), learned online, and refined by an adaptive map from the mixed
+odds to observed rates; both are learned with one occurrence of each word taken
+out. The end of a text has a rate that depends on the number of words so far. So
+every text has a probability, whose bits per byte are returned too, and no word
+is scored without what stands before it.
+
+A word's probability depends on nothing but the word, its class and the word
+before it, where that counts. So each distinct combination (a *token*) is
+counted, learned from and spelled once for the whole corpus, weighted by its
+occurrences, and a text's score is the sum over its tokens: the same as running
+over all bytes of all texts, at a fraction of the work. Texts are packed in
+blocks. A block sends its distinct words with their followers, and then its
+distinct tokens, to buckets by the words' hash; buckets send back which words
+foretell the next, and what each token costs and how often its word was seen:
+what moves is a row for each block and bucket, never a row for each occurrence.
+Nothing that is learned depends on how rows are laid out.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,23 +40,25 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quillon.llm.common import Words, partitions, saved
+from quillon.llm.common import Words, mix64, partitions, saved
 
-#: Contexts within the word, and all; least and most slots of a context's table.
+#: Contexts of the last bytes, and all; least and most slots of a context's table.
 INNER, CONTEXTS = 5, 8
 TABLE, LARGEST = 1 << 18, 1 << 22
 PARTS = 8
-BLOCK_CHARS, BLOCK_DOCS = 2_000_000, 2048
+BLOCK_CHARS, BLOCK_DOCS = 6_000_000, 16384
 GATES, LEVELS, STEPS = 8 * 5 * 16, 33, 15
 STRIP, LEARNED = 1 << 15, 1 << 12
-#: Training words for each mixer that learns by itself.
-ALONE = 200_000
-#: Bytes taken at once, and bytes before a piece of a long text that its contexts may reach.
-PIECE, BEHIND = 1 << 20, 1 << 12
+#: Characters for each mixer that learns by itself, as a square; most mixers.
+ALONE, MIXERS = 1_000_000, 256
+#: Bytes spelled at once.
+PIECE = 1 << 20
 LAGS = 48
-#: Byte-pair features, leading components, and the contexts that know the class of the text so far.
+#: Byte-pair features, leading components, and the contexts that are kept apart by class.
 PAIRS, AXES, BY_CLASS = 128, 4, (2, 4, 5)
-_LEAD = b" " * 8
+CLASSES = 2 << AXES
+#: A word foretells the next if one successor was seen so often, and makes up one in so many.
+REPEATED, SHARE = 2, 4
 _SPACE = np.uint8(32)
 
 
@@ -94,86 +105,183 @@ def unpack_block(blob: bytes) -> tuple[list[int | None], np.ndarray, list[bytes]
 
 
 def pair_features(text: bytes) -> np.ndarray:
-    """Square roots of the frequencies of hashed byte pairs, ASCII letters lower-cased."""
-    data = np.frombuffer(text.lower(), np.uint8).astype(np.uint32)
+    """Square roots of the frequencies of hashed byte pairs, ASCII letters lower-cased, in steps of 1/256: sums of whole numbers have no order."""
+    data = np.frombuffer(text.lower(), np.uint8)
     if len(data) < 2:
         return np.zeros(PAIRS)
-    hashed = ((data[:-1] * np.uint32(251) + data[1:]) * np.uint32(0x9E3779B1)) >> np.uint32(25)
-    return np.sqrt(np.bincount(hashed, minlength=PAIRS) / len(hashed))
+    return np.rint(256 * np.sqrt(np.bincount(_pair(data[:-1], data[1:]), minlength=PAIRS) / (len(data) - 1)))
+
+
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((first.astype(np.uint32) * np.uint32(251) + second) * np.uint32(0x9E3779B1)) >> np.uint32(25)
+
+
+#: Texts and characters learned from, sums and products of their features.
+MOMENTS = 2 + PAIRS + PAIRS * PAIRS
 
 
 def _moments(flags: list[int], texts: list[str | None]) -> np.ndarray:
-    """Count, sum and products of the learning texts' features, in one row."""
-    rows = np.stack([pair_features((t or "").encode("utf-8", "surrogatepass")) for f, t in zip(flags, texts) if f & 2] or [np.zeros(PAIRS)])
-    return np.concatenate(([sum(f >> 1 for f in flags)], rows.sum(axis=0), (rows.T @ rows).ravel()))
+    own = [(t or "") for f, t in zip(flags, texts) if f & 2]
+    rows = np.stack([pair_features(t.encode("utf-8", "surrogatepass")) for t in own] or [np.zeros(PAIRS)])
+    return np.concatenate(([len(own), sum(map(len, own))], rows.sum(axis=0), (rows.T @ rows).ravel()))
 
 
-def axes(moments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and leading principal axes of the features; signs are fixed by the largest part."""
-    n, total, products = max(moments[0], 1.0), moments[1 : PAIRS + 1], moments[PAIRS + 1 :].reshape(PAIRS, PAIRS)
-    mean = total / n
-    _, vectors = np.linalg.eigh(products / n - np.outer(mean, mean))
+def directions(moments: np.ndarray) -> np.ndarray:
+    """What each byte pair adds to a text's place on the leading principal axes (features x axes), as whole numbers: the axes about the mean, for frequencies instead of their roots; signs are fixed by the largest part."""
+    n = max(moments[0], 1.0)
+    mean, products = moments[2 : PAIRS + 2] / 256 / n, moments[PAIRS + 2 :].reshape(PAIRS, PAIRS) / 65536 / n
+    _, vectors = np.linalg.eigh(products - np.outer(mean, mean))
     lead = vectors[:, ::-1][:, :AXES]
-    return mean, lead * np.sign(lead[np.abs(lead).argmax(axis=0), np.arange(AXES)])
+    lead = lead * np.sign(lead[np.abs(lead).argmax(axis=0), np.arange(AXES)])
+    pull = lead / (2 * np.maximum(mean, 0.02)[:, None])
+    return np.rint((pull - (mean**2 @ pull) / max((mean**2).sum(), 1e-9)) * (1 << 16)).astype(np.int64)
 
 
-def directions(mean: np.ndarray, lead: np.ndarray) -> np.ndarray:
-    """What each byte pair adds to a text's place on the axes: the axes about the mean, for frequencies instead of their roots."""
-    pull = lead / (2 * np.maximum(mean, 0.02)[:, None])
-    return pull - (mean**2 @ pull) / max((mean**2).sum(), 1e-9)
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of texts, and one row (negative block) of the partition's moments."""
-    moments = np.zeros(1 + PAIRS + PAIRS * PAIRS)
-    first, count = TaskContext.get().partitionId() << 32, 0
-    held: tuple[list, list, list] = ([], [], [])
-    size = 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal count, size, moments
-        moments = moments + _moments(held[1], held[2])
-        blob = pack_block(*held)
-        row = pa.RecordBatch.from_arrays([pa.array([first + count], pa.int64()), pa.array([blob], pa.binary())], names=["block", "blob"])
-        for h in held:
-            h.clear()
-        count, size = count + 1, 0
-        return row
-
-    for batch in batches:
-        for values in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-            for h, v in zip(held, values):
-                h.append(v)
-            size += len(values[2] or "")
-            if size >= BLOCK_CHARS or len(held[0]) >= BLOCK_DOCS:
-                yield flush()
-    if held[0]:
-        yield flush()
-    yield pa.RecordBatch.from_arrays([pa.array([-1 - first], pa.int64()), pa.array([_zip(moments.astype("<f4").tobytes())], pa.binary())], names=["block", "blob"])
+def _pack(buckets: int):
+    """Blocks of texts (kind BLOCK), their distinct words with followers for each bucket (FOLLOWERS), and the partition's moments (MOMENT)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moments = np.zeros(MOMENTS)
+        first, count = TaskContext.get().partitionId() << 32, 0
+        held: tuple[list, list, list] = ([], [], [])
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal count, size, moments
+            moments = moments + _moments(held[1], held[2])
+            number, blob = first + count, pack_block(*held)
+            _, flags, texts = unpack_block(blob)
+            own = BlockWords(texts, buckets)
+            rows = [(BLOCK, number, 0, blob)] + [(FOLLOWERS, number, b, p) for b, p in own.followers((flags & 2) > 0)]
+            for h in held:
+                h.clear()
+            count, size = count + 1, 0
+            return _rows(rows)
+
+        for batch in batches:
+            for values in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                for h, v in zip(held, values):
+                    h.append(v)
+                size += len(values[2] or "")
+                if size >= BLOCK_CHARS or len(held[0]) >= BLOCK_DOCS:
+                    yield flush()
+        if held[0]:
+            yield flush()
+        yield _rows([(MOMENT, first, 0, _zip(moments.astype("<f8").tobytes()))])
+
+    return run
+
+
+_PACKED = "kind int, block long, bucket int, payload binary"
+BLOCK, FOLLOWERS, MOMENT = 0, 1, 2
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "block", "bucket", "payload"])
 
 
 class BlockWords:
-    """A block's words: distinct ones by bucket and hash, and which text holds which."""
+    """A block's words: the distinct ones by bucket and hash, and which stands where in which text."""
 
     def __init__(self, texts: list[bytes], buckets: int):
-        self.words = Words([t.decode("utf-8", "surrogatepass") for t in texts])
-        hashes = self.words.hashes()
-        distinct, first, self.inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        order = np.lexsort((distinct, distinct % np.uint64(buckets)))
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        self.inverse = back[self.inverse]
-        self.hash, self.first = distinct[order], first[order]
-        bucket = (self.hash % np.uint64(buckets)).astype(np.int64)
-        self.limits = np.searchsorted(bucket, np.arange(buckets + 1))
-
-    def spelled(self, a: int, b: int) -> bytes:
-        """Words ``a``..``b`` of the distinct ones, each closed by a space."""
-        data, start, end = self.words.data, self.words.start, self.words.end
-        return b"".join(data[start[f] : end[f]].tobytes() + b" " for f in self.first[a:b])
+        lists = [t.lower().split() for t in texts]
+        self.bounds = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
+        coded = pa.array(chain.from_iterable(lists), pa.binary(), size=int(self.bounds[-1])).dictionary_encode()
+        del lists
+        distinct = coded.dictionary.to_pylist()
+        hashes = word_hashes(distinct)
+        order = np.lexsort((hashes, hashes % np.uint64(buckets)))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.at = place[coded.indices.to_numpy()] if len(order) else np.zeros(0, np.int64)
+        self.distinct, self.hashes = [distinct[i] for i in order.tolist()], hashes[order]
+        self.limits = np.searchsorted((self.hashes % np.uint64(buckets)).astype(np.int64), np.arange(buckets + 1))
+
+    def begins(self) -> np.ndarray:
+        """Whether each word is its text's first."""
+        out = np.zeros(len(self.at), bool)
+        starts = self.bounds[:-1][np.diff(self.bounds) > 0]
+        out[starts] = True
+        return out
+
+    def followers(self, learn: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(bucket, payload): its distinct words' hashes, and how often which word (by 32 bits of its hash) stands behind them in texts to learn from."""
+        behind = np.repeat(learn, np.diff(self.bounds)) & ~self.begins()
+        at = np.flatnonzero(behind)
+        pairs, counts = np.unique((self.at[at - 1].astype(np.uint64) << np.uint64(32)) | (self.hashes[self.at[at]] >> np.uint64(32)), return_counts=True)
+        word = (pairs >> np.uint64(32)).astype(np.int64)
+        edges = np.searchsorted(word, self.limits)
+        for b in np.flatnonzero(np.diff(self.limits)).tolist():
+            lo, hi = int(self.limits[b]), int(self.limits[b + 1])
+            p, q = int(edges[b]), int(edges[b + 1])
+            yield b, _join(self.hashes[lo:hi].astype("<u8").tobytes(), _planes((word[p:q] - lo).astype("<u4")), pairs[p:q].astype("<u4").tobytes(), _planes(counts[p:q].astype("<u4")))
+
+    def classes(self, pull: np.ndarray) -> np.ndarray:
+        """Class of the text before each word: the signs of its byte pairs' sums on the axes, and 2**AXES more where there is a word before."""
+        n = len(self.at)
+        if not n:
+            return np.zeros(0, np.uint8)
+        data = np.frombuffer(b" " + b" ".join(self.distinct) + b" ", np.uint8)
+        pair = _pair(data[:-1], data[1:])
+        starts = np.concatenate(([0], np.flatnonzero(data == _SPACE)[1:-1]))
+        begin = np.repeat(self.bounds[:-1], np.diff(self.bounds))
+        out = np.where(begin < np.arange(n), 1 << AXES, 0).astype(np.uint8)
+        for axis in range(AXES):
+            of_word = np.add.reduceat(pull[:, axis].take(pair), starts)
+            sums = np.concatenate(([0], np.cumsum(of_word[self.at])))[:-1]
+            out += (sums > sums[begin]).astype(np.uint8) << np.uint8(axis)
+        return out
+
+
+def word_hashes(distinct: list[bytes]) -> np.ndarray:
+    return Words([b" ".join(distinct).decode("utf-8", "surrogatepass")]).hashes()
+
+
+class BlockTokens:
+    """A block's distinct tokens (word, class, and the word before where it counts) by bucket, and which stands where."""
+
+    def __init__(self, own: BlockWords, foretells: np.ndarray, pull: np.ndarray):
+        self.own = own
+        before = np.zeros(len(own.at), np.int64)
+        if len(own.at):
+            before[1:] = np.where(foretells[own.at[:-1]], own.at[:-1] + 1, 0)
+            before[own.begins()] = 0
+        tokens, self.inverse = np.unique((own.at * (len(own.hashes) + 1) + before) * CLASSES + own.classes(pull), return_inverse=True)
+        self.kind, rest = (tokens % CLASSES).astype(np.uint8), tokens // CLASSES
+        before, self.word = rest % (len(own.hashes) + 1), rest // (len(own.hashes) + 1)
+        self.before = np.concatenate((np.zeros(1, np.uint64), own.hashes))[before]
+        self.limits = np.searchsorted(self.word, own.limits)
 
     def __len__(self) -> int:
-        return len(self.hash)
+        return len(self.word)
+
+
+def foretold(own: BlockWords, answers: dict[int, bytes]) -> np.ndarray:
+    """Whether each distinct word of a block foretells the next, from the buckets' answers."""
+    out = np.zeros(len(own.hashes), bool)
+    for b, mask in answers.items():
+        lo, hi = int(own.limits[b]), int(own.limits[b + 1])
+        out[lo:hi] = np.unpackbits(np.frombuffer(mask, np.uint8), count=hi - lo).astype(bool)
+    return out
+
+
+def _foretell(table: pa.Table) -> pa.Table:
+    """For each block's words of a bucket, a bit for each: whether the word foretells the next."""
+    blocks, parts = table.column("block").to_pylist(), [_parted(p) for p in table.column("payload").to_pylist()]
+    own = [np.frombuffer(p[0], "<u8") for p in parts]
+    distinct, place = np.unique(np.concatenate(own), return_inverse=True)
+    sizes = np.cumsum([0] + [len(x) for x in own])
+    word = np.concatenate([place[s + _unplanes(p[1])] for s, p in zip(sizes, parts)])
+    pairs, inverse = np.unique((word.astype(np.uint64) << np.uint64(32)) | np.concatenate([np.frombuffer(p[2], "<u4") for p in parts]), return_inverse=True)
+    counts = np.bincount(inverse, weights=np.concatenate([_unplanes(p[3]) for p in parts]), minlength=len(pairs))
+    word = (pairs >> np.uint64(32)).astype(np.int64)
+    total, most = np.bincount(word, weights=counts, minlength=len(distinct)), np.zeros(len(distinct))
+    np.maximum.at(most, word, counts)
+    sure = (most >= REPEATED) & (most * SHARE >= total)
+    masks = [np.packbits(sure[place[a:b]]).tobytes() for a, b in zip(sizes, sizes[1:])]
+    return pa.table([pa.array(blocks, pa.int64()), pa.array([table.column("bucket")[0].as_py()] * len(blocks), pa.int32()), pa.array(masks, pa.binary())], names=["block", "bucket", "payload"])
 
 
 def lag(n: np.ndarray) -> np.ndarray:
@@ -181,60 +289,115 @@ def lag(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(2 * np.log2(n + 1.0)), LAGS - 1).astype(np.int64)
 
 
-def _request(buckets: int):
-    """(bucket, block, payload): the block's distinct words and training counts in each bucket; negative buckets hold the ends of texts."""
+def _join(*parts: bytes) -> bytes:
+    return b"".join(struct.pack("<q", len(p)) + p for p in parts)
+
+
+def _parted(payload: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(payload):
+        (n,) = struct.unpack_from("<q", payload, at)
+        out.append(payload[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def _ends(n_words: np.ndarray) -> bytes:
+    """How many texts ended at each class of length, and how many words stood there to go on."""
+    reach = np.bincount(n_words, minlength=int(n_words.max(initial=0)) + 1)
+    of = lag(np.arange(len(reach)))
+    at_risk = np.bincount(of, weights=reach[::-1].cumsum()[::-1], minlength=LAGS)
+    return np.concatenate((np.bincount(of, weights=reach, minlength=LAGS), at_risk)).astype("<f8").tobytes()
+
+
+def _request(buckets: int, pull: np.ndarray):
+    """(bucket, block, payload): the block's distinct tokens and their training counts in each bucket; negative buckets hold the ends of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for block, blob, answers in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 _, flags, texts = unpack_block(blob)
                 own = BlockWords(texts, buckets)
-                n_words = np.diff(own.words.bounds)
-                learn = (flags & 2) > 0
-                weight = np.bincount(own.inverse, weights=np.repeat(learn, n_words), minlength=len(own)).astype("<u4")
+                tokens = BlockTokens(own, foretold(own, {a["bucket"]: a["payload"] for a in answers or ()}), pull)
+                n_words, learn = np.diff(own.bounds), (flags & 2) > 0
+                weight = np.bincount(tokens.inverse, weights=np.repeat(learn, n_words), minlength=len(tokens)).astype("<u4")
                 rows = []
                 for b in range(buckets):
-                    lo, hi = int(own.limits[b]), int(own.limits[b + 1])
+                    lo, hi = int(tokens.limits[b]), int(tokens.limits[b + 1])
                     if hi > lo:
-                        counts = _planes(weight[lo:hi])
-                        rows.append((b, block, struct.pack("<qq", hi - lo, len(counts)) + counts + _zip(own.spelled(lo, hi))))
-                at_risk, ended = np.zeros(LAGS), np.zeros(LAGS)
-                for n in n_words[learn]:
-                    at_risk += np.bincount(lag(np.arange(n + 1)), minlength=LAGS)
-                    ended[lag(np.array([n]))[0]] += 1
-                rows.append((-1 - block % 16, block, np.concatenate((ended, at_risk)).astype("<f8").tobytes()))
+                        w, x = int(own.limits[b]), int(own.limits[b + 1])
+                        before = tokens.before[lo:hi]
+                        rows.append((b, block, _join(_zip(b" ".join(own.distinct[w:x]) + b" "), _planes((tokens.word[lo:hi] - w).astype("<u4")), _zip(tokens.kind[lo:hi].tobytes()), _zip(np.packbits(before > 0).tobytes()), before[before > 0].astype("<u8").tobytes(), _planes(weight[lo:hi]))))
+                rows.append((-1 - block % 16, block, _ends(n_words[learn])))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "block", "payload"])
 
     return run
 
 
-_MERGED = "kind int, block long, bucket int, n long, v long, payload binary"
-ANSWER, WORDS, ENDS = 0, 1, 2
-
+def _before(flags: bytes, hashes: bytes, n: int) -> np.ndarray:
+    """The hash of the word before each token, 0 where none counts."""
+    out = np.zeros(n, np.uint64)
+    out[np.unpackbits(np.frombuffer(_unzip(flags), np.uint8), count=n).astype(bool)] = np.frombuffer(hashes, "<u8")
+    return out
+
+
+_MERGED = "kind int, block long, bucket int, slice int, n long, v long, payload binary"
+#: Kinds of rows: a bucket's distinct tokens; where a block's stand among them, right behind; training tokens by slice; the bucket's number of training words; ends of texts.
+DISTINCT, PLACES, LEARN, WORDS, ENDS = 0, 1, 2, 3, 4
+
+
+def _repeat(words: list[bytes], which: np.ndarray) -> bytes:
+    """The chosen words, each closed by a space."""
+    return b" ".join([*map(words.__getitem__, which.tolist()), b""])
+
+
+def _merge(slices: int):
+    """All requests of one bucket: its distinct tokens with their counts, and for each block the places of its own."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks, payloads = table.column("block").to_pylist(), table.column("payload").to_pylist()
+        bucket = table.column("bucket")[0].as_py()
+        rows = []
+        if bucket < 0:
+            rows.append((ENDS, 0, bucket, 0, 0, 0, sum(np.frombuffer(p, "<f8") for p in payloads).astype("<f8").tobytes()))
+        else:
+            order = sorted(range(len(blocks)), key=lambda i: blocks[i])
+            parts = [_parted(payloads[i]) for i in order]
+            lists = [_unzip(p[0]).split() for p in parts]
+            words = list(chain.from_iterable(lists))
+            distinct, first, inverse = np.unique(word_hashes(words), return_index=True, return_inverse=True)
+            sizes = np.cumsum([0] + [len(x) for x in lists])
+            texts = [words[i] for i in first.tolist()]
+            del words, lists
+            kinds = [np.frombuffer(_unzip(p[2]), np.uint8) for p in parts]
+            limits = np.cumsum([0] + [len(k) for k in kinds])
+            key = np.concatenate([inverse[s + _unplanes(p[1])] * CLASSES + k for s, p, k in zip(sizes, parts, kinds)])
+            before = np.concatenate([_before(p[3], p[4], len(k)) for p, k in zip(parts, kinds)])
+            by = np.lexsort((before, key))
+            fresh = np.concatenate(([True], (key[by][1:] != key[by][:-1]) | (before[by][1:] != before[by][:-1])))
+            place = np.empty(len(by), np.int64)
+            place[by] = np.cumsum(fresh) - 1
+            key, before = key[by][fresh], before[by][fresh]
+            counts = np.bincount(place, weights=np.concatenate([_unplanes(p[5]) for p in parts])).astype("<u8")
+            word, kind = key // CLASSES, (key % CLASSES).astype(np.uint8)
+            total = np.bincount(word, weights=counts, minlength=len(distinct)).astype("<u8")
+
+            def tokens(some: np.ndarray) -> list[bytes]:
+                return [_zip(_repeat(texts, word[some])), _zip(kind[some].tobytes()), _zip(before[some].astype("<u8").tobytes())]
+
+            rows.append((DISTINCT, 0, bucket, 0, 0, 0, _join(*tokens(np.arange(len(key))), _planes(total[word]))))
+            for i, a, b in zip(order, limits, limits[1:]):
+                rows.append((PLACES, blocks[i], bucket, 0, 0, 0, _planes(place[a:b].astype("<u4"))))
+            slice_of = (mix64(distinct) % np.uint64(slices)).astype(np.int64)[word]
+            for s in range(slices):
+                some = np.flatnonzero((slice_of == s) & (counts > 0))
+                if len(some):
+                    rows.append((LEARN, 0, bucket, s, 0, 0, _join(*tokens(some), _zip(distinct[word[some]].astype("<u8").tobytes()), _planes(counts[some]))))
+            rows.append((WORDS, 0, bucket, 0, int(total.sum()), int((total > 0).sum()), b""))
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)], names=["kind", "block", "bucket", "slice", "n", "v", "payload"])
 
-def _split(payload: bytes) -> tuple[np.ndarray, bytes]:
-    n, size = struct.unpack_from("<qq", payload)
-    return _unplanes(payload[16 : 16 + size])[:n], _unzip(payload[16 + size :])
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    """All requests of one bucket: an answer to each, and how many training words the bucket has."""
-    blocks, payloads = table.column("block").to_pylist(), table.column("payload").to_pylist()
-    bucket = table.column("bucket")[0].as_py()
-    rows = []
-    if bucket < 0:
-        rows.append((ENDS, 0, bucket, 0, 0, sum(np.frombuffer(p, "<f8") for p in payloads).astype("<f8").tobytes()))
-    else:
-        parts = [_split(p) for p in payloads]
-        words = Words([b"".join(p[1] for p in parts).decode("utf-8", "surrogatepass")])
-        _, inverse = np.unique(words.hashes(), return_inverse=True)
-        total, at = np.bincount(inverse, weights=np.concatenate([p[0] for p in parts])).astype("<u8"), 0
-        for block, (weight, _) in zip(blocks, parts):
-            rows.append((ANSWER, block, bucket, 0, 0, _planes(total[inverse[at : at + len(weight)]])))
-            at += len(weight)
-        rows.append((WORDS, 0, bucket, int(total.sum()), int((total > 0).sum()), b""))
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "block", "bucket", "n", "v", "payload"])
+    return run
 
 
 # --- bit predictors ------------------------------------------------------------
@@ -262,53 +425,24 @@ def _scramble(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint32(16))
 
 
-def reaching(data: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the word so far, of it with the word before, and of the last six bytes, whatever words they are in."""
-    n = len(data)
-    at = np.arange(n, dtype=np.int64)
-    number = _per_word(data)
+def predictors(data: np.ndarray, classes: np.ndarray, before: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Context hashes of every byte of words closed by spaces, and the kind of the last byte; ``classes`` and ``before`` (hash of the word before, or 0) have one number for each word."""
+    of, kind = contexts(data)
+    number, n = _per_word(data), len(data)
     starts = np.concatenate(([0], np.flatnonzero(data == _SPACE) + 1))
     with np.errstate(over="ignore"):
-        place = (at - starts[number]).astype(np.uint32)
-        terms = _scramble(data.astype(np.uint32) * np.uint32(0x9E3779B1) + place * np.uint32(0x85EBCA6B) + np.uint32(1))
+        place = (np.arange(n, dtype=np.int64) - starts[number]).astype(np.uint32) if n else np.zeros(0, np.uint32)
         sums = np.zeros(n + 1, np.uint32)
-        np.cumsum(terms, dtype=np.uint32, out=sums[1:])
-        so_far = sums[:-1] - sums[starts[number]]
-        whole = np.concatenate(([0], sums[starts[1:]] - sums[starts[:-1]])).astype(np.uint32)  # of the word before each
-        six = np.full(n, 7, np.uint32)
-        padded = np.concatenate((np.full(6, _SPACE), data)).astype(np.uint32)
-        for k in range(6):
-            six = (six ^ (padded[k : k + n] + np.uint32(1))) * np.uint32(0x01000193) + (six >> np.uint32(15))
-        return [_scramble(so_far + np.uint32(5)), _scramble(so_far * np.uint32(3) + _scramble(whole[number] + np.uint32(6))), _scramble(six)]
-
-
-def classes(data: np.ndarray, pull: np.ndarray) -> np.ndarray:
-    """Class of the text so far at each word's start; 16 more where the text has begun. A text begins behind ``_LEAD``."""
-    n, wide, space = len(data), data.astype(np.uint32), data == _SPACE
-    with np.errstate(over="ignore"):
-        pair = np.concatenate(([0], ((wide[:-1] * np.uint32(251) + wide[1:]) * np.uint32(0x9E3779B1)) >> np.uint32(25))).astype(np.int64)
-    spaces = np.concatenate((np.zeros(len(_LEAD), np.int64), np.cumsum(space)))
-    begin = np.zeros(n + 1, np.int64)
-    behind = np.flatnonzero(spaces[len(_LEAD) :] - spaces[:n] == len(_LEAD)) + 1
-    begin[behind] = behind
-    begin = np.maximum.accumulate(begin)
-    start = np.concatenate(([0], np.flatnonzero(space) + 1))
-    out = 16 * (start > begin[start]).astype(np.uint32)
-    for axis in range(AXES):
-        sums = np.concatenate(([0.0], np.cumsum(pull[:, axis].take(pair))))
-        out += (sums[start] > sums[begin[start]]).astype(np.uint32) << np.uint32(axis)
-    return out[_per_word(data)]
-
-
-def predictors(data: np.ndarray, pull: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Context hashes of every byte, and the kind of the last byte."""
-    inner, kind = contexts(data)
-    of = inner + reaching(data)
-    if pull is not None and len(data):
-        with np.errstate(over="ignore"):
-            salt = classes(data, pull) * np.uint32(0x3779B1) + np.uint32(9)
-        for k in BY_CLASS:
-            of[k] = _scramble(of[k] ^ salt)
+        np.cumsum(_scramble(data.astype(np.uint32) * np.uint32(0x9E3779B1) + place * np.uint32(0x85EBCA6B) + np.uint32(1)), dtype=np.uint32, out=sums[1:])
+        so_far = sums[:-1] - sums[starts[number]] if n else sums[:0]
+        of.append(_scramble(so_far + np.uint32(5)))
+        mixed = (before ^ (before >> np.uint64(32))).astype(np.uint32)
+        of.append(_scramble(so_far * np.uint32(3) + _scramble(mixed + np.uint32(6))[number]) if n else so_far)
+        of.append(_scramble(so_far + np.uint32(11)))
+        if n:
+            salt = classes.astype(np.uint32)[number] * np.uint32(0x3779B1) + np.uint32(9)
+            for k in BY_CLASS:
+                of[k] = _scramble(of[k] ^ salt)
     return of, kind
 
 
@@ -330,15 +464,12 @@ def bits(data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nda
         yield place, (np.uint32(1) << np.uint32(place)) | (wide >> np.uint32(8 - place)), (wide >> np.uint32(7 - place)) & np.uint32(1), before, cell
 
 
-def count_halves(data: np.ndarray, learn: np.ndarray, counts: np.ndarray, pull: np.ndarray | None = None) -> None:
-    """Count both half bytes of the bytes to learn from in ``counts`` (contexts x slots): 16 values behind each context and half byte before."""
-    of, _ = predictors(data, pull)
-    at = np.flatnonzero(learn)
-    wide, size = data[at].astype(np.uint32), counts.shape[1]
+def count_halves(context: np.ndarray, data: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> None:
+    """Count both half bytes of the bytes, as often as they weigh, in one context's ``counts``: 16 values behind each context and half byte before."""
+    wide = data.astype(np.uint32)
     high = wide >> np.uint32(4)
-    for before, half in ((np.zeros(len(at), np.uint32), high), (high + np.uint32(16), wide & np.uint32(15))):
-        for k in range(CONTEXTS):
-            np.add.at(counts[k], slots(of[k][at], before, size) + half, counts.dtype.type(1))
+    for before, half in ((np.zeros(len(data), np.uint32), high), (high + np.uint32(16), wide & np.uint32(15))):
+        np.add.at(counts, slots(context, before, len(counts)) + half, weight)
 
 
 def cells(halves: np.ndarray) -> np.ndarray:
@@ -350,14 +481,6 @@ def cells(halves: np.ndarray) -> np.ndarray:
     return out.reshape(-1, 2)
 
 
-def count_bits(data: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> None:
-    """Add every byte's bits to ``counts`` (contexts x slots x 2), bytes of no weight left out."""
-    halves = np.zeros(counts.shape[:2], np.uint32)
-    count_halves(data, weight > 0, halves)
-    for k in range(CONTEXTS):
-        counts[k] += cells(halves[k])
-
-
 def bounded(counts: np.ndarray) -> np.ndarray:
     """Pairs of counts as 16-bit numbers; larger pairs are scaled down, their odds kept."""
     most = np.maximum(counts.max(axis=-1, keepdims=True), 65535.0)
@@ -398,9 +521,9 @@ def _gate(kind: np.ndarray, place: int, word: np.ndarray, pair: np.ndarray) -> n
 class Spelling:
     """Mixer and adaptive map over the merged tables."""
 
-    def __init__(self, counts: np.ndarray | None, weights: np.ndarray | None = None, rates: np.ndarray | None = None, odds: np.ndarray | None = None, pull: np.ndarray | None = None):
+    def __init__(self, counts: np.ndarray | None, weights: np.ndarray | None = None, rates: np.ndarray | None = None, odds: np.ndarray | None = None):
         self.counts = counts if counts is None or counts.dtype == np.uint16 else bounded(counts)
-        self.odds, self.pull, self.steps = odds, pull, 0
+        self.odds, self.steps = odds, 0
         self.weights = np.full((GATES, CONTEXTS + 1), 0.2) if weights is None else weights
         if weights is None:
             self.weights[:, -1] = 0
@@ -410,18 +533,19 @@ class Spelling:
         prior = 20 * np.tile(centre, 256)
         self.refined = ((self.rates[:, 1] + prior) / (self.rates.sum(axis=1) + 20)).astype(np.float32)
 
-    def learn(self, data: np.ndarray, weight: np.ndarray, step: float = 0.03) -> None:
-        """Online steps over strips of a text's bytes, one for each bit place of a strip; each byte's own occurrence is taken out of the counts."""
-        of, kind = predictors(data, self.pull)
-        learn = np.flatnonzero(weight)
-        for lo in range(0, len(learn), LEARNED):
-            at = learn[lo : lo + LEARNED]
-            self._strip(data[at], [c[at] for c in of], kind[at], step)
+    def learn(self, data: np.ndarray, classes: np.ndarray, before: np.ndarray, weight: np.ndarray, step: float = 0.03) -> None:
+        """Online steps over strips of words' bytes, one for each bit place of a strip; one occurrence of each byte is taken out of the counts. ``weight`` is how often each token occurs."""
+        of, kind = predictors(data, classes, before)
+        each = weight.astype(np.float64)[_per_word(data)]
+        for lo in range(0, len(data), LEARNED):
+            at = slice(lo, lo + LEARNED)
+            self._strip(data[at], [c[at] for c in of], kind[at], each[at], step)
             self.steps += 1
             self.average += (self.weights - self.average) * (2 / (self.steps + 1))  # later weights count more
 
-    def _strip(self, data: np.ndarray, of: list[np.ndarray], kind: np.ndarray, step: float) -> None:
+    def _strip(self, data: np.ndarray, of: list[np.ndarray], kind: np.ndarray, each: np.ndarray, step: float) -> None:
         size, first, trust = self.counts.shape[1], [None] * CONTEXTS, [None] * (CONTEXTS - INNER)
+        damped = np.sqrt(each)
         packed, x = self.counts.view(np.uint32)[:, :, 0], np.ones((CONTEXTS + 1, len(data)), np.float32)
         for place, node, bit, before, cell in bits(data):
             one = np.where(bit == 1, _ONE[1], _ONE[0])
@@ -438,18 +562,18 @@ class Spelling:
             weights = self.weights.T.astype(np.float32)
             mixed = sum(x[j] * weights[j].take(gate) for j in range(CONTEXTS + 1))
             p = _squash(np.clip(mixed, -12, 12))
-            self.rates += np.bincount((node.astype(np.int64) * LEVELS + _level(mixed)) * 2 + bit, minlength=512 * LEVELS).reshape(-1, 2)
-            pull, seen = bit - p, np.bincount(gate, minlength=GATES)
+            np.add.at(self.rates.reshape(-1), (node.astype(np.int64) * LEVELS + _level(mixed)) * 2 + bit, each)
+            pull, seen = (bit - p) * damped, np.bincount(gate, weights=damped, minlength=GATES)
             for j in range(CONTEXTS + 1):
                 self.weights[:, j] += step * 4 * np.bincount(gate, weights=pull * x[j], minlength=GATES) / (seen + 50.0)
 
-    def cost(self, data: np.ndarray) -> np.ndarray:
-        """Natural log of each byte's probability, given all bytes before it."""
+    def cost(self, data: np.ndarray, classes: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Natural log of each byte's probability, given all bytes of its word before it, the word's class and the word before."""
         if self.odds is None:
             self.odds = np.stack([codes(c) for c in self.counts])
         out = np.zeros(len(data))
         weights, refined, size = self.weights.T.astype(np.float32), self.refined, self.odds.shape[1]
-        of_all, kinds = predictors(data, self.pull)
+        of_all, kinds = predictors(data, classes, before)
         for lo in range(0, len(data), STRIP):
             part, of, kind = data[lo : lo + STRIP], [c[lo : lo + STRIP] for c in of_all], kinds[lo : lo + STRIP]
             first, trust, total = [None] * CONTEXTS, [None] * (CONTEXTS - INNER), np.zeros(len(part), dtype=np.float64)
@@ -476,51 +600,27 @@ def _per_word(data: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(data == _SPACE)[:-1])) if len(data) else np.zeros(0, np.int64)
 
 
-def normal(text: bytes) -> bytes:
-    """The words of a text, each closed by a space."""
-    words = text.lower().split()
-    return b" ".join([*words, b""]) if words else b""
+def _pieces(words: bytes, *of_words: np.ndarray) -> Iterator[tuple]:
+    """Words closed by spaces, some at a time, whole words only, with the parts of ``of_words`` that are theirs."""
+    data = np.frombuffer(words, np.uint8)
+    ends = np.flatnonzero(data == _SPACE) + 1
+    lo = first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, lo + PIECE, side="right")))
+        yield data[lo : ends[last - 1]], *[x[first:last] for x in of_words]
+        lo, first = int(ends[last - 1]), last
 
 
-def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bytes, text of each byte) of the words of whole texts, some texts at a time; -1 marks bytes that only stand before others.
+def _tokens(payload: bytes) -> tuple[bytes, np.ndarray, np.ndarray, list[bytes]]:
+    """(words closed by spaces, classes, hashes of the words before, what follows) of tokens."""
+    spelled, kinds, before, *more = _parted(payload)
+    return _unzip(spelled), np.frombuffer(_unzip(kinds), np.uint8), np.frombuffer(_unzip(before), "<u8"), more
 
-    Every text begins behind the same spaces. A text longer than ``PIECE`` comes
-    in several pieces, each behind the ``BEHIND`` bytes before it.
-    """
-    held: list[bytes] = []
-    owner: list[np.ndarray] = []
-    size = 0
-    for i, t in enumerate(map(normal, texts)):
-        for lo in range(0, len(t), PIECE):
-            lead = t[lo - BEHIND : lo] if lo else _LEAD
-            part = t[lo : lo + PIECE]
-            held += [lead, part]
-            owner += [np.full(len(lead), -1, np.int32), np.full(len(part), i, np.int32)]
-            size += len(lead) + len(part)
-            if size >= PIECE:
-                yield np.frombuffer(b"".join(held), np.uint8), np.concatenate(owner)
-                held, owner, size = [], [], 0
-    if held:
-        yield np.frombuffer(b"".join(held), np.uint8), np.concatenate(owner)
-
-
-def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bytes, whether each is learned from) of the training texts of blocks, some blocks at a time, their texts by a hash."""
-    held: list[bytes] = []
-
-    def flush() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for data, owner in pieces(sorted(held, key=lambda t: (zlib.crc32(t), t))):
-            yield data, owner >= 0
-        held.clear()
 
-    for batch in batches:
-        for blob in batch.column(0).to_pylist():
-            _, flags, texts = unpack_block(blob)
-            held += [t for t, f in zip(texts, flags) if f & 2]
-            if sum(map(len, held)) >= 4 * PIECE:
-                yield from flush()
-    yield from flush()
+def _learned(payload: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words closed by spaces, classes, hashes of the words before, the words' hashes, training counts) of a slice's training tokens in a bucket."""
+    spelled, kind, before, (hashes, counts) = _tokens(payload)
+    return spelled, kind, before, np.frombuffer(_unzip(hashes), "<u8"), _unplanes(counts)
 
 
 def table_size(distinct: int) -> int:
@@ -528,24 +628,37 @@ def table_size(distinct: int) -> int:
     return min(max(TABLE, 1 << (16 * max(distinct, 1) - 1).bit_length()), LARGEST)
 
 
-def _tables(size: int, pull: np.ndarray):
+def mixers(characters: float) -> int:
+    """Mixers that learn by themselves: as the square root of the training texts' characters."""
+    return int(min(max(1, 2 ** round(np.log2(max(characters / ALONE, 1)) / 2)), MIXERS))
+
+
+def _tables(size: int):
+    """Each context's counts over the training tokens of a partition, in parts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, any_rows = np.zeros((CONTEXTS, size), np.uint32), False
-        for data, learn in _learned(batches):
-            any_rows = True
-            count_halves(data, learn, counts, pull)
-        if any_rows:
-            width = size // PARTS
-            for k in range(CONTEXTS):
-                rows = [_planes(counts[k, p * width : (p + 1) * width]) for p in range(PARTS)]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * PARTS, pa.int32()), pa.array(range(PARTS), pa.int32()), pa.array(rows, pa.binary())], names=["context", "part", "payload"])
+        held = [_learned(p) for batch in batches for p in batch.column(0).to_pylist()]
+        if not held:
+            return
+        width = size // PARTS
+        pieces = []
+        for words, kind, before, _, counts in held:
+            for data, *of_words, weight in _pieces(words, kind, before, counts):
+                pieces.append((predictors(data, *of_words)[0], data, weight.astype(np.uint64)[_per_word(data)]))
+        for k in range(CONTEXTS):
+            counts = np.zeros(size, np.uint64)
+            for of, data, weight in pieces:
+                count_halves(of[k], data, weight, counts)
+                of[k] = None
+            rows = [_planes(counts[p * width : (p + 1) * width]) for p in range(PARTS)]
+            yield pa.RecordBatch.from_arrays([pa.array([k] * PARTS, pa.int32()), pa.array(range(PARTS), pa.int32()), pa.array(rows, pa.binary())], names=["context", "part", "payload"])
 
     return run
 
 
 def _add_moments(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(_unzip(p), "<f4").astype(np.float64) for p in table.column("payload").to_pylist())
-    return pa.table([table.column("context").slice(0, 1), table.column("part").slice(0, 1), pa.array([_zip(total.astype("<f4").tobytes())], pa.binary())], names=["context", "part", "payload"])
+    total = sum(np.frombuffer(_unzip(p), "<f8") for p in table.column("payload").to_pylist())
+    return pa.table([table.column("context").slice(0, 1), table.column("part").slice(0, 1), pa.array([_zip(total.astype("<f8").tobytes())], pa.binary())], names=["context", "part", "payload"])
 
 
 def _add_tables(table: pa.Table) -> pa.Table:
@@ -555,14 +668,19 @@ def _add_tables(table: pa.Table) -> pa.Table:
     return pa.table([table.column("context").slice(0, 1), table.column("part").slice(0, 1), pa.array([_zip(bounded(cells(total)).tobytes())], pa.binary())], names=["context", "part", "payload"])
 
 
-def _fit(counts_value, pull: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = Spelling(np.stack([np.frombuffer(_unzip(c), np.uint16).reshape(-1, 2) for c in counts_value.value]), pull=pull), 0.0
-        for data, learn in _learned(batches):
-            model.learn(data, learn)
-            seen += float(learn.sum())
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([model.average.astype("<f8").tobytes()], pa.binary()), pa.array([_zip(model.rates.astype("<f8").tobytes())], pa.binary())], names=["seen", "weights", "rates"])
+def _fit(counts_value):
+    """One mixer for a slice: its training tokens in the order of their words' hashes and classes, whatever buckets they come from."""
+
+    def run(table: pa.Table) -> pa.Table:
+        model = Spelling(np.stack([np.frombuffer(_unzip(c), np.uint16).reshape(-1, 2) for c in counts_value.value]))
+        held = [_learned(p) for p in table.column("payload").to_pylist()]
+        kind, before, hashes, counts = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3, 4))
+        order = np.lexsort((before, kind, hashes))
+        words = _repeat(list(chain.from_iterable(h[0].split() for h in held)), order)
+        held.clear()
+        for data, *of_words in _pieces(words, kind[order], before[order], counts[order]):
+            model.learn(data, *of_words)
+        return pa.table([table.column("slice").slice(0, 1), pa.array([float(counts.sum())]), pa.array([model.average.astype("<f8").tobytes()], pa.binary()), pa.array([_zip(model.rates.astype("<f8").tobytes())], pa.binary())], names=["slice", "seen", "weights", "rates"])
 
     return run
 
@@ -570,34 +688,53 @@ def _fit(counts_value, pull: np.ndarray):
 # --- scoring -------------------------------------------------------------------
 
 
+_ANSWER = "block long, bucket int, payload binary"
+
+
+def spell_buckets(model_value):
+    """(block, bucket, costs and training counts of the block's tokens): each distinct token of a bucket is spelled once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling, cost, total = None, None, None
+        for batch in batches:
+            for kind, block, bucket, payload in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                if kind == DISTINCT:
+                    m = model_value.value
+                    spelling = spelling or Spelling(None, m["weights"], m["rates"], np.stack([np.frombuffer(_unzip(c), np.int16) for c in m["odds"]]))
+                    words, kinds, before, (totals,) = _tokens(payload)
+                    cost = np.concatenate([np.add.reduceat(spelling.cost(data, *of_words), np.concatenate(([0], np.flatnonzero(data == _SPACE)[:-1] + 1))) for data, *of_words in _pieces(words, kinds, before)])
+                    total = _unplanes(totals)
+                else:
+                    at = _unplanes(payload)
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([_join(_zip(cost[at].astype("<f8").tobytes()), _planes(total[at]))], pa.binary())], names=["block", "bucket", "payload"])
+
+    return run
+
+
 class Scorer:
-    """Scores blocks with a fitted model."""
+    """Scores blocks from what their tokens cost."""
 
     def __init__(self, model: dict, buckets: int):
         self.model, self.buckets = model, buckets
-        self.spelling = Spelling(None, model["weights"], model["rates"], np.stack([np.frombuffer(_unzip(c), np.int16) for c in model["odds"]]), model["pull"])
-
-    def spell(self, texts: list[bytes]) -> np.ndarray:
-        """Natural log of the probability of each text's words."""
-        total = np.zeros(len(texts))
-        for data, owner in pieces(texts):
-            own = owner >= 0
-            total += np.bincount(owner[own], weights=self.spelling.cost(data)[own], minlength=len(texts))
-        return total
 
-    def block(self, blob: bytes, answers: dict[int, bytes]) -> list[list]:
+    def block(self, blob: bytes, masks: dict[int, bytes], answers: dict[int, bytes]) -> list[list]:
         m = self.model
         ids, flags, texts = unpack_block(blob)
         own = BlockWords(texts, self.buckets)
-        count = np.concatenate([np.zeros(0), *[_unplanes(answers[b])[:n].astype(np.float64) for b, n in enumerate(np.diff(own.limits)) if n]])
-        n_words, bounds, inverse = np.diff(own.words.bounds), own.words.bounds, own.inverse
+        tokens = BlockTokens(own, foretold(own, masks), m["pull"])
+        cost, count = np.zeros(len(tokens)), np.zeros(len(tokens))
+        for b, payload in answers.items():
+            at = slice(int(tokens.limits[b]), int(tokens.limits[b + 1]))
+            costs, counts = _parted(payload)
+            cost[at], count[at] = np.frombuffer(_unzip(costs), "<f8"), _unplanes(counts)
+        n_words, bounds, inverse = np.diff(own.bounds), own.bounds, tokens.inverse
         below = np.log10(m["tokens"] + 0.5 * (m["distinct"] + 1))
         base = np.log10(count + 0.5) - below
-        total = lambda per_word: np.add.reduceat(np.append(per_word[inverse], 0.0), np.append(bounds[:-1], len(inverse)))[: len(n_words)] * (n_words > 0)
+        total = lambda each: np.add.reduceat(np.append(each[inverse], 0.0), np.append(bounds[:-1], len(inverse)))[: len(n_words)] * (n_words > 0)
         ends = m["ends"]
         stay = np.concatenate(([0.0], np.cumsum(np.log1p(-ends[lag(np.arange(int(n_words.max(initial=0)) + 1))]))))
         end_log = stay[n_words] + np.log(ends[lag(n_words)])
-        score = (self.spell(texts) + end_log) / np.log(10)
+        score = (total(cost) + end_log) / np.log(10)
         size = np.array([len(t) for t in texts])
         return [
             ids, [bool(f & 1) for f in flags], (n_words + 1).tolist(), (total((count > 0).astype(np.float64)).astype(np.int64) + int(m["end_count"] > 0)).tolist(),
@@ -605,6 +742,51 @@ class Scorer:
         ]
 
 
+class Fitted:
+    """What a corpus teaches, and the distributed pieces that scoring needs."""
+
+    def __init__(self, docs: DataFrame, modulus: int, remainder: int, id_col: str, text_col: str):
+        spark = docs.sparkSession
+        rest = F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
+        held, learn = F.coalesce(rest == remainder, F.lit(False)), F.coalesce(rest != remainder, F.lit(False))
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (held.cast("int") + 2 * learn.cast("int")).alias("flags"), F.col(text_col).alias("text"))
+        self.buckets = partitions(spark)
+        packed = saved(rows.mapInArrow(_pack(self.buckets), _PACKED))
+        self.blocks = packed.where(F.col("kind") == BLOCK).select("block", F.col("payload").alias("blob"))
+        moments = packed.where(F.col("kind") == MOMENT).select(F.lit(0).alias("context"), F.pmod(F.shiftright("block", 32), F.lit(16)).cast("int").alias("part"), "payload")
+        moments = moments.groupBy("context", "part").applyInArrow(_add_moments, "context int, part int, payload binary").collect()
+        moments = sum((np.frombuffer(_unzip(r["payload"]), "<f8") for r in moments), np.zeros(MOMENTS))
+        pull, slices = directions(moments), mixers(moments[1])
+        masks = packed.where(F.col("kind") == FOLLOWERS).select("bucket", "block", "payload").groupBy("bucket").applyInArrow(_foretell, _ANSWER)
+        self.masks = saved(masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("masks")))  # a bit for each word
+        requests = self.blocks.join(self.masks, "block", "left").select("block", "blob", "masks").mapInArrow(_request(self.buckets, pull), "bucket int, block long, payload binary")
+        merged = saved(requests.groupBy("bucket").applyInArrow(_merge(slices), _MERGED))
+        n, v = merged.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+        ends = sum((np.frombuffer(r["payload"], "<f8") for r in merged.where(F.col("kind") == ENDS).select("payload").collect()), np.zeros(2 * LAGS))
+        texts = int(ends[:LAGS].sum())
+
+        learn, size = merged.where(F.col("kind") == LEARN), table_size(v)
+        counts, width = np.zeros((CONTEXTS, size, 2), dtype=np.uint16), size // PARTS
+        few = learn.select("payload").coalesce(max(16, self.buckets // 4))
+        for r in few.mapInArrow(_tables(size), "context int, part int, payload binary").groupBy("context", "part").applyInArrow(_add_tables, "context int, part int, payload binary").toLocalIterator():
+            counts[r["context"], r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(_unzip(r["payload"]), np.uint16).reshape(width, 2)
+        shared = spark.sparkContext.broadcast([_zip(c.tobytes()) for c in counts])  # CONTEXTS x LARGEST pairs at most
+        weights, rates, seen = np.zeros((GATES, CONTEXTS + 1)), np.zeros((256 * LEVELS, 2)), 0.0
+        fitted = learn.select("slice", "payload").groupBy("slice").applyInArrow(_fit(shared), "slice int, seen double, weights binary, rates binary")
+        for r in sorted(fitted.collect(), key=lambda r: r["slice"]):  # MIXERS rows at most
+            weights += r["seen"] * np.frombuffer(r["weights"], "<f8").reshape(weights.shape)
+            rates += np.frombuffer(_unzip(r["rates"]), "<f8").reshape(rates.shape)
+            seen += r["seen"]
+        shared.destroy()
+        self.counts, self.weights, self.rates = counts, weights / seen if seen else Spelling(counts).weights, rates
+        self.train_tokens = int(n + texts)
+        self.small = {"pull": pull, "tokens": n + texts, "distinct": v + (texts > 0), "end_count": texts, "ends": np.clip((ends[:LAGS] + 0.05) / (ends[LAGS:] + 0.1), 1e-9, 1 - 1e-9)}
+        spelling = spark.sparkContext.broadcast({"odds": [_zip(codes(c).tobytes()) for c in counts], "weights": self.weights, "rates": rates})
+        # a bucket's rows lie together in the checkpoint, its distinct tokens first
+        costs = merged.where(F.col("kind").isin(DISTINCT, PLACES)).select("kind", "block", "bucket", "payload").mapInArrow(spell_buckets(spelling), _ANSWER)
+        self.costs = costs.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("costs"))  # a row for each bucket at most
+
+
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
 
 
@@ -620,49 +802,16 @@ def score_documents(docs: DataFrame, modulus: int = 5, remainder: int = 1, id_co
     the end alone; repeated rows count each; with nothing to learn from, words
     are spelled with even odds; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    rest = F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
-    held, learn = F.coalesce(rest == remainder, F.lit(False)), F.coalesce(rest != remainder, F.lit(False))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (held.cast("int") + 2 * learn.cast("int")).alias("flags"), F.col(text_col).alias("text"))
-    packed = saved(rows.mapInArrow(_pack, "block long, blob binary"))
-    blocks = packed.where("block >= 0")
-    moments = packed.where("block < 0").select(F.lit(0).alias("context"), F.pmod("block", F.lit(16)).cast("int").alias("part"), F.col("blob").alias("payload"))
-    moments = moments.groupBy("context", "part").applyInArrow(_add_moments, "context int, part int, payload binary").collect()
-    pull = directions(*axes(sum((np.frombuffer(_unzip(r["payload"]), "<f4").astype(np.float64) for r in moments), np.zeros(1 + PAIRS + PAIRS * PAIRS))))
-    buckets = partitions(spark)
-    merged = saved(blocks.mapInArrow(_request(buckets), "bucket int, block long, payload binary").groupBy("bucket").applyInArrow(_merge, _MERGED))
-    words = merged.where(F.col("kind") == WORDS)
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    ends = sum((np.frombuffer(r["payload"], "<f8") for r in merged.where(F.col("kind") == ENDS).select("payload").collect()), np.zeros(2 * LAGS))
-    texts = int(ends[:LAGS].sum())
-
-    few, size = blocks.select("blob").coalesce(max(16, buckets // 4)), table_size(v)
-    counts, width = np.zeros((CONTEXTS, size, 2), dtype=np.uint16), size // PARTS
-    for r in few.mapInArrow(_tables(size, pull), "context int, part int, payload binary").groupBy("context", "part").applyInArrow(_add_tables, "context int, part int, payload binary").toLocalIterator():
-        counts[r["context"], r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(_unzip(r["payload"]), np.uint16).reshape(width, 2)
-    shared = spark.sparkContext.broadcast([_zip(c.tobytes()) for c in counts])  # CONTEXTS x LARGEST pairs at most
-    weights, rates, seen = np.zeros((GATES, CONTEXTS + 1)), np.zeros((256 * LEVELS, 2)), 0.0
-    learners = blocks.select("blob").coalesce(max(1, min(max(16, buckets // 4), n // ALONE)))  # few texts: one mixer sees all
-    for r in learners.mapInArrow(_fit(shared, pull), "seen double, weights binary, rates binary").collect():
-        weights += r["seen"] * np.frombuffer(r["weights"], "<f8").reshape(weights.shape)
-        rates += np.frombuffer(_unzip(r["rates"]), "<f8").reshape(rates.shape)
-        seen += r["seen"]
-    shared.destroy()
-    model = {
-        "odds": [_zip(codes(c).tobytes()) for c in counts], "pull": pull, "weights": weights / seen if seen else Spelling(counts).weights, "rates": rates, "tokens": n + texts, "distinct": v + (texts > 0), "end_count": texts,
-        "ends": np.clip((ends[:LAGS] + 0.05) / (ends[LAGS:] + 0.1), 1e-9, 1 - 1e-9),
-    }
-    model_value = spark.sparkContext.broadcast(model)
+    fitted = Fitted(docs, modulus, remainder, id_col, text_col)
+    buckets, model_value = fitted.buckets, docs.sparkSession.sparkContext.broadcast(fitted.small)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = None
+        scorer = Scorer(model_value.value, buckets)
         for batch in batches:
-            for blob, answers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                scorer = scorer or Scorer(model_value.value, buckets)
-                columns = scorer.block(blob, {a["bucket"]: a["payload"] for a in answers or ()})
+            for blob, masks, costs in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                columns = scorer.block(blob, {a["bucket"]: a["payload"] for a in masks or ()}, {a["bucket"]: a["payload"] for a in costs or ()})
                 kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
 
-    answers = merged.where(F.col("kind") == ANSWER).groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers"))
-    scored = blocks.join(answers, "block", "left").select("blob", "answers").mapInArrow(score, _SCORED)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n + texts)).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
+    scored = fitted.blocks.join(fitted.masks, "block", "left").join(fitted.costs, "block", "left").select("blob", "masks", "costs").mapInArrow(score, _SCORED)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(fitted.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
