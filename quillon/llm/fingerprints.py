@@ -16,6 +16,9 @@ likeness of two fingerprints is their share of equal samples.
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.llm.common import partitions
@@ -76,13 +79,58 @@ def likeness(a: Column, b: Column) -> Column:
     return total / F.lit(float(SAMPLES))
 
 
-def _bucket_heads(docs: DataFrame, id_col: str, buckets: int) -> list[int]:
-    """Ids, largest first, at which buckets of about equal row counts begin: at most ``buckets``, the largest id among them."""
+def _bucket_table(rows: DataFrame, buckets: int, shift: int) -> tuple[DataFrame, int]:
+    """One row that tells the bucket of an id's code and a text's cut, and the number of buckets: about ``buckets``, of about equal row counts, in descending id order, null ids last.
+
+    ``codes`` holds the largest code of each run of buckets, ``base`` the run's
+    first bucket, ``width`` its buckets: more than one where a single id has the
+    rows of several. Those are told apart by ``cuts``, the smallest of each, as
+    null ids are by ``null_cuts`` where they are many. All of these are values
+    of the table, so no bucket is empty.
+    """
     shares = [i / buckets for i in range(1, buckets + 1)]
-    found = docs.agg(F.percentile_approx(id_col, shares, 10 * buckets).alias("ids"), F.max(id_col).alias("most")).first()
-    if found["most"] is None:
-        return []
-    return sorted({*found["ids"], found["most"]}, reverse=True)
+    found = rows.agg(F.percentile_approx("code", shares, 10 * buckets).alias("codes"), F.max("code").alias("most"), F.count(F.when(F.col("code").isNull(), 1)).alias("nulls"), F.count(F.lit(1)).alias("all")).first()
+    times = Counter([*(found["codes"] or []), *([found["most"]] if found["most"] is not None else [])])
+    codes = sorted(times, reverse=True)
+    hot = [c for c in codes if times[c] > 2 and not shift]
+    null_pieces = buckets * found["nulls"] // max(found["all"], 1)
+    cuts: dict = {}
+    if hot or null_pieces > 1:
+        pieces = max([null_pieces, *(times[c] for c in hot)])
+        of = rows.where(F.col("code").isin(hot) | (F.col("code").isNull() & F.lit(null_pieces > 1))).groupBy("code")
+        cuts = {r["code"]: sorted({r["least"], *r["cuts"]}) for r in of.agg(F.min("cut").alias("least"), F.percentile_approx("cut", [i / pieces for i in range(1, pieces)], 10 * pieces).alias("cuts")).collect()}
+    width = [len(cuts.get(c, ())) or 1 for c in codes]
+    base = list(accumulate([0, *width]))
+    schema = "codes array<bigint>, base array<int>, width array<int>, cuts map<bigint,array<bigint>>, null_base int, null_cuts array<bigint>"
+    null_cuts = cuts.pop(None, [])
+    table = rows.sparkSession.createDataFrame([(codes, base[:-1], width, cuts, base[-1], null_cuts)], schema)
+    return table, max(1, base[-1] + len(null_cuts))
+
+
+def _place(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows of (doc_id, text, tie) by bucket; a bucket's first rows are also sent, as ghosts, to the bucket before, whose last row needs one."""
+    ends = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    # quantiles are taken over doubles: ids of more bits than those hold are coded by their upper bits, ties always
+    shift = max(0, max((abs(x).bit_length() for x in ends if x is not None), default=0) - 52)
+    rows = rows.withColumn("code", F.shiftright("doc_id", shift)).withColumn("cut", F.shiftright("tie", 12))
+    table, total = _bucket_table(rows.select("code", "cut"), buckets, shift)
+    side = max(1, int(total**0.5))
+    near = table.select("*", F.expr(f"filter(codes, (h, i) -> i % {side} = 0)").alias("coarse"))
+    rows = rows.crossJoin(F.broadcast(near))  # one row
+    none = F.array().cast("array<bigint>")
+    group = F.greatest(F.expr("size(filter(coarse, h -> h >= code)) - 1"), F.lit(0))
+    rows = rows.withColumn("run", F.when(F.col("code").isNotNull(), group * side + F.size(F.filter(F.slice("codes", group * side + 1, F.lit(side)), lambda h: h >= F.col("code"))) - 1))
+    rows = rows.withColumn("own", F.coalesce(F.col("code") == F.get("codes", F.col("run")), F.lit(False)))
+    rows = rows.withColumn("known", F.when(F.col("code").isNull(), F.col("null_cuts")).when(F.col("own"), F.coalesce(F.col("cuts")[F.col("code")], none)).otherwise(none))
+    rows = rows.withColumn("piece", F.greatest(F.size(F.filter("known", lambda t: t <= F.col("cut"))) - 1, F.lit(0)))
+    of_id = F.get("base", F.col("run")) + F.when(F.col("own"), F.col("piece")).otherwise(F.get("width", F.col("run")) - 1)
+    of_null = F.when(F.size("null_cuts") > 0, F.col("null_base") + F.col("piece")).otherwise(F.greatest(F.col("null_base") - 1, F.lit(0)))
+    rows = rows.withColumn("bucket", F.when(F.col("code").isNull(), of_null).otherwise(of_id))
+    first = F.when(F.size("known") > 0, F.get("known", F.col("piece")) == F.col("cut")).otherwise(F.col("own"))
+    before = F.pmod(F.col("bucket") - 1, F.lit(total))
+    own, ghost = F.struct("bucket", F.lit(0).alias("ghost")), F.struct(before.alias("bucket"), F.lit(1).alias("ghost"))
+    rows = rows.select("doc_id", "text", "tie", F.explode(F.when(first, F.array(own, ghost)).otherwise(F.array(own))).alias("__at"))
+    return rows.select("doc_id", "text", "tie", "__at.bucket", "__at.ghost")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,26 +147,16 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     The text is shuffled once, into buckets of neighbouring ids; the first row
     of each bucket is also sent to the bucket before, whose last row needs it.
-    Rows of one id share a bucket.
+    An id, or null, that many rows share is dealt to several buckets by the
+    text's hash; rows alike in id and text share one.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    heads = _bucket_heads(rows, "doc_id", BUCKETS * partitions(docs.sparkSession))
-    ids = F.array(*[F.lit(h).cast("long") for h in heads]) if heads else F.array().cast("array<bigint>")
-    # bucket j holds ids from heads[j] down to above heads[j + 1]; null ids go to the last
-    side = max(1, int(len(heads) ** 0.5))
-    coarse = F.array(*[F.lit(h).cast("long") for h in heads[::side]]) if heads else ids
-    group = F.size(F.filter(coarse, lambda h: h >= F.col("doc_id"))) - 1
-    within = F.size(F.filter(F.slice(ids, F.greatest(group, F.lit(0)) * side + 1, F.lit(side)), lambda h: h >= F.col("doc_id"))) - 1
-    last = max(len(heads) - 1, 0)
-    rows = rows.withColumn("__bucket", F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(F.greatest(group, F.lit(0)) * side + within))
-    is_head = F.array_contains(ids, F.col("doc_id"))
-    before = F.when(F.col("__bucket") == 0, F.lit(last)).otherwise(F.col("__bucket") - 1)
-    own, ghost = F.struct(F.col("__bucket").alias("bucket"), F.lit(0).alias("ghost")), F.struct(before.alias("bucket"), F.lit(1).alias("ghost"))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.explode(F.when(is_head, F.array(own, ghost)).otherwise(F.array(own))).alias("__at")).select("doc_id", "text", "tie", "__at.bucket", "__at.ghost")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = _place(rows, BUCKETS * partitions(docs.sparkSession))
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "tie")
     n_chars = F.char_length("text")
     cut = F.floor(n_chars / 3).cast("int")
-    rows = rows.withColumns({"place": F.row_number().over(order), "next": F.coalesce(F.lead("text").over(order), F.first("text").over(order))})
+    rows = rows.withColumns({"place": F.row_number().over(order), "next": F.coalesce(F.lead("text").over(order), F.first("text").over(order)), "behind": F.lag("ghost", 1, 0).over(order)})
+    rows = rows.where("ghost = 0 OR behind = 0")  # of ghosts, the first is enough
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n_chars - cut), F.substring(F.col("next"), F.lit(1), cut))
     rows = rows.select("bucket", "place", "ghost", "doc_id", n_chars.cast("long").alias("n_chars"), "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
     pair = F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body"))))

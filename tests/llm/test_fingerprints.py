@@ -53,3 +53,36 @@ def test_odd_rows(odd, nothing):
     assert lone["near_next"] == 1.0
     assert fingerprint_documents(odd.where("doc_id IS NULL")).count() == 2
     assert "Python" not in fingerprint_documents(odd)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize(("partitions", "shift"), [(1, 0), (6, 0), (6, 40)])
+def test_hot_ids_are_dealt_to_several_buckets(spark, partitions, shift):
+    """A third of the rows without an id, a third with one id: every row's next is the one behind it, by id and then by the text's hash."""
+    from pyspark.sql import functions as F
+
+    from quillon.llm import fingerprints
+
+    rows = [(None, f"lost words {i} and {i * 7 % 13}") for i in range(90)] + [(5000, f"one id {i} for all {i % 11} of them") for i in range(90)] + [(i, f"own id {i} alone {i % 5}") for i in range(0, 9000, 100)]
+    rows = [(i if i is None else (i << shift) + i % 7 - (1 << 62) * (shift > 0), t) for i, t in rows]  # ids of up to 63 bits too
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = fingerprint_documents(df).collect()
+        placed = fingerprints._place(df.withColumn("tie", F.xxhash64("text")), 3 * partitions).where("ghost = 0").groupBy("bucket").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    ordered = df.withColumn("tie", F.xxhash64("text")).orderBy(F.col("doc_id").desc_nulls_last(), "tie").collect()
+    expected = []
+    for row, after in zip(ordered, ordered[1:] + ordered[:1]):
+        cut = len(row["text"]) // 3
+        expected.append((row["doc_id"], hashlib.sha256((row["text"][: len(row["text"]) - cut] + after["text"][:cut]).encode()).hexdigest()))
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((r["doc_id"], r["edited_sha256"]) for r in got), key=key) == sorted(expected, key=key)
+    assert shift or max(r["count"] for r in placed) <= 270 / (3 * partitions) * 3
+
+
+def test_rows_alike_and_few(spark):
+    same = spark.createDataFrame([(1, "same text here")] * 40 + [(None, "none")] * 40, "doc_id long, text string")
+    got = fingerprint_documents(same.repartition(3)).collect()
+    assert len(got) == 80 and sum(r["near_next"] < 1 for r in got) <= 2
