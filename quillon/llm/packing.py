@@ -4,6 +4,9 @@ Every scan partition packs its own documents: an arriving piece goes to the
 open sequence whose free space fits it best, found in a bitset keyed by free
 space. At most ``max_open`` sequences are open; beyond that the fullest closes
 first. Pieces arrive in windows, longest first, so that short ones fill gaps.
+What lies in sequences that stayed loose is then dealt evenly to a few tasks,
+whatever partitions it came from, and packed once more in the same way, by its
+lengths alone; so tables in order of length or source pack well too.
 """
 
 from __future__ import annotations
@@ -16,8 +19,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from quillon.llm.common import saved, stored
 from quillon.llm.tokens import byte_bpe
 
+#: A sequence is loose with a LOOSE-th of its capacity free; pieces that one task packs again; most of these whose new places are sent to all executors.
+LOOSE, AGAIN, BROADCAST = 32, 1 << 18, 200_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
 
@@ -65,6 +71,36 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, capacity) for at in range(first, n, capacity)]
 
 
+def _again(capacity: int, max_open: int):
+    """(sequence_id, offset, to_sequence, to_offset): new places of pieces, longest first; negative numbers are new sequences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted(((n, s, o) for batch in batches for s, o, n in zip(*[batch.column(i).to_pylist() for i in range(3)])), key=lambda p: (-p[0], p[1], p[2]))
+        if held:
+            fit = BestFit(capacity, max_open, TaskContext.get().partitionId() << 40)
+            placed = [fit.place(n) for n, _, _ in held]
+            columns = ([s for _, s, _ in held], [o for _, _, o in held], [-1 - at for at, _ in placed], [offset for _, offset in placed])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["sequence_id", "offset", "to_sequence", "to_offset"])
+
+    return run
+
+
+def _repack(pieces: DataFrame, capacity: int, max_open: int) -> DataFrame:
+    """``pieces`` with those of loose sequences packed again, if that takes fewer sequences."""
+    fills = pieces.groupBy("sequence_id").agg(F.sum("length").alias("fill"), F.count(F.lit(1)).alias("n"))
+    loose = saved(fills.where(F.col("fill") <= capacity - max(1, capacity // LOOSE)), small=True)
+    sequences, n = loose.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if sequences < 2:
+        return pieces
+    items = pieces.select("sequence_id", "offset", "length").join(loose.select("sequence_id"), "sequence_id")
+    moved = saved(items.repartition(-(-n // AGAIN)).mapInArrow(_again(capacity, max_open), "sequence_id long, offset long, to_sequence long, to_offset long"), small=True)
+    if moved.select("to_sequence").distinct().count() >= sequences:
+        return pieces
+    out = pieces.join(F.broadcast(moved) if n <= BROADCAST else moved, ["sequence_id", "offset"], "left")
+    at = {"sequence_id": F.coalesce("to_sequence", "sequence_id"), "offset": F.coalesce("to_offset", "offset")}
+    return out.select(*[at[c].alias(c) if c in at else c for c in pieces.columns])
+
+
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, max_open: int = 65536, window: int = 16384, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -101,4 +137,5 @@ def pack_documents(
         if pending:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pack, SCHEMA)
+    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pack, SCHEMA)
+    return _repack(stored(packed, "pieces"), capacity, max_open)

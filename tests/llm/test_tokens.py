@@ -120,3 +120,77 @@ def test_packing(docs, odd, nothing):
     check_packing(docs, pack_documents(docs, BYTE, 256, max_open=2, window=16).toPandas(), 256)
     check_packing(odd, pack_documents(odd.repartition(3), BYTE, 128).toPandas(), 128)
     assert pack_documents(nothing, BYTE).count() == 0
+
+
+def plain_best_fit(lengths, capacity, max_open):
+    """Bounded-space best-fit with a plain list of open sequences: (sequence, offset) of each piece."""
+    open_bins, out, made = [], [], 0  # (free space, when it came to that space, sequence)
+    for clock, n in enumerate(lengths):
+        fitting = [b for b in open_bins if b[0] >= n]
+        if fitting:
+            best = min(fitting, key=lambda b: (b[0], -b[1]))
+            open_bins.remove(best)
+            free, at = best[0], best[2]
+        else:
+            free, at, made = capacity, made, made + 1
+        out.append((at, capacity - free))
+        if free - n:
+            if len(open_bins) >= max_open:
+                open_bins.remove(min(open_bins, key=lambda b: (b[0], -b[1])))
+            open_bins.append((free - n, clock, at))
+    return out
+
+
+@pytest.mark.parametrize("max_open", [1, 2, 5, 1000])
+def test_best_fit_with_a_limit_that_binds(max_open):
+    import random
+
+    from quillon.llm.packing import BestFit
+
+    rng = random.Random(max_open)
+    lengths = [rng.choice([rng.randint(1, 64), rng.randint(1, 20), 64]) for _ in range(3000)]
+    fit = BestFit(64, max_open)
+    got = [fit.place(n) for n in lengths]
+    assert got == plain_best_fit(lengths, 64, max_open)
+    used = {}
+    for (at, offset), n in zip(got, lengths):
+        assert offset == used.get(at, 0) and offset + n <= 64
+        used[at] = offset + n
+    assert len(used) >= -(-sum(lengths) // 64) and fit.open <= max_open
+
+
+def test_a_binding_limit_loses_nothing(spark, docs):
+    import public_tokenizers
+
+    from quillon.llm.packing import pack_documents
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for max_open, window in ((1, 1), (3, 7)):
+        got = pack_documents(docs, path, capacity=256, max_open=max_open, window=window).toPandas()
+        full = pack_documents(docs, path, capacity=256).toPandas()
+        assert got.groupby("doc_id").length.sum().to_dict() == full.groupby("doc_id").length.sum().to_dict()
+        for _, g in got.sort_values("offset").groupby("sequence_id"):
+            assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 256
+        assert got.sequence_id.nunique() >= full.sequence_id.nunique()
+
+
+def test_tables_in_order_of_length_pack_well(spark):
+    """One partition of documents a little over half a sequence, another of ones a little under: they meet in the second pass."""
+    from pyspark.sql import functions as F
+
+    from quillon.llm import packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, " a" * 139) for i in range(60)] + [(100 + i, " a" * 115) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(2, "doc_id")
+    got = pack_documents(df, path, capacity=256).toPandas()
+    assert got.sequence_id.nunique() == 60
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 256
+    assert sorted(got.doc_id) == sorted(i for i, _ in rows)
+    before, packing.BROADCAST = packing.BROADCAST, -1
+    try:
+        joined = pack_documents(df, path, capacity=256)
+        assert joined.agg(F.countDistinct("sequence_id"), F.sum("length")).first() == (60, int(got.length.sum()))
+    finally:
+        packing.BROADCAST = before
