@@ -2,9 +2,9 @@
 
 A text's words, each closed by a space, are spelled byte by byte, and a byte
 bit by bit. Hashed tables hold how often the next bit was 0 or 1 behind several
-contexts, over the bytes of all training texts: the last 0..4 bytes of the word,
-the word so far, and the word so far with the word before, if that is one that
-foretells the next (a successor seen ``REPEATED`` times or more makes up a
+contexts, over the bytes of all training texts: the last 1..4 bytes of the word,
+the word so far, twice, and the word so far with the word before, if that is one
+that foretells the next (a successor seen ``REPEATED`` times or more makes up a
 ``SHARE``-th of all). Three of them (``BY_CLASS``) are kept apart by the class of
 the text before the word: the signs of four directions, the leading principal
 components of byte-pair frequencies over all training texts, summed from the
@@ -42,13 +42,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm.common import Words, mix64, partitions, saved
 
-#: Contexts of the last bytes, and all; least and most slots of a context's table.
-INNER, CONTEXTS = 5, 8
+#: Contexts without class of the word so far or word before, and all; least and most slots of a context's table.
+INNER, CONTEXTS = 5, 7
 TABLE, LARGEST = 1 << 18, 1 << 22
 PARTS = 8
 BLOCK_CHARS, BLOCK_DOCS = 6_000_000, 16384
 GATES, LEVELS, STEPS = 8 * 5 * 16, 33, 15
-STRIP, LEARNED = 1 << 15, 1 << 12
+STRIP, LEARNED = 1 << 15, 1 << 13
 #: Characters for each mixer that learns by itself, as a square; most mixers.
 ALONE, MIXERS = 1_000_000, 256
 #: Bytes spelled at once.
@@ -62,8 +62,8 @@ REPEATED, SHARE = 2, 4
 _SPACE = np.uint8(32)
 
 
-def _zip(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def _zip(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def _unzip(data: bytes) -> bytes:
@@ -89,7 +89,7 @@ def _unplanes(data: bytes) -> np.ndarray:
 def pack_block(ids: list[int | None], flags: list[int], texts: list[str | None]) -> bytes:
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     head = struct.pack("<q", len(ids)) + np.array([i is None for i in ids], np.uint8).tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes() + bytes(flags) + np.array([len(r) for r in raw], "<i8").tobytes()
-    return _zip(head + b"".join(raw))
+    return _zip(head + b"".join(raw), 3)
 
 
 def unpack_block(blob: bytes) -> tuple[list[int | None], np.ndarray, list[bytes]]:
@@ -138,50 +138,48 @@ def directions(moments: np.ndarray) -> np.ndarray:
     return np.rint((pull - (mean**2 @ pull) / max((mean**2).sum(), 1e-9)) * (1 << 16)).astype(np.int64)
 
 
-def _pack(buckets: int):
-    """Blocks of texts (kind BLOCK), their distinct words with followers for each bucket (FOLLOWERS), and the partition's moments (MOMENT)."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of texts, and one row (negative block) of the partition's moments."""
+    moments = np.zeros(MOMENTS)
+    first, count = TaskContext.get().partitionId() << 32, 0
+    held: tuple[list, list, list] = ([], [], [])
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal count, size, moments
+        moments = moments + _moments(held[1], held[2])
+        row = pa.RecordBatch.from_arrays([pa.array([first + count], pa.int64()), pa.array([pack_block(*held)], pa.binary())], names=["block", "blob"])
+        for h in held:
+            h.clear()
+        count, size = count + 1, 0
+        return row
+
+    for batch in batches:
+        for values in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            for h, v in zip(held, values):
+                h.append(v)
+            size += len(values[2] or "")
+            if size >= BLOCK_CHARS or len(held[0]) >= BLOCK_DOCS:
+                yield flush()
+    if held[0]:
+        yield flush()
+    yield pa.RecordBatch.from_arrays([pa.array([-1 - first], pa.int64()), pa.array([_zip(moments.astype("<f8").tobytes())], pa.binary())], names=["block", "blob"])
+
+
+def _followers(buckets: int):
+    """(bucket, block, payload): a block's distinct words in each bucket, and what follows them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        moments = np.zeros(MOMENTS)
-        first, count = TaskContext.get().partitionId() << 32, 0
-        held: tuple[list, list, list] = ([], [], [])
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal count, size, moments
-            moments = moments + _moments(held[1], held[2])
-            number, blob = first + count, pack_block(*held)
-            _, flags, texts = unpack_block(blob)
-            own = BlockWords(texts, buckets)
-            rows = [(BLOCK, number, 0, blob)] + [(FOLLOWERS, number, b, p) for b, p in own.followers((flags & 2) > 0)]
-            for h in held:
-                h.clear()
-            count, size = count + 1, 0
-            return _rows(rows)
-
         for batch in batches:
-            for values in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                for h, v in zip(held, values):
-                    h.append(v)
-                size += len(values[2] or "")
-                if size >= BLOCK_CHARS or len(held[0]) >= BLOCK_DOCS:
-                    yield flush()
-        if held[0]:
-            yield flush()
-        yield _rows([(MOMENT, first, 0, _zip(moments.astype("<f8").tobytes()))])
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                _, flags, texts = unpack_block(blob)
+                rows = list(BlockWords(texts, buckets).followers((flags & 2) > 0))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([p for _, p in rows], pa.binary())], names=["bucket", "block", "payload"])
 
     return run
 
 
-_PACKED = "kind int, block long, bucket int, payload binary"
-BLOCK, FOLLOWERS, MOMENT = 0, 1, 2
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "block", "bucket", "payload"])
-
-
 class BlockWords:
     """A block's words: the distinct ones by bucket and hash, and which stands where in which text."""
 
@@ -207,16 +205,16 @@ class BlockWords:
         return out
 
     def followers(self, learn: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """(bucket, payload): its distinct words' hashes, and how often which word (by 32 bits of its hash) stands behind them in texts to learn from."""
+        """(bucket, payload): its distinct words' hashes, and how often which word (by 16 bits of its hash) stands behind them in texts to learn from."""
         behind = np.repeat(learn, np.diff(self.bounds)) & ~self.begins()
         at = np.flatnonzero(behind)
-        pairs, counts = np.unique((self.at[at - 1].astype(np.uint64) << np.uint64(32)) | (self.hashes[self.at[at]] >> np.uint64(32)), return_counts=True)
-        word = (pairs >> np.uint64(32)).astype(np.int64)
+        pairs, counts = np.unique((self.at[at - 1].astype(np.uint64) << np.uint64(16)) | (self.hashes[self.at[at]] >> np.uint64(48)), return_counts=True)
+        word = (pairs >> np.uint64(16)).astype(np.int64)
         edges = np.searchsorted(word, self.limits)
         for b in np.flatnonzero(np.diff(self.limits)).tolist():
             lo, hi = int(self.limits[b]), int(self.limits[b + 1])
             p, q = int(edges[b]), int(edges[b + 1])
-            yield b, _join(self.hashes[lo:hi].astype("<u8").tobytes(), _planes((word[p:q] - lo).astype("<u4")), pairs[p:q].astype("<u4").tobytes(), _planes(counts[p:q].astype("<u4")))
+            yield b, _join(self.hashes[lo:hi].astype("<u8").tobytes(), _planes((word[p:q] - lo).astype("<u4")), pairs[p:q].astype("<u2").tobytes(), _planes(counts[p:q].astype("<u4")))
 
     def classes(self, pull: np.ndarray) -> np.ndarray:
         """Class of the text before each word: the signs of its byte pairs' sums on the axes, and 2**AXES more where there is a word before."""
@@ -274,9 +272,9 @@ def _foretell(table: pa.Table) -> pa.Table:
     distinct, place = np.unique(np.concatenate(own), return_inverse=True)
     sizes = np.cumsum([0] + [len(x) for x in own])
     word = np.concatenate([place[s + _unplanes(p[1])] for s, p in zip(sizes, parts)])
-    pairs, inverse = np.unique((word.astype(np.uint64) << np.uint64(32)) | np.concatenate([np.frombuffer(p[2], "<u4") for p in parts]), return_inverse=True)
+    pairs, inverse = np.unique((word.astype(np.uint64) << np.uint64(16)) | np.concatenate([np.frombuffer(p[2], "<u2") for p in parts]), return_inverse=True)
     counts = np.bincount(inverse, weights=np.concatenate([_unplanes(p[3]) for p in parts]), minlength=len(pairs))
-    word = (pairs >> np.uint64(32)).astype(np.int64)
+    word = (pairs >> np.uint64(16)).astype(np.int64)
     total, most = np.bincount(word, weights=counts, minlength=len(distinct)), np.zeros(len(distinct))
     np.maximum.at(most, word, counts)
     sure = (most >= REPEATED) & (most * SHARE >= total)
@@ -341,9 +339,9 @@ def _before(flags: bytes, hashes: bytes, n: int) -> np.ndarray:
     return out
 
 
-_MERGED = "kind int, block long, bucket int, slice int, n long, v long, payload binary"
-#: Kinds of rows: a bucket's distinct tokens; where a block's stand among them, right behind; training tokens by slice; the bucket's number of training words; ends of texts.
-DISTINCT, PLACES, LEARN, WORDS, ENDS = 0, 1, 2, 3, 4
+_MERGED = "kind int, block long, bucket int, n long, v long, payload binary"
+#: Kinds of rows: a bucket's distinct tokens, with its numbers of training words and of distinct ones; where a block's tokens stand among them, right behind; ends of texts.
+DISTINCT, PLACES, ENDS = 0, 1, 2
 
 
 def _repeat(words: list[bytes], which: np.ndarray) -> bytes:
@@ -351,53 +349,41 @@ def _repeat(words: list[bytes], which: np.ndarray) -> bytes:
     return b" ".join([*map(words.__getitem__, which.tolist()), b""])
 
 
-def _merge(slices: int):
+def _merge(table: pa.Table) -> pa.Table:
     """All requests of one bucket: its distinct tokens with their counts, and for each block the places of its own."""
-
-    def run(table: pa.Table) -> pa.Table:
-        blocks, payloads = table.column("block").to_pylist(), table.column("payload").to_pylist()
-        bucket = table.column("bucket")[0].as_py()
-        rows = []
-        if bucket < 0:
-            rows.append((ENDS, 0, bucket, 0, 0, 0, sum(np.frombuffer(p, "<f8") for p in payloads).astype("<f8").tobytes()))
-        else:
-            order = sorted(range(len(blocks)), key=lambda i: blocks[i])
-            parts = [_parted(payloads[i]) for i in order]
-            lists = [_unzip(p[0]).split() for p in parts]
-            words = list(chain.from_iterable(lists))
-            distinct, first, inverse = np.unique(word_hashes(words), return_index=True, return_inverse=True)
-            sizes = np.cumsum([0] + [len(x) for x in lists])
-            texts = [words[i] for i in first.tolist()]
-            del words, lists
-            kinds = [np.frombuffer(_unzip(p[2]), np.uint8) for p in parts]
-            limits = np.cumsum([0] + [len(k) for k in kinds])
-            key = np.concatenate([inverse[s + _unplanes(p[1])] * CLASSES + k for s, p, k in zip(sizes, parts, kinds)])
-            before = np.concatenate([_before(p[3], p[4], len(k)) for p, k in zip(parts, kinds)])
-            by = np.lexsort((before, key))
-            fresh = np.concatenate(([True], (key[by][1:] != key[by][:-1]) | (before[by][1:] != before[by][:-1])))
-            place = np.empty(len(by), np.int64)
-            place[by] = np.cumsum(fresh) - 1
-            key, before = key[by][fresh], before[by][fresh]
-            counts = np.bincount(place, weights=np.concatenate([_unplanes(p[5]) for p in parts])).astype("<u8")
-            word, kind = key // CLASSES, (key % CLASSES).astype(np.uint8)
-            total = np.bincount(word, weights=counts, minlength=len(distinct)).astype("<u8")
-
-            def tokens(some: np.ndarray) -> list[bytes]:
-                return [_zip(_repeat(texts, word[some])), _zip(kind[some].tobytes()), _zip(before[some].astype("<u8").tobytes())]
-
-            rows.append((DISTINCT, 0, bucket, 0, 0, 0, _join(*tokens(np.arange(len(key))), _planes(total[word]))))
-            for i, a, b in zip(order, limits, limits[1:]):
-                rows.append((PLACES, blocks[i], bucket, 0, 0, 0, _planes(place[a:b].astype("<u4"))))
-            slice_of = (mix64(distinct) % np.uint64(slices)).astype(np.int64)[word]
-            for s in range(slices):
-                some = np.flatnonzero((slice_of == s) & (counts > 0))
-                if len(some):
-                    rows.append((LEARN, 0, bucket, s, 0, 0, _join(*tokens(some), _zip(distinct[word[some]].astype("<u8").tobytes()), _planes(counts[some]))))
-            rows.append((WORDS, 0, bucket, 0, int(total.sum()), int((total > 0).sum()), b""))
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)], names=["kind", "block", "bucket", "slice", "n", "v", "payload"])
-
-    return run
+    blocks, payloads = table.column("block").to_pylist(), table.column("payload").to_pylist()
+    bucket = table.column("bucket")[0].as_py()
+    rows = []
+    if bucket < 0:
+        rows.append((ENDS, 0, bucket, 0, 0, sum(np.frombuffer(p, "<f8") for p in payloads).astype("<f8").tobytes()))
+    else:
+        order = sorted(range(len(blocks)), key=lambda i: blocks[i])
+        parts = [_parted(payloads[i]) for i in order]
+        lists = [_unzip(p[0]).split() for p in parts]
+        words = list(chain.from_iterable(lists))
+        distinct, first, inverse = np.unique(word_hashes(words), return_index=True, return_inverse=True)
+        sizes = np.cumsum([0] + [len(x) for x in lists])
+        texts = [words[i] for i in first.tolist()]
+        del words, lists
+        kinds = [np.frombuffer(_unzip(p[2]), np.uint8) for p in parts]
+        limits = np.cumsum([0] + [len(k) for k in kinds])
+        key = np.concatenate([inverse[s + _unplanes(p[1])] * CLASSES + k for s, p, k in zip(sizes, parts, kinds)])
+        before = np.concatenate([_before(p[3], p[4], len(k)) for p, k in zip(parts, kinds)])
+        by = np.lexsort((before, key))
+        fresh = np.concatenate(([True], (key[by][1:] != key[by][:-1]) | (before[by][1:] != before[by][:-1])))
+        place = np.empty(len(by), np.int64)
+        place[by] = np.cumsum(fresh) - 1
+        key, before = key[by][fresh], before[by][fresh]
+        counts = np.bincount(place, weights=np.concatenate([_unplanes(p[5]) for p in parts])).astype("<u8")
+        word, kind = key // CLASSES, (key % CLASSES).astype(np.uint8)
+        total = np.bincount(word, weights=counts, minlength=len(distinct)).astype("<u8")
+
+        tokens = _zip(_repeat(texts, word)), _zip(kind.tobytes()), _zip(before.astype("<u8").tobytes())
+        rows.append((DISTINCT, 0, bucket, int(total.sum()), int((total > 0).sum()), _join(*tokens, _planes(total[word]), _planes(counts))))
+        for i, a, b in zip(order, limits, limits[1:]):
+            rows.append((PLACES, blocks[i], bucket, 0, 0, _planes(place[a:b].astype("<u4"))))
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)], names=["kind", "block", "bucket", "n", "v", "payload"])
 
 
 # --- bit predictors ------------------------------------------------------------
@@ -435,10 +421,10 @@ def predictors(data: np.ndarray, classes: np.ndarray, before: np.ndarray) -> tup
         sums = np.zeros(n + 1, np.uint32)
         np.cumsum(_scramble(data.astype(np.uint32) * np.uint32(0x9E3779B1) + place * np.uint32(0x85EBCA6B) + np.uint32(1)), dtype=np.uint32, out=sums[1:])
         so_far = sums[:-1] - sums[starts[number]] if n else sums[:0]
+        of[0] = _scramble(so_far + np.uint32(11))
         of.append(_scramble(so_far + np.uint32(5)))
         mixed = (before ^ (before >> np.uint64(32))).astype(np.uint32)
         of.append(_scramble(so_far * np.uint32(3) + _scramble(mixed + np.uint32(6))[number]) if n else so_far)
-        of.append(_scramble(so_far + np.uint32(11)))
         if n:
             salt = classes.astype(np.uint32)[number] * np.uint32(0x3779B1) + np.uint32(9)
             for k in BY_CLASS:
@@ -617,10 +603,28 @@ def _tokens(payload: bytes) -> tuple[bytes, np.ndarray, np.ndarray, list[bytes]]
     return _unzip(spelled), np.frombuffer(_unzip(kinds), np.uint8), np.frombuffer(_unzip(before), "<u8"), more
 
 
-def _learned(payload: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words closed by spaces, classes, hashes of the words before, the words' hashes, training counts) of a slice's training tokens in a bucket."""
-    spelled, kind, before, (hashes, counts) = _tokens(payload)
-    return spelled, kind, before, np.frombuffer(_unzip(hashes), "<u8"), _unplanes(counts)
+def _learned(payload: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(words closed by spaces, classes, hashes of the words before, training counts) of a bucket's tokens that training texts hold."""
+    words, kind, before, (_, counts) = _tokens(payload)
+    counts = _unplanes(counts)
+    some = np.flatnonzero(counts)
+    return _repeat(words.split(b" "), some), kind[some], before[some], counts[some]
+
+
+def _sliced(slices: int):
+    """(slice, payload): a bucket's training tokens, by their words' hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0).to_pylist():
+                words, kind, before, counts = _learned(payload)
+                words = words.split()
+                own = mix64(word_hashes(words)) % np.uint64(slices)
+                rows = [(s, some) for s in range(slices) if len(some := np.flatnonzero(own == s))]
+                payloads = [_join(_zip(_repeat(words, some)), _zip(kind[some].tobytes()), _zip(before[some].astype("<u8").tobytes()), _planes(counts[some])) for _, some in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array(payloads, pa.binary())], names=["slice", "payload"])
+
+    return run
 
 
 def table_size(distinct: int) -> int:
@@ -642,7 +646,7 @@ def _tables(size: int):
             return
         width = size // PARTS
         pieces = []
-        for words, kind, before, _, counts in held:
+        for words, kind, before, counts in held:
             for data, *of_words, weight in _pieces(words, kind, before, counts):
                 pieces.append((predictors(data, *of_words)[0], data, weight.astype(np.uint64)[_per_word(data)]))
         for k in range(CONTEXTS):
@@ -673,11 +677,12 @@ def _fit(counts_value):
 
     def run(table: pa.Table) -> pa.Table:
         model = Spelling(np.stack([np.frombuffer(_unzip(c), np.uint16).reshape(-1, 2) for c in counts_value.value]))
-        held = [_learned(p) for p in table.column("payload").to_pylist()]
-        kind, before, hashes, counts = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3, 4))
-        order = np.lexsort((before, kind, hashes))
-        words = _repeat(list(chain.from_iterable(h[0].split() for h in held)), order)
+        held = [_tokens(p) for p in table.column("payload").to_pylist()]
+        kind, before = (np.concatenate([h[i] for h in held]) for i in (1, 2))
+        counts, words = np.concatenate([_unplanes(h[3][0]) for h in held]), list(chain.from_iterable(h[0].split() for h in held))
         held.clear()
+        order = np.lexsort((before, kind, word_hashes(words)))
+        words = _repeat(words, order)
         for data, *of_words in _pieces(words, kind[order], before[order], counts[order]):
             model.learn(data, *of_words)
         return pa.table([table.column("slice").slice(0, 1), pa.array([float(counts.sum())]), pa.array([model.average.astype("<f8").tobytes()], pa.binary()), pa.array([_zip(model.rates.astype("<f8").tobytes())], pa.binary())], names=["slice", "seen", "weights", "rates"])
@@ -701,12 +706,12 @@ def spell_buckets(model_value):
                 if kind == DISTINCT:
                     m = model_value.value
                     spelling = spelling or Spelling(None, m["weights"], m["rates"], np.stack([np.frombuffer(_unzip(c), np.int16) for c in m["odds"]]))
-                    words, kinds, before, (totals,) = _tokens(payload)
+                    words, kinds, before, (totals, _) = _tokens(payload)
                     cost = np.concatenate([np.add.reduceat(spelling.cost(data, *of_words), np.concatenate(([0], np.flatnonzero(data == _SPACE)[:-1] + 1))) for data, *of_words in _pieces(words, kinds, before)])
                     total = _unplanes(totals)
                 else:
                     at = _unplanes(payload)
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([_join(_zip(cost[at].astype("<f8").tobytes()), _planes(total[at]))], pa.binary())], names=["block", "bucket", "payload"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([_join(cost[at].astype("<f4").tobytes(), _planes(total[at]))], pa.binary())], names=["block", "bucket", "payload"])
 
     return run
 
@@ -726,7 +731,7 @@ class Scorer:
         for b, payload in answers.items():
             at = slice(int(tokens.limits[b]), int(tokens.limits[b + 1]))
             costs, counts = _parted(payload)
-            cost[at], count[at] = np.frombuffer(_unzip(costs), "<f8"), _unplanes(counts)
+            cost[at], count[at] = np.frombuffer(costs, "<f4"), _unplanes(counts)
         n_words, bounds, inverse = np.diff(own.bounds), own.bounds, tokens.inverse
         below = np.log10(m["tokens"] + 0.5 * (m["distinct"] + 1))
         base = np.log10(count + 0.5) - below
@@ -751,28 +756,29 @@ class Fitted:
         held, learn = F.coalesce(rest == remainder, F.lit(False)), F.coalesce(rest != remainder, F.lit(False))
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (held.cast("int") + 2 * learn.cast("int")).alias("flags"), F.col(text_col).alias("text"))
         self.buckets = partitions(spark)
-        packed = saved(rows.mapInArrow(_pack(self.buckets), _PACKED))
-        self.blocks = packed.where(F.col("kind") == BLOCK).select("block", F.col("payload").alias("blob"))
-        moments = packed.where(F.col("kind") == MOMENT).select(F.lit(0).alias("context"), F.pmod(F.shiftright("block", 32), F.lit(16)).cast("int").alias("part"), "payload")
+        # dealt by number once: the joins below find the blocks where they are
+        packed = saved(rows.mapInArrow(_pack, "block long, blob binary").repartition(self.buckets, "block"))
+        self.blocks = packed.where("block >= 0")
+        moments = packed.where("block < 0").select(F.lit(0).alias("context"), F.pmod(F.shiftright(-1 - F.col("block"), 32), F.lit(16)).cast("int").alias("part"), F.col("blob").alias("payload"))
         moments = moments.groupBy("context", "part").applyInArrow(_add_moments, "context int, part int, payload binary").collect()
         moments = sum((np.frombuffer(_unzip(r["payload"]), "<f8") for r in moments), np.zeros(MOMENTS))
         pull, slices = directions(moments), mixers(moments[1])
-        masks = packed.where(F.col("kind") == FOLLOWERS).select("bucket", "block", "payload").groupBy("bucket").applyInArrow(_foretell, _ANSWER)
+        masks = self.blocks.mapInArrow(_followers(self.buckets), "bucket int, block long, payload binary").groupBy("bucket").applyInArrow(_foretell, _ANSWER)
         self.masks = saved(masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("masks")))  # a bit for each word
         requests = self.blocks.join(self.masks, "block", "left").select("block", "blob", "masks").mapInArrow(_request(self.buckets, pull), "bucket int, block long, payload binary")
-        merged = saved(requests.groupBy("bucket").applyInArrow(_merge(slices), _MERGED))
-        n, v = merged.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+        merged = saved(requests.groupBy("bucket").applyInArrow(_merge, _MERGED))
+        n, v = merged.where(F.col("kind") == DISTINCT).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
         ends = sum((np.frombuffer(r["payload"], "<f8") for r in merged.where(F.col("kind") == ENDS).select("payload").collect()), np.zeros(2 * LAGS))
         texts = int(ends[:LAGS].sum())
 
-        learn, size = merged.where(F.col("kind") == LEARN), table_size(v)
+        learn, size = merged.where(F.col("kind") == DISTINCT).select("payload"), table_size(v)
         counts, width = np.zeros((CONTEXTS, size, 2), dtype=np.uint16), size // PARTS
-        few = learn.select("payload").coalesce(max(16, self.buckets // 4))
+        few = learn.coalesce(max(16, self.buckets // 4))
         for r in few.mapInArrow(_tables(size), "context int, part int, payload binary").groupBy("context", "part").applyInArrow(_add_tables, "context int, part int, payload binary").toLocalIterator():
             counts[r["context"], r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(_unzip(r["payload"]), np.uint16).reshape(width, 2)
         shared = spark.sparkContext.broadcast([_zip(c.tobytes()) for c in counts])  # CONTEXTS x LARGEST pairs at most
         weights, rates, seen = np.zeros((GATES, CONTEXTS + 1)), np.zeros((256 * LEVELS, 2)), 0.0
-        fitted = learn.select("slice", "payload").groupBy("slice").applyInArrow(_fit(shared), "slice int, seen double, weights binary, rates binary")
+        fitted = learn.mapInArrow(_sliced(slices), "slice int, payload binary").groupBy("slice").applyInArrow(_fit(shared), "slice int, seen double, weights binary, rates binary")
         for r in sorted(fitted.collect(), key=lambda r: r["slice"]):  # MIXERS rows at most
             weights += r["seen"] * np.frombuffer(r["weights"], "<f8").reshape(weights.shape)
             rates += np.frombuffer(_unzip(r["rates"]), "<f8").reshape(rates.shape)
