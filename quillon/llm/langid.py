@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -125,7 +125,7 @@ def held_out_rows(id_col: str = "doc_id", modulus: int = 4, remainder: int = 2)
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def identify_languages(docs: DataFrame, per_language: int = 200, landmarks: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: bool = False, letter: bool = False) -> DataFrame:
+def identify_languages(docs: DataFrame, per_language: int = 200, landmarks: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: bool = False, letter: bool = False, added: Sequence[str] = ("__lang_pred", "__score", "__letter")) -> DataFrame:
     """Language of every whole text: doc_id, held_out, lang_pred, score.
 
     Learns from the text and non-null language of at most ``per_language``
@@ -135,8 +135,9 @@ def identify_languages(docs: DataFrame, per_language: int = 200, landmarks: int
     the best language and, as score, the logistic of its lead over the second
     (0.5 to 1). Rows without an id are predicted but not learned from; repeated
     rows are predicted alike; an empty table gives no rows. ``keep`` returns
-    the rows' own columns and ``__lang_pred``, ``__score`` instead, and with
-    ``letter`` ``__letter``: whether the text has a letter.
+    the rows' own columns and the first two of ``added`` instead, and with
+    ``letter`` the third: whether the text has a letter. Columns of other names
+    are not looked at.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -164,10 +165,10 @@ def identify_languages(docs: DataFrame, per_language: int = 200, landmarks: int
             texts = batch.column(names.index(text_col if keep else "text")).to_pylist()
             lang, score = predict(texts)
             able = [pa.array([has_letter(t) for t in texts], pa.bool_())] if keep and letter else []
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names if keep or n != "text"], pa.array(lang, pa.string()), pa.array(score, pa.float64()), *able], names=[*[n for n in names if keep or n != "text"], "__lang_pred", "__score", *["__letter"] * len(able)])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names if keep or n != "text"], pa.array(lang, pa.string()), pa.array(score, pa.float64()), *able], names=[*[n for n in names if keep or n != "text"], *added[: 2 + len(able)]])
 
     if keep:
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        return docs.mapInArrow(run, f"{fields}, __lang_pred string, __score double" + ", __letter boolean" * letter)
-    out = rows.select("doc_id", held_out_rows().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, __lang_pred string, __score double")
-    return out.select("doc_id", "held_out", F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
+        return docs.mapInArrow(run, f"{fields}, `{added[0]}` string, `{added[1]}` double" + f", `{added[2]}` boolean" * letter)
+    out = rows.select("doc_id", held_out_rows().alias("held_out"), "text").mapInArrow(run, f"doc_id long, held_out boolean, `{added[0]}` string, `{added[1]}` double")
+    return out.select("doc_id", "held_out", F.col(added[0]).alias("lang_pred"), F.col(added[1]).alias("score"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillon.llm.common import saved, text_groups
+from quillon.llm.common import fresh, saved, text_groups
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "identifier"
@@ -287,7 +287,8 @@ def mask_personal_data(docs: DataFrame, rounds: int = ROUNDS, confidence: float
         return docs.mapInArrow(run, fields)
 
     spans = _found_spans(scanned, identifiers)
-    joined = docs.withColumn("__uid", F.xxhash64(text)).join(spans.withColumnRenamed("uid", "__uid").withColumnRenamed("spans", "__spans"), "__uid", "left").select(*names, "__spans")
+    uid, place = fresh(docs, "__uid"), fresh(docs, "__spans")
+    joined = docs.withColumn(uid, F.xxhash64(text)).join(spans.withColumnRenamed("uid", uid).withColumnRenamed("spans", place), uid, "left").select(*names, place)
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
