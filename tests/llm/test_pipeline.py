@@ -37,13 +37,29 @@ def test_run(spark):
 
 
 def test_odd_rows(spark, odd, nothing):
-    for df in (odd.select(COLUMNS), nothing.select(COLUMNS)):
+    """Nulls anywhere, long and empty texts, repeated rows, and more columns whose names the stages use themselves."""
+    from pyspark.sql import functions as F
+
+    for df in (odd, nothing, odd.select(COLUMNS)):
+        for name in ("__lang_pred", "__letter", "__uid", "__spans", "text_key", "__text_key", "kept", "component_id", "set_hash") if len(df.columns) > 5 else ():
+            df = df.withColumn(name, F.lit("x"))
         now = df
-        for _, stage in corpus_pipeline.STAGES:
-            now = stage(spark, now, "")
+        for name, stage in corpus_pipeline.STAGES:
+            before, now = now, stage(spark, now, "")
+            if name != "packing":
+                assert now.columns == before.columns
+                assert all(r[c] == "x" or c in COLUMNS or r[c] == c for r in now.collect() for c in now.columns)
         now.collect()
 
 
+def test_repeated_rows_and_shared_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(5, a), (5, a), (5, b), (7, a + " x"), (8, b), (9, b + " y"), (None, a), (None, a), (10, "c d e"), (10, "c d e"), (11, None), (11, None), (12, " ")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate(spark, df, "").collect()), key=str)
+    assert kept == sorted([(5, a), (5, b), (None, a), (None, a), (10, "c d e"), (11, None), (12, " ")], key=str)
+
+
 def test_nothing_to_learn_drops_nothing_with_letters(spark, docs):
     from pyspark.sql import functions as F
 
