@@ -80,7 +80,11 @@ class TrieBpe:
         return a == token or (self._whole(a) and self._whole(b) and self._follows(a, b, token))
 
     def _follows(self, a: int, b: int, but: int = -1) -> bool:
-        """Whether ``b`` can stand behind ``a``: no merge across the border comes before the merges inside (``but`` may)."""
+        """Whether ``b`` can stand behind ``a``: no merge across the border comes before the merges inside (``but`` may).
+
+        The check walks the two tokens' splits from their last merges down, as
+        the token-pair test of GitHub's open-source ``bpe`` crate does.
+        """
         limit = sys.maxsize
         while True:
             joined = self.pair.get((a, b))
