@@ -178,5 +178,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 1 << 24).parquet(path)  # small row groups: less memory for each writer
     return spark.read.schema(df.schema).parquet(path)

@@ -24,6 +24,8 @@ from quillon.llm.tokens import byte_bpe
 
 #: A sequence is loose with a LOOSE-th of its capacity free; pieces that one task packs again; most of these whose new places are sent to all executors.
 LOOSE, AGAIN, BROADCAST = 32, 1 << 18, 200_000
+#: Rows returned at once.
+ROWS = 512
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
 
@@ -118,14 +120,16 @@ def pack_documents(
         fit = BestFit(capacity, max_open, TaskContext.get().partitionId() << 40)
         pending: list[tuple] = []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             pending.sort(key=lambda p: -p[3])
-            placed = [fit.place(p[3]) for p in pending]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            arrays = [pa.array([p[i] for p in pending], kind) for i, kind in enumerate(kinds)]
-            arrays += [pa.array([p[i] for p in placed], pa.int64()) for i in (0, 1)]
+            for lo in range(0, len(pending), ROWS):
+                some = pending[lo : lo + ROWS]
+                placed = [fit.place(p[3]) for p in some]
+                arrays = [pa.array([p[i] for p in some], kind) for i, kind in enumerate(kinds)]
+                arrays += [pa.array([p[i] for p in placed], pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
             pending.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -133,9 +137,9 @@ def pack_documents(
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                     pending.append((doc_id, piece, start, length, ids[start : start + length].tobytes()))
                 if len(pending) >= window:
-                    yield flush()
+                    yield from flush()
         if pending:
-            yield flush()
+            yield from flush()
 
     packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pack, SCHEMA)
     return _repack(stored(packed, "pieces"), capacity, max_open)
