@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -104,14 +105,22 @@ def select_candidates(statistics: DataFrame, keys: Sequence[str], k: int, agg: A
     scored = statistics.withColumn("lb", sample_lower_bound(agg, config.beta_ci))
     forced = list(dict.fromkeys(forced or []))[: config.fa_capacity]
     # one row more than fit, best bound first: the k-th gives the floor, the rest tell whether all above it fit
-    best = ranked(scored, keys, max(k, config.fa_capacity + 1), "lb").select(*keys, "count", "lb").collect()
+    most = max(k, config.fa_capacity + 1)
+    best = ranked(scored, keys, most, "lb").select(*keys, "sum", "count", "lb").collect()
+    every = len(best) < most  # these are all groups of the sample
     floor = best[k - 1]["lb"] if 0 < k <= len(best) else None
     over = [r for r in best if floor is None or r["lb"] is not None and r["lb"] >= floor]
     column = {Agg.SUM: "sum", Agg.COUNT: "count"}.get(agg)
-    sampled, total = statistics.agg(F.coalesce(F.sum("count"), F.lit(0)), F.sum(F.col(column or "count").cast("double"))).first()
+    if every:
+        sampled, total = sum(r["count"] for r in best), math.fsum(float(r[column] or 0) for r in best) if column else 0.0
+    else:
+        sampled, total = statistics.agg(F.coalesce(F.sum("count"), F.lit(0)), F.sum(F.col(column or "count").cast("double"))).first()
     share = None
     if column:
-        top = sum(float(r[column] or 0) for r in (best[:k] if agg is Agg.COUNT else ranked(statistics, keys, k, column).select(column).collect()))
+        if every or agg is Agg.COUNT:
+            top = sum(heapq.nlargest(k, (float(r[column] or 0) for r in best)))
+        else:
+            top = sum(float(r[column] or 0) for r in ranked(statistics, keys, k, column).select(column).collect())
         share = top / total if total and total > 0 else 0.0
     reason = ""
     if len(over) > config.fa_capacity - len(forced):
@@ -123,7 +132,9 @@ def select_candidates(statistics: DataFrame, keys: Sequence[str], k: int, agg: A
     key = lambda r: tuple(r[c] for c in keys)
     chosen = dict.fromkeys(forced)
     chosen.update(dict.fromkeys(map(key, sorted(over, key=lambda r: -r["count"]))))
-    if len(chosen) < config.fa_capacity and len(over) < len(best):  # fill up with heavy groups, if there are more
+    if every:
+        chosen.update(dict.fromkeys(map(key, sorted(best, key=lambda r: -r["count"]))))
+    elif len(chosen) < config.fa_capacity:  # fill up with heavy groups
         order = [F.col("count").desc(), F.col("lb").desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in keys]]
         chosen.update(dict.fromkeys(map(key, scored.orderBy(*order).limit(config.fa_capacity).select(*keys).collect())))
     return Selection(True, reason, list(chosen)[: config.fa_capacity], floor, len(over), share, sampled)
