@@ -188,15 +188,21 @@ class BlockWords:
         self.bounds = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
         coded = pa.array(chain.from_iterable(lists), pa.binary(), size=int(self.bounds[-1])).dictionary_encode()
         del lists
-        distinct = coded.dictionary.to_pylist()
-        hashes = word_hashes(distinct)
+        hashes = _hashes(*_buffers(coded.dictionary))
         order = np.lexsort((hashes, hashes % np.uint64(buckets)))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.at = place[coded.indices.to_numpy()] if len(order) else np.zeros(0, np.int64)
-        self.distinct, self.hashes = [distinct[i] for i in order.tolist()], hashes[order]
+        self.distinct, self.hashes = coded.dictionary.take(pa.array(order)), hashes[order]
         self.limits = np.searchsorted((self.hashes % np.uint64(buckets)).astype(np.int64), np.arange(buckets + 1))
 
+    def spaced(self, lo: int, hi: int) -> np.ndarray:
+        """Bytes of the distinct words ``lo``..``hi``, each closed by a space."""
+        data, limits = _buffers(self.distinct.slice(lo, hi - lo))
+        out = np.full(len(data) + hi - lo, _SPACE)
+        out[np.arange(len(data)) + np.repeat(np.arange(hi - lo), np.diff(limits))] = data
+        return out
+
     def begins(self) -> np.ndarray:
         """Whether each word is its text's first."""
         out = np.zeros(len(self.at), bool)
@@ -221,9 +227,9 @@ class BlockWords:
         n = len(self.at)
         if not n:
             return np.zeros(0, np.uint8)
-        data = np.frombuffer(b" " + b" ".join(self.distinct) + b" ", np.uint8)
+        data = np.concatenate(([_SPACE], self.spaced(0, len(self.hashes))))
         pair = _pair(data[:-1], data[1:])
-        starts = np.concatenate(([0], np.flatnonzero(data == _SPACE)[1:-1]))
+        starts = np.flatnonzero(data == _SPACE)[:-1]
         begin = np.repeat(self.bounds[:-1], np.diff(self.bounds))
         out = np.where(begin < np.arange(n), 1 << AXES, 0).astype(np.uint8)
         for axis in range(AXES):
@@ -233,8 +239,33 @@ class BlockWords:
         return out
 
 
-def word_hashes(distinct: list[bytes]) -> np.ndarray:
-    return Words([b" ".join(distinct).decode("utf-8", "surrogatepass")]).hashes()
+def _buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all words, where each begins and the last ends) of a binary array."""
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, values = words.buffers()
+    limits = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(values, np.uint8)[limits[0] : limits[-1]], limits - limits[0]
+
+
+def _hashes(data: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    words = Words([])
+    words.data, words.start, words.end = data, limits[:-1], limits[1:]
+    return words.hashes()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return _hashes(*_buffers(pa.array(words, pa.binary())))
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers, and the place of each: by hashing, which is faster than sorting them all."""
+    coded = pa.array(keys).dictionary_encode()
+    found = coded.dictionary.to_numpy()
+    order = np.argsort(found)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return found[order], place[coded.indices.to_numpy()] if len(found) else np.zeros(0, np.int64)
 
 
 class BlockTokens:
@@ -246,7 +277,7 @@ class BlockTokens:
         if len(own.at):
             before[1:] = np.where(foretells[own.at[:-1]], own.at[:-1] + 1, 0)
             before[own.begins()] = 0
-        tokens, self.inverse = np.unique((own.at * (len(own.hashes) + 1) + before) * CLASSES + own.classes(pull), return_inverse=True)
+        tokens, self.inverse = _distinct((own.at * (len(own.hashes) + 1) + before) * CLASSES + own.classes(pull))
         self.kind, rest = (tokens % CLASSES).astype(np.uint8), tokens // CLASSES
         before, self.word = rest % (len(own.hashes) + 1), rest // (len(own.hashes) + 1)
         self.before = np.concatenate((np.zeros(1, np.uint64), own.hashes))[before]
@@ -325,7 +356,7 @@ def _request(buckets: int, pull: np.ndarray):
                     if hi > lo:
                         w, x = int(own.limits[b]), int(own.limits[b + 1])
                         before = tokens.before[lo:hi]
-                        rows.append((b, block, _join(_zip(b" ".join(own.distinct[w:x]) + b" "), _planes((tokens.word[lo:hi] - w).astype("<u4")), _zip(tokens.kind[lo:hi].tobytes()), _zip(np.packbits(before > 0).tobytes()), before[before > 0].astype("<u8").tobytes(), _planes(weight[lo:hi]))))
+                        rows.append((b, block, _join(_zip(own.spaced(w, x).tobytes()), _planes((tokens.word[lo:hi] - w).astype("<u4")), _zip(tokens.kind[lo:hi].tobytes()), _zip(np.packbits(before > 0).tobytes()), before[before > 0].astype("<u8").tobytes(), _planes(weight[lo:hi]))))
                 rows.append((-1 - block % 16, block, _ends(n_words[learn])))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "block", "payload"])
 
