@@ -24,7 +24,8 @@ over all bytes of all texts, at a fraction of the work. Texts are packed in
 blocks. A block sends its distinct words with their followers, and then its
 distinct tokens, to buckets by the words' hash; buckets send back which words
 foretell the next, and what each token costs and how often its word was seen:
-what moves is a row for each block and bucket, never a row for each occurrence.
+what moves is a row for each block and bucket that it has words in, so never
+more than a row for each distinct token of a block.
 Nothing that is learned depends on how rows are laid out.
 """
 
@@ -46,7 +47,7 @@ from quillon.llm.common import Words, mix64, partitions, saved
 INNER, CONTEXTS = 5, 7
 TABLE, LARGEST = 1 << 18, 1 << 22
 PARTS = 8
-BLOCK_CHARS, BLOCK_DOCS = 6_000_000, 16384
+BLOCK_CHARS, BLOCK_DOCS = 5_000_000, 16384
 GATES, LEVELS, STEPS = 8 * 5 * 16, 33, 15
 STRIP, LEARNED = 1 << 15, 1 << 13
 #: Characters for each mixer that learns by itself, as a square; most mixers.
@@ -220,7 +221,7 @@ class BlockWords:
         for b in np.flatnonzero(np.diff(self.limits)).tolist():
             lo, hi = int(self.limits[b]), int(self.limits[b + 1])
             p, q = int(edges[b]), int(edges[b + 1])
-            yield b, _join(self.hashes[lo:hi].astype("<u8").tobytes(), _planes((word[p:q] - lo).astype("<u4")), pairs[p:q].astype("<u2").tobytes(), _planes(counts[p:q].astype("<u4")))
+            yield b, _join(_planes(np.diff(self.hashes[lo:hi] // np.uint64(len(self.limits) - 1), prepend=np.uint64(0))), _planes((word[p:q] - lo).astype("<u4")), pairs[p:q].astype("<u2").tobytes(), _planes(counts[p:q].astype("<u4")))
 
     def classes(self, pull: np.ndarray) -> np.ndarray:
         """Class of the text before each word: the signs of its byte pairs' sums on the axes, and 2**AXES more where there is a word before."""
@@ -280,7 +281,7 @@ class BlockTokens:
         tokens, self.inverse = _distinct((own.at * (len(own.hashes) + 1) + before) * CLASSES + own.classes(pull))
         self.kind, rest = (tokens % CLASSES).astype(np.uint8), tokens // CLASSES
         before, self.word = rest % (len(own.hashes) + 1), rest // (len(own.hashes) + 1)
-        self.before = np.concatenate((np.zeros(1, np.uint64), own.hashes))[before]
+        self.before = np.concatenate((np.zeros(1, np.uint32), (own.hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)))[before]
         self.limits = np.searchsorted(self.word, own.limits)
 
     def __len__(self) -> int:
@@ -299,7 +300,7 @@ def foretold(own: BlockWords, answers: dict[int, bytes]) -> np.ndarray:
 def _foretell(table: pa.Table) -> pa.Table:
     """For each block's words of a bucket, a bit for each: whether the word foretells the next."""
     blocks, parts = table.column("block").to_pylist(), [_parted(p) for p in table.column("payload").to_pylist()]
-    own = [np.frombuffer(p[0], "<u8") for p in parts]
+    own = [np.cumsum(_unplanes(p[0]), dtype=np.uint64) for p in parts]  # the hashes, divided by the number of buckets
     distinct, place = np.unique(np.concatenate(own), return_inverse=True)
     sizes = np.cumsum([0] + [len(x) for x in own])
     word = np.concatenate([place[s + _unplanes(p[1])] for s, p in zip(sizes, parts)])
@@ -351,12 +352,11 @@ def _request(buckets: int, pull: np.ndarray):
                 n_words, learn = np.diff(own.bounds), (flags & 2) > 0
                 weight = np.bincount(tokens.inverse, weights=np.repeat(learn, n_words), minlength=len(tokens)).astype("<u4")
                 rows = []
-                for b in range(buckets):
+                for b in np.flatnonzero(np.diff(tokens.limits)).tolist():
                     lo, hi = int(tokens.limits[b]), int(tokens.limits[b + 1])
-                    if hi > lo:
-                        w, x = int(own.limits[b]), int(own.limits[b + 1])
-                        before = tokens.before[lo:hi]
-                        rows.append((b, block, _join(_zip(own.spaced(w, x).tobytes()), _planes((tokens.word[lo:hi] - w).astype("<u4")), _zip(tokens.kind[lo:hi].tobytes()), _zip(np.packbits(before > 0).tobytes()), before[before > 0].astype("<u8").tobytes(), _planes(weight[lo:hi]))))
+                    w, x = int(own.limits[b]), int(own.limits[b + 1])
+                    before = tokens.before[lo:hi]
+                    rows.append((b, block, _join(_zip(own.spaced(w, x).tobytes()), _planes((tokens.word[lo:hi] - w).astype("<u4")), _zip(tokens.kind[lo:hi].tobytes()), _zip(np.packbits(before > 0).tobytes()), before[before > 0].astype("<u4").tobytes(), _planes(weight[lo:hi]))))
                 rows.append((-1 - block % 16, block, _ends(n_words[learn])))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "block", "payload"])
 
@@ -364,9 +364,9 @@ def _request(buckets: int, pull: np.ndarray):
 
 
 def _before(flags: bytes, hashes: bytes, n: int) -> np.ndarray:
-    """The hash of the word before each token, 0 where none counts."""
-    out = np.zeros(n, np.uint64)
-    out[np.unpackbits(np.frombuffer(_unzip(flags), np.uint8), count=n).astype(bool)] = np.frombuffer(hashes, "<u8")
+    """The hash (32 bits) of the word before each token, 0 where none counts."""
+    out = np.zeros(n, np.uint32)
+    out[np.unpackbits(np.frombuffer(_unzip(flags), np.uint8), count=n).astype(bool)] = np.frombuffer(hashes, "<u4")
     return out
 
 
@@ -409,7 +409,7 @@ def _merge(table: pa.Table) -> pa.Table:
         word, kind = key // CLASSES, (key % CLASSES).astype(np.uint8)
         total = np.bincount(word, weights=counts, minlength=len(distinct)).astype("<u8")
 
-        tokens = _zip(_repeat(texts, word)), _zip(kind.tobytes()), _zip(before.astype("<u8").tobytes())
+        tokens = _zip(_repeat(texts, word)), _zip(kind.tobytes()), _zip(before.astype("<u4").tobytes())
         rows.append((DISTINCT, 0, bucket, int(total.sum()), int((total > 0).sum()), _join(*tokens, _planes(total[word]), _planes(counts))))
         for i, a, b in zip(order, limits, limits[1:]):
             rows.append((PLACES, blocks[i], bucket, 0, 0, _planes(place[a:b].astype("<u4"))))
@@ -454,8 +454,7 @@ def predictors(data: np.ndarray, classes: np.ndarray, before: np.ndarray) -> tup
         so_far = sums[:-1] - sums[starts[number]] if n else sums[:0]
         of[0] = _scramble(so_far + np.uint32(11))
         of.append(_scramble(so_far + np.uint32(5)))
-        mixed = (before ^ (before >> np.uint64(32))).astype(np.uint32)
-        of.append(_scramble(so_far * np.uint32(3) + _scramble(mixed + np.uint32(6))[number]) if n else so_far)
+        of.append(_scramble(so_far * np.uint32(3) + _scramble(before.astype(np.uint32) + np.uint32(6))[number]) if n else so_far)
         if n:
             salt = classes.astype(np.uint32)[number] * np.uint32(0x3779B1) + np.uint32(9)
             for k in BY_CLASS:
@@ -562,10 +561,10 @@ class Spelling:
 
     def _strip(self, data: np.ndarray, of: list[np.ndarray], kind: np.ndarray, each: np.ndarray, step: float) -> None:
         size, first, trust = self.counts.shape[1], [None] * CONTEXTS, [None] * (CONTEXTS - INNER)
-        damped = np.sqrt(each)
+        damped = np.sqrt(each).astype(np.float32)
         packed, x = self.counts.view(np.uint32)[:, :, 0], np.ones((CONTEXTS + 1, len(data)), np.float32)
         for place, node, bit, before, cell in bits(data):
-            one = np.where(bit == 1, _ONE[1], _ONE[0])
+            one = _ONE.take(bit)
             for k in range(CONTEXTS):
                 if before is not None:
                     first[k] = slots(of[k], before, size)
@@ -580,7 +579,7 @@ class Spelling:
             mixed = sum(x[j] * weights[j].take(gate) for j in range(CONTEXTS + 1))
             p = _squash(np.clip(mixed, -12, 12))
             np.add.at(self.rates.reshape(-1), (node.astype(np.int64) * LEVELS + _level(mixed)) * 2 + bit, each)
-            pull, seen = (bit - p) * damped, np.bincount(gate, weights=damped, minlength=GATES)
+            pull, seen = (bit.astype(np.float32) - p) * damped, np.bincount(gate, weights=damped, minlength=GATES)
             for j in range(CONTEXTS + 1):
                 self.weights[:, j] += step * 4 * np.bincount(gate, weights=pull * x[j], minlength=GATES) / (seen + 50.0)
 
@@ -631,7 +630,7 @@ def _pieces(words: bytes, *of_words: np.ndarray) -> Iterator[tuple]:
 def _tokens(payload: bytes) -> tuple[bytes, np.ndarray, np.ndarray, list[bytes]]:
     """(words closed by spaces, classes, hashes of the words before, what follows) of tokens."""
     spelled, kinds, before, *more = _parted(payload)
-    return _unzip(spelled), np.frombuffer(_unzip(kinds), np.uint8), np.frombuffer(_unzip(before), "<u8"), more
+    return _unzip(spelled), np.frombuffer(_unzip(kinds), np.uint8), np.frombuffer(_unzip(before), "<u4"), more
 
 
 def _learned(payload: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -652,12 +651,22 @@ def _sliced(slices: int):
                 words = words.split()
                 own = mix64(word_hashes(words)) % np.uint64(slices)
                 rows = [(s, some) for s in range(slices) if len(some := np.flatnonzero(own == s))]
-                payloads = [_join(_zip(_repeat(words, some)), _zip(kind[some].tobytes()), _zip(before[some].astype("<u8").tobytes()), _planes(counts[some])) for _, some in rows]
+                payloads = [_join(_zip(_repeat(words, some)), _zip(kind[some].tobytes()), _zip(before[some].astype("<u4").tobytes()), _planes(counts[some])) for _, some in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array(payloads, pa.binary())], names=["slice", "payload"])
 
     return run
 
 
+def _stacked(blobs: list[bytes], kind, width: int) -> np.ndarray:
+    """Tables of one size, one after the other: contexts x slots x width."""
+    out = None
+    for i, blob in enumerate(blobs):
+        one = np.frombuffer(_unzip(blob), kind).reshape(-1, width)
+        out = np.empty((len(blobs), *one.shape), kind) if out is None else out
+        out[i] = one
+    return out
+
+
 def table_size(distinct: int) -> int:
     """Slots of each context's table: 16 or more for each distinct training word, up to ``LARGEST``."""
     return min(max(TABLE, 1 << (16 * max(distinct, 1) - 1).bit_length()), LARGEST)
@@ -707,7 +716,7 @@ def _fit(counts_value):
     """One mixer for a slice: its training tokens in the order of their words' hashes and classes, whatever buckets they come from."""
 
     def run(table: pa.Table) -> pa.Table:
-        model = Spelling(np.stack([np.frombuffer(_unzip(c), np.uint16).reshape(-1, 2) for c in counts_value.value]))
+        model = Spelling(_stacked(counts_value.value, np.uint16, 2))
         held = [_tokens(p) for p in table.column("payload").to_pylist()]
         kind, before = (np.concatenate([h[i] for h in held]) for i in (1, 2))
         counts, words = np.concatenate([_unplanes(h[3][0]) for h in held]), list(chain.from_iterable(h[0].split() for h in held))
@@ -736,7 +745,7 @@ def spell_buckets(model_value):
             for kind, block, bucket, payload in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                 if kind == DISTINCT:
                     m = model_value.value
-                    spelling = spelling or Spelling(None, m["weights"], m["rates"], np.stack([np.frombuffer(_unzip(c), np.int16) for c in m["odds"]]))
+                    spelling = spelling or Spelling(None, m["weights"], m["rates"], _stacked(m["odds"], np.int16, 1)[:, :, 0])
                     words, kinds, before, (totals, _) = _tokens(payload)
                     cost = np.concatenate([np.add.reduceat(spelling.cost(data, *of_words), np.concatenate(([0], np.flatnonzero(data == _SPACE)[:-1] + 1))) for data, *of_words in _pieces(words, kinds, before)])
                     total = _unplanes(totals)

@@ -73,12 +73,12 @@ def test_spelling_is_a_distribution():
     """The probabilities of a word's next byte sum to one."""
     rng = np.random.default_rng(2)
     data = np.frombuffer(b"the cat and the hat " * 20, np.uint8)
-    classes, before = np.zeros(100, np.uint8), np.zeros(100, np.uint64)
+    classes, before = np.zeros(100, np.uint8), np.zeros(100, np.uint32)
     counts = counted(data, classes, before)
     model = lm.Spelling(counts)
     model.learn(data, classes, before, np.ones(100))
     model = lm.Spelling(counts, model.weights + 0.01 * rng.random(model.weights.shape), model.rates)
-    cost = lambda word: model.cost(np.frombuffer(word, np.uint8), np.zeros(1 + word.count(b" "), np.uint8), np.zeros(1 + word.count(b" "), np.uint64))
+    cost = lambda word: model.cost(np.frombuffer(word, np.uint8), np.zeros(1 + word.count(b" "), np.uint8), np.zeros(1 + word.count(b" "), np.uint32))
     total = sum(math.exp(cost(b"th" + bytes([b]))[2]) for b in range(256))
     assert abs(total - 1) < 1e-4
     assert cost(b"the ").sum() > cost(b"xqz ").sum()
@@ -88,9 +88,9 @@ def test_contexts_stay_in_the_word():
     a, _ = lm.contexts(np.frombuffer(b"xx the", np.uint8))
     b, _ = lm.contexts(np.frombuffer(b"yyyy the", np.uint8))
     assert all((x[3:] == y[5:]).all() for x, y in zip(a, b))
-    one = lm.predictors(np.frombuffer(b"xx the ", np.uint8), np.array([1, 2]), np.array([0, 7], np.uint64))[0]
-    two = lm.predictors(np.frombuffer(b"yyyy the ", np.uint8), np.array([5, 2]), np.array([9, 7], np.uint64))[0]
-    other = lm.predictors(np.frombuffer(b"yyyy the ", np.uint8), np.array([5, 3]), np.array([9, 8], np.uint64))[0]
+    one = lm.predictors(np.frombuffer(b"xx the ", np.uint8), np.array([1, 2]), np.array([0, 7], np.uint32))[0]
+    two = lm.predictors(np.frombuffer(b"yyyy the ", np.uint8), np.array([5, 2]), np.array([9, 7], np.uint32))[0]
+    other = lm.predictors(np.frombuffer(b"yyyy the ", np.uint8), np.array([5, 3]), np.array([9, 8], np.uint32))[0]
     assert all((x[3:] == y[5:]).all() for x, y in zip(one, two))
     differ = [k for k in range(lm.CONTEXTS) if (one[k][3:] != other[k][5:]).all()]
     assert differ == sorted({*lm.BY_CLASS, 6})
@@ -111,7 +111,7 @@ def brute_tokens(rows, pull):
         place, mine = np.zeros(lm.AXES, np.int64), []
         for i, w in enumerate(ws):
             kind = sum(1 << k for k in range(lm.AXES) if place[k] > 0) + (16 if i else 0)
-            hashed = int(lm.word_hashes([ws[i - 1]])[0]) if i and ws[i - 1] in sure else 0
+            hashed = int(lm.word_hashes([ws[i - 1]])[0]) >> 32 | 1 if i and ws[i - 1] in sure else 0
             mine.append((w, kind, hashed))
             for a, b in zip(b" " + w, w + b" "):
                 place = place + pull[((a * 251 + b) * 0x9E3779B1 & 0xFFFFFFFF) >> 25]
@@ -123,7 +123,7 @@ def brute_log(model, counts, token):
     """Natural log of one token's probability, bit by bit in plain numbers."""
     word, kind, hashed = token
     data = np.frombuffer(word + b" ", np.uint8)
-    of, last = lm.predictors(data, np.array([kind]), np.array([hashed], np.uint64))
+    of, last = lm.predictors(data, np.array([kind]), np.array([hashed], np.uint32))
     total = 0.0
     for i, byte in enumerate(data.tolist()):
         for place in range(8):
@@ -158,12 +158,12 @@ def test_score_equals_brute_force(spark):
     counts = np.zeros((lm.CONTEXTS, lm.TABLE, 2))
     for ok, mine in zip(learn, of):
         for word, kind, hashed in mine if ok else ():
-            counts += counted(np.frombuffer(word + b" ", np.uint8), np.array([kind]), np.array([hashed], np.uint64))
+            counts += counted(np.frombuffer(word + b" ", np.uint8), np.array([kind]), np.array([hashed], np.uint32))
     assert (counts == fitted.counts).all()
     seen = Counter(t for ok, mine in zip(learn, of) if ok for t in mine)
     order = sorted(seen, key=lambda t: (int(lm.word_hashes([t[0]])[0]), t[1], t[2]))
     model = lm.Spelling(counts)
-    model.learn(np.frombuffer(b"".join(w + b" " for w, _, _ in order), np.uint8), np.array([k for _, k, _ in order]), np.array([h for _, _, h in order], np.uint64), np.array([seen[t] for t in order]))
+    model.learn(np.frombuffer(b"".join(w + b" " for w, _, _ in order), np.uint8), np.array([k for _, k, _ in order]), np.array([h for _, _, h in order], np.uint32), np.array([seen[t] for t in order]))
     assert np.allclose(model.average, fitted.weights) and np.allclose(model.rates, fitted.rates)
     got = {r["doc_id"]: r for r in lm.score_documents(df).collect()}
     lengths = [len(m) for ok, m in zip(learn, of) if ok]
