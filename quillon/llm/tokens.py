@@ -32,11 +32,17 @@ class ByteBpe:
         symbols = byte_symbols()
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        self.full = Tokenizer.from_file(path)
-        self.full.no_truncation()
-        self.full.no_padding()
+        self.path = path
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
+    @functools.cached_property
+    def full(self) -> Tokenizer:
+        """The slower library, loaded by the first text that needs it."""
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     def __call__(self, text: str) -> np.ndarray:
         if _PLAIN.search(text) is None:
             return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
