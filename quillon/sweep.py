@@ -1,6 +1,6 @@
 """Benchmark sweeps: distributions, aggregates, k and sizes, exact and pruned, one row a run.
 
-``python -m quillon.sweep --csv runs.csv [--sizes 1000000 ...] [--modes baseline ...]``. Each
+``python -m quillon.sweep --csv runs.csv [--sizes 1000000 ...] [--modes baseline ...] [--figures folder]``. Each
 experiment varies one thing and holds the others at their defaults.
 """
 
@@ -17,7 +17,7 @@ from quillon.config import Agg, Mode, TopKConfig
 from quillon.operators.exact import RESULT
 from quillon.plans.engine import top_k
 from quillon.session import local_session
-from quillon.sources import generators, reports
+from quillon.sources import charts, generators, reports
 from quillon.sources.generators import DISTRIBUTIONS, Dataset
 
 # The grid of the sweeps, and the rows a sample aims at.
@@ -95,10 +95,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--fa-capacity", type=int, default=50_000)
     parser.add_argument("--n-partitions", type=int, default=10_000)
     parser.add_argument("--min-rows-per-core", type=int, default=0)
+    parser.add_argument("--figures", help="folder for SVG figures")
     args = parser.parse_args(argv)
     spark = spark or local_session()
     rows = sweep(spark, args.csv, args.sizes, args.modes, args.fa_capacity, args.n_partitions, args.min_rows_per_core)
-    print(reports.results_text(reports.read_csv(spark, args.csv)))
+    runs = reports.read_csv(spark, args.csv)
+    print(reports.results_text(runs))
+    if args.figures:
+        charts.write_figures(spark, charts.sweep_figures(runs), args.figures)
     return int(not all(r["correct"] for r in rows))
 
 

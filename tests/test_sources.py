@@ -110,7 +110,8 @@ def test_sweep(spark, tmp_path, capsys):
     path = str(tmp_path / "runs.csv")
     from quillon import sweep
 
-    assert sweep.main(["--csv", path, "--sizes", "3000", "4000", "--modes", "baseline", "ext-b", "--fa-capacity", "300", "--n-partitions", "64"], spark) == 0
+    assert sweep.main(["--csv", path, "--sizes", "3000", "4000", "--modes", "baseline", "ext-b", "--fa-capacity", "300", "--n-partitions", "64", "--figures", str(tmp_path / "figures")], spark) == 0
+    assert len(list((tmp_path / "figures").glob("*.svg"))) == 9
     runs = reports.read_csv(spark, path)
     n = len(generators.DISTRIBUTIONS) + 4 + 6 + 2
     assert runs.count() == 3 * n and runs.where("correct AND error IS NULL OR correct AND error = ''").count() == 3 * n
@@ -123,3 +124,32 @@ def test_sweep(spark, tmp_path, capsys):
 def test_suite_names():
     names = [r.name for r in generators.suite((1_000_000, 5_000))]
     assert "zipf_1M_G100K" in names and "uniform_5K_G500" in names and len(names) == 12
+
+
+def test_figures(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    from quillon.sources import charts
+
+    modes = ["brute-force", "baseline", "ext-a", "ext-b", "ext-ab"]
+    rows = [(d, m, n, 10.0 * (i + 1) * n, i) for d, n in (("D1", 100), ("D2 <&>", 200), ("scale_1", 100), ("scale_2", 300)) for i, m in enumerate(modes)]
+    runs = spark.createDataFrame(rows, "dataset string, mode string, n_rows long, total_duration_ms double, total_passes int")
+    figures = charts.run_figures(runs)
+    assert [f.name for f in figures] == ["execution_time", "passes", "scaling"]
+    assert figures[0].places == ("D1", "D2 <&>") and list(figures[0].series) == modes and list(figures[1].series) == modes[1:]
+    assert figures[2].series["baseline"] == (2000.0, 6000.0)
+    for path, fig in zip(charts.write_figures(spark, figures, str(tmp_path)), figures):
+        tree = ET.parse(path).getroot()
+        name = lambda x: x.tag.rsplit("}", 1)[1]
+        marks = [x for x in tree.iter() if name(x) in ("path", "circle") and any(name(c) == "title" for c in x)]
+        assert len(marks) == sum(v is not None for s in fig.series.values() for v in s)
+        colours = [x.get("fill") for x in tree if name(x) == "rect" and x.get("rx")]
+        assert len(colours) == len(set(colours)) == len(fig.series)
+        for x in tree.iter():
+            if name(x) == "circle":
+                assert charts.LEFT <= float(x.get("cx")) <= charts.WIDTH - charts.RIGHT and charts.TOP <= float(x.get("cy")) <= charts.HEIGHT - charts.BOTTOM
+    few = runs.where("mode = 'baseline' AND dataset = 'D1'")
+    assert [f.name for f in charts.run_figures(few)] == ["execution_time", "passes"] and charts.run_figures(few.where("false")) == []
+    assert charts.steps(0) == [0.0, 1.0] and charts.steps(0.0123)[-1] >= 0.0123 and charts.steps(97)[-1] == 100
+    two = charts.Figure("x", "x", "times", (1, 2), {"first pass": (1.0, None), "whole run": (2.0, 3.0)}, True)
+    assert len(set(charts.colours(two).values())) == 2
