@@ -47,7 +47,9 @@ class TopKConfig:
     """Options of the pruned plans; defaults suit large skewed inputs.
 
     Inputs of fewer than ``min_rows_per_core`` rows for each core take the exact
-    plan, whose single shuffle is then cheaper than several scans (0: never).
+    plan, whose single shuffle is then cheaper than several scans, and so do modes
+    that would count all groups first, as that is the exact plan's shuffle already
+    (0: neither).
     """
 
     fa_capacity: int = 50_000
@@ -61,7 +63,7 @@ class TopKConfig:
     boost_rows: int = 10
     measure_m: int = 500
     min_topk_share: float = 0.01
-    min_rows_per_core: int = 10_000_000
+    min_rows_per_core: int = 50_000_000
     force: bool = False
     max_levels: int = 2
     seed: int = 42

@@ -83,8 +83,8 @@ def _sample(rows: DataFrame, n_rows: int, keys: Sequence[str], k: int, agg: Agg,
     clock = _Clock()
     forced, index = [], None
     boosts = mode in (Mode.STRATIFIED, Mode.COMBINED) and config.boost_rows > 0 and config.underrep_threshold > 0
-    if boosts and not (mode is Mode.COMBINED and config.measure_m >= k):  # so many extremes would leave no need for boosts
-        index = sampling.group_index(rows, keys).persist()
+    if boosts and mode is Mode.COMBINED and config.measure_m < k:  # else there may be extremes enough to leave no need for boosts
+        index = sampling.group_index(rows, keys).persist()  # used twice
     try:
         if mode in (Mode.EXTREMES, Mode.COMBINED) and config.measure_m:
             extremes = sampling.measure_index(rows, keys, config.measure_m) if index is None else sampling.extremes_of(index, keys, config.measure_m)
@@ -96,8 +96,8 @@ def _sample(rows: DataFrame, n_rows: int, keys: Sequence[str], k: int, agg: Agg,
         statistics = sampling.sample_statistics(sample, keys).persist()
         try:
             if boosts and len(forced) < k:
-                index = sampling.group_index(rows, keys).persist() if index is None else index
-                drawn = sampling.sample_statistics(sample.unionByName(sampling.boosted_rows(rows, keys, statistics, index, n_rows, size, config)), keys).persist()
+                counts = sampling.occurrence_index(rows, keys) if index is None else index
+                drawn = sampling.sample_statistics(sample.unionByName(sampling.boosted_rows(rows, keys, statistics, counts, n_rows, size, config)), keys).persist()
                 statistics.unpersist()
                 statistics = drawn
             selection = sampling.select_candidates(statistics, keys, k, agg, config, forced)
@@ -113,6 +113,13 @@ def _sample(rows: DataFrame, n_rows: int, keys: Sequence[str], k: int, agg: Agg,
     return selection
 
 
+def _counts_all_groups(mode: Mode, k: int, config: TopKConfig) -> bool:
+    """Whether the mode is sure to need every group's row count."""
+    if not (config.boost_rows and config.underrep_threshold > 0):
+        return False
+    return mode is Mode.STRATIFIED or mode is Mode.COMBINED and config.measure_m < k
+
+
 #: Operators that a repeated scan would repeat.
 _COSTLY = ("Join", "Aggregate", "Window", "Generate", "Sort", "Repartition", "MapInArrow", "MapInPandas", "FlatMap", "Distinct")
 
@@ -151,6 +158,9 @@ def top_k(df: DataFrame, group_cols: Sequence[str] | str, value: Column | str, k
         if not config.force and n_rows < config.min_rows_per_core * cores:
             metrics.is_optimizable, metrics.fallback_reason = False, f"{n_rows} rows on {cores} cores: one shuffle costs less than several scans"
             return finish(exact(), [])
+        if not config.force and config.min_rows_per_core and _counts_all_groups(mode, k, config):
+            metrics.is_optimizable, metrics.fallback_reason = False, f"{mode.value} would count all groups first, which costs what the exact plan does"
+            return finish(exact(), [])
         if _computed(rows):  # several passes follow
             rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
             held.append(rows)

@@ -232,3 +232,13 @@ def test_computed_inputs_are_kept_for_the_passes(spark):
     result = top_k(joined, "g", "w", 5, "SUM", Mode.SAMPLE, SMALL)
     assert len(result.held) >= 1 and pairs(result.df) == pairs(exact_top_k(joined, ["g"], F.col("w"), 5, Agg.SUM))
     result.release()
+
+
+def test_modes_that_count_all_groups_take_the_exact_plan(spark):
+    df = skewed(spark)
+    for mode, options in ((Mode.STRATIFIED, {}), (Mode.COMBINED, {"measure_m": 3})):
+        config = TopKConfig(fa_capacity=50, n_partitions=16, sample_frac=0.2, min_topk_share=0.0, min_rows_per_core=1, **options)
+        result = top_k(df, "g", "v", 5, "SUM", mode, config)
+        assert "count all groups" in result.metrics.fallback_reason and pairs(result.df) == pairs(exact_top_k(df, ["g"], F.col("v"), 5, Agg.SUM))
+    config = TopKConfig(fa_capacity=400, n_partitions=16, sample_frac=0.2, min_topk_share=0.0, min_rows_per_core=1, boost_rows=0)
+    assert top_k(df, "g", "v", 5, "SUM", Mode.STRATIFIED, config).metrics.is_optimizable
