@@ -14,8 +14,14 @@
    rows and bytes, as a product of incidence matrices; a tile gives only the
    stars of its linked rows, never all pairs. A region of more than ``REGION``
    rows (texts that nearly all share boilerplate) is compared unit by unit
-   instead, so that work grows with the rows and not with their square.
-5. Components of the links, and each document's by its class.
+   first, so that work grows with the rows and not with their square.
+5. Components of the links.
+6. What bounds have cut is compared exactly (``setjoin``): rows of the trees'
+   runs that were cut into units, or by the end of a partition, and of large
+   regions are joined on their full sets, except within a component. So which
+   links are found does not depend on ``UNIT``, ``REGION`` or the layout, but
+   for pairs that the forest's signatures miss.
+7. Components of all links, and each document's by its class.
 """
 
 from __future__ import annotations
@@ -29,13 +35,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm.common import Words, binary_rows, mix64, partitions, saved, shingles, text_groups
 from quillon.llm.graph import LINK, Forest, connected_components
+from quillon.llm.setjoin import links_between
 
 TREES, MIN_DEPTH, DEPTH = 20, 4, 12
 #: Values of a tree's key, and of the whole signature, in which candidates agree.
 AGREE, SIMILAR = 8, 62
 VALUES = 96
-#: Most rows of a unit; most rows of a region that is compared whole; rows that a walk holds; rows a partition's ends send.
-UNIT, REGION, HELD, ENDS = 256, 16384, 1 << 17, 3
+#: Most rows of a unit; most rows of a region that is compared whole; rows that a walk holds.
+UNIT, REGION, HELD = 256, 16384, 1 << 17
 _RNG = np.random.default_rng(11)
 _FACTORS = _RNG.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: The order of signature values in each tree: its own MIN_DEPTH values first, then others.
@@ -130,43 +137,59 @@ def units(tree: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _WALKED = "kind int, unit long, rep long, tree int, key binary"
 
 
+def _walked(kind: int, units: np.ndarray, reps: np.ndarray, trees: list[int] | None = None, keys: list[bytes] | None = None) -> pa.RecordBatch:
+    n = len(reps)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(units, pa.int64()), pa.array(reps, pa.int64()), pa.nulls(n, pa.int32()) if trees is None else pa.array(trees, pa.int32()), pa.nulls(n, pa.binary()) if keys is None else pa.array(keys, pa.binary())], names=["kind", "unit", "rep", "tree", "key"])
+
+
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of units that agree with another (kind 0), and the partition's first and last rows (kind 1)."""
-    number = TaskContext.get().partitionId() << 40
+    """Kind 0: rows of units that agree with another. Kind 1: the partition's ends, by 2 * partition (+ 1 for the last). Kind 2: rows of runs that are cut, by 4 * partition, and of its first (+ 1) and last run (+ 2)."""
+    partition = TaskContext.get().partitionId()
+    number = partition << 40
     held: list[tuple] = []
-    size, first = 0, None
+    size, first, last, behind = 0, None, None, None
 
-    def block(last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal held, size, number
+    def block(final: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, size, number, behind
         tree, keys, reps = (np.concatenate(x) for x in zip(*held))
         n = len(reps)
-        if not last:  # the run at the end may go on
-            begins = np.flatnonzero((tree[1:] != tree[:-1]) | (keys[1:, :MIN_DEPTH] != keys[:-1, :MIN_DEPTH]).any(axis=1)) + 1
-            n = int(begins[-1]) if len(begins) else n
+        begins = np.flatnonzero(np.concatenate(([True], (tree[1:] != tree[:-1]) | (keys[1:, :MIN_DEPTH] != keys[:-1, :MIN_DEPTH]).any(axis=1))))
+        if not final and len(begins) > 1:  # the run at the end may go on
+            n = int(begins[-1])
+            begins = begins[:-1]
         held, size = [(tree[n:], keys[n:], reps[n:])] if n < len(reps) else [], len(reps) - n
         unit, near = units(tree[:n], keys[:n])
         at = np.flatnonzero(near)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), pa.array(unit[at] + number, pa.int64()), pa.array(reps[at], pa.int64()), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names=["kind", "unit", "rep", "tree", "key"])
+        yield _walked(0, unit[at] + number, reps[at])
+        lengths = np.diff(np.append(begins, n))
+        cut = lengths > UNIT
+        prefix = lambda i: (int(tree[i]), keys[i, :MIN_DEPTH].tobytes())
+        cut[0] |= behind == prefix(0)
+        own = np.repeat(cut, lengths)
+        yield _walked(2, np.full(own.sum(), partition << 2), reps[:n][own])
+        if number == partition << 40 and not cut[0]:
+            yield _walked(2, np.full(lengths[0], (partition << 2) + 1), reps[: lengths[0]])
+        if final and not cut[-1]:
+            yield _walked(2, np.full(lengths[-1], (partition << 2) + 2), reps[n - lengths[-1] : n])
+        behind = prefix(n - 1)
         number += int(unit[-1]) + 1
 
-    tail: list[tuple] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         blobs = batch.column(1).to_pylist()
         held.append((batch.column(0).to_numpy(), _keys(blobs), batch.column(2).to_numpy()))
-        ends = list(zip(batch.column(0).to_pylist()[-ENDS:], blobs[-ENDS:], batch.column(2).to_pylist()[-ENDS:]))
+        last = (batch.column(2)[-1].as_py(), batch.column(0)[-1].as_py(), blobs[-1])
         if first is None:
-            first = list(zip(batch.column(0).slice(0, ENDS).to_pylist(), blobs[:ENDS], batch.column(2).slice(0, ENDS).to_pylist()))
-        tail = (tail + ends)[-ENDS:]
+            first = (batch.column(2)[0].as_py(), batch.column(0)[0].as_py(), blobs[0])
         size += batch.num_rows
         if size >= HELD:
             yield from block(False)
     if size:
         yield from block(True)
     if first is not None:
-        rows = sorted({*first, *tail})
-        yield pa.RecordBatch.from_arrays([pa.array([1] * len(rows), pa.int32()), pa.nulls(len(rows), pa.int64()), pa.array([r for _, _, r in rows], pa.int64()), pa.array([t for t, _, _ in rows], pa.int32()), pa.array([k for _, k, _ in rows], pa.binary())], names=["kind", "unit", "rep", "tree", "key"])
+        reps, trees, keys = map(list, zip(first, last))
+        yield _walked(1, np.array([partition << 1, (partition << 1) + 1]), np.array(reps), trees, keys)
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
@@ -227,19 +250,18 @@ def _labels(link: np.ndarray) -> np.ndarray:
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """Stars of candidates (kind 0: u, v) and members of units (kind 1: unit, rep) of (rep, signature) rows."""
+    """Stars of candidates (kind 0: u, v), members of units (kind 1: unit, rep) and rows of runs that were cut (kind 2: 0, rep) of (rep, signature) rows."""
     spark = reps.sparkSession
     planted = reps.select("rep", "signature").mapInArrow(_plant, _KEYED)
     walked = saved(planted.repartitionByRange(partitions(spark), "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep").mapInArrow(_walk, _WALKED), small=True)
-    # neighbours across the ends of partitions: a few rows from each partition
-    ends = sorted({(r.tree, bytes(r.key), r.rep) for r in walked.where("kind = 1").collect()})
-    found = walked.where("kind = 0").select("unit", "rep")
-    if ends:
-        unit, near = units(np.array([t for t, _, _ in ends]), _keys([k for _, k, _ in ends]))
-        if near.any():
-            found = found.unionByName(spark.createDataFrame([(-1 - int(unit[i]), ends[i][2]) for i in np.flatnonzero(near)], "unit long, rep long"))
-    signed = found.join(reps.select("rep", "signature"), "rep").select("unit", "rep", "signature")
-    return saved(signed.repartition(partitions(spark), "unit").sortWithinPartitions("unit", "rep").mapInArrow(_similar, _CANDIDATE), small=True)
+    # runs that go on across the ends of partitions: two rows from each partition
+    ends = {r["unit"]: (r["tree"], bytes(r["key"])[: 2 * MIN_DEPTH]) for r in walked.where("kind = 1").select("unit", "tree", "key").collect()}
+    filled = sorted(unit >> 1 for unit in ends if unit & 1)
+    across = [n for p, q in zip(filled, filled[1:]) if ends[2 * p + 1] == ends[2 * q] for n in (4 * p + 2, 4 * q + 1)]
+    cut = walked.where((F.col("kind") == 2) & ((F.col("unit") % 4 == 0) | F.col("unit").isin(across))).select(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("u"), F.col("rep").alias("v")).distinct()
+    signed = walked.where("kind = 0").select("unit", "rep").join(reps.select("rep", "signature"), "rep").select("unit", "rep", "signature")
+    similar = signed.repartition(partitions(spark), "unit").sortWithinPartitions("unit", "rep").mapInArrow(_similar, _CANDIDATE)
+    return saved(similar.unionByName(cut), small=True)
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
@@ -303,8 +325,8 @@ def _confirm(percent: int):
 _PLACES = "array<struct<region:bigint,chunks:int,chunk:int>>"
 
 
-def _sets(size: int):
-    """(rep, places, shingles) of the texts whose set has the hash that its class has."""
+def _sets(size: int, carried: str):
+    """(rep, ``carried`` column, shingles) of the texts whose set has the hash that its class has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,33 +337,41 @@ def _sets(size: int):
                 sums = set_hashes(flat, bounds[:-1][full]) if len(full) else ()
                 own = [i for i, s in zip(full, sums) if s.tobytes() == hashes[a + i]]
                 at = pa.array([a + i for i in own], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(3).take(at), pa.array([flat[bounds[i] : bounds[i + 1]].tobytes() for i in own], pa.binary())], names=["rep", "places", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(3).take(at), pa.array([flat[bounds[i] : bounds[i + 1]].tobytes() for i in own], pa.binary())], names=["rep", carried, "shingles"])
 
     return run
 
 
 def _places(found: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, set_hash, places) of the rows to compare: which chunk of which region or, in large regions, of which units."""
+    """(rep, set_hash, places, large) of the rows to compare: which chunk of which region or, in large regions, of which units."""
     region = connected_components(found.where("kind = 0").select("u", "v")).select(F.col("node").alias("rep"), F.col("component").alias("region"))
     member = saved(region.join(reps.select("rep", "set_hash", "n_shingles"), "rep"), small=True)
     sizes = saved(member.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("shingles")), small=True)
     large = sizes.where(F.col("size") > REGION).select("region")
-    member = member.join(sizes.where(F.col("size") <= REGION), "region").unionByName(_by_units(found, member, large))
+    member = member.join(sizes.where(F.col("size") <= REGION), "region").withColumn("large", F.lit(False)).unionByName(_by_units(found, member, large).withColumn("large", F.lit(True)))
     chunks = F.greatest(F.least(F.ceil(F.col("size") / TILE), F.lit(TILES_A_SIDE)), F.ceil(F.col("shingles") / SIDE_SHINGLES), F.lit(1)).cast("int")
     placed = member.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    return placed.groupBy("rep", "set_hash").agg(F.collect_list(F.struct("region", "chunks", "chunk")).alias("places"))  # a region, or a unit of each tree at most
+    return placed.groupBy("rep", "set_hash").agg(F.collect_list(F.struct("region", "chunks", "chunk")).alias("places"), F.max("large").alias("large"))  # a region, or a unit of each tree at most
 
 
 def _by_units(found: DataFrame, member: DataFrame, large: DataFrame) -> DataFrame:
-    """Rows like ``member``'s with sizes, of large regions: their units stand for regions, by negative numbers."""
+    """Rows like ``member``'s with sizes, of large regions: their units stand for regions, by negative numbers. What units do not compare, ``_rest`` does."""
     if large.isEmpty():
         return member.where("false").select("region", "rep", "set_hash", "n_shingles", F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("shingles"))
     unit = found.where("kind = 1").select(F.col("u").alias("unit"), F.col("v").alias("rep")).distinct()
     rows = saved(unit.join(member.join(F.broadcast(large), "region", "left_semi").drop("region"), "rep"), small=True)  # fewer large regions than a REGION-th of the rows
-    # numbers of their own: units are even or odd by the sign of their numbers
-    number = F.when(F.col("unit") >= 0, -2 * F.col("unit") - 1).otherwise(2 * F.col("unit"))
     totals = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("shingles"))
-    return rows.join(totals, "unit").select(number.alias("region"), "rep", "set_hash", "n_shingles", "size", "shingles")
+    return rows.join(totals, "unit").select((-1 - F.col("unit")).alias("region"), "rep", "set_hash", "n_shingles", "size", "shingles")
+
+
+def _rest(texts: DataFrame, found: DataFrame, places: DataFrame, reps: DataFrame, components: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """All links that are left between components of rows whose runs were cut or whose regions were compared by units; None if there are no such rows."""
+    rows = saved(found.where("kind = 2").select(F.col("v").alias("rep")).unionByName(places.where("large").select("rep")).distinct(), small=True)
+    if rows.isEmpty():
+        return None
+    rows = rows.join(reps.select("rep", "set_hash"), "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("component"))
+    sets = texts.join(rows, "doc_id").select("text", "set_hash", F.col("doc_id").alias("rep"), "component").mapInArrow(_sets(words, "component"), "rep long, component long, shingles binary")
+    return links_between(saved(sets.dropDuplicates(["rep"])), percent)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", key: bool = False) -> DataFrame:
@@ -363,15 +393,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     classes = saved(usable.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), small=True)
     reps = usable.join(classes.withColumnRenamed("rep", "doc_id"), ["set_hash", "doc_id"]).dropDuplicates(["set_hash"])  # rows alike have signatures alike
     reps = saved(reps.select(F.col("doc_id").alias("rep"), "set_hash", "n_shingles", "signature"), small=True)
-    places = _places(candidates(reps), reps)
-    sets = texts.join(places.withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "set_hash", F.col("doc_id").alias("rep"), "places").mapInArrow(_sets(words), f"rep long, places {_PLACES}, shingles binary")
+    found = candidates(reps)
+    places = saved(_places(found, reps), small=True)
+    sets = texts.join(places.withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "set_hash", F.col("doc_id").alias("rep"), "places").mapInArrow(_sets(words, "places"), f"rep long, places {_PLACES}, shingles binary")
     sets = sets.select("rep", "shingles", F.inline("places"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     tiles = sets.select("*", other).select("region", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "rep", "shingles")
     tiles = tiles.repartition(partitions(spark), "region", "a", "b").sortWithinPartitions("region", "a", "b")
     links = saved(tiles.mapInArrow(_confirm(percent), LINK), small=True)
-    components = connected_components(links).withColumnRenamed("node", "rep")
-    named = saved(classes.join(saved(components, small=True), "rep", "left").select("set_hash", "rep", F.coalesce("component", "rep").alias("component_id")), small=True)
+    components = saved(connected_components(links), small=True)
+    rest = _rest(texts, found, places, reps, components, words, percent)
+    if rest is not None:
+        components = saved(connected_components(links.unionByName(rest)), small=True)
+    named = saved(classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", "rep", F.coalesce("component", "rep").alias("component_id")), small=True)
     # rows without a set or an id need no class, so that nulls are no key of the join
     has = F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull()
     with_class = signed.where(has).select("doc_id", "text_key", "n_shingles", "set_hash").join(named, "set_hash").select("doc_id", "text_key", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), F.col("rep").alias("class_id"))

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from quillon.llm import graph, neardup
+from quillon.llm import graph, neardup, setjoin
 from quillon.llm.common import Words, shingles
 
 _WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -200,3 +200,50 @@ def test_large_regions_by_units(spark, monkeypatch):
     monkeypatch.setattr(neardup, "REGION", 50)
     rows = near_copies(200) + [(1000 + i, " ".join(f"u{i}_{j}" for j in range(40))) for i in range(30)]
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 2)
+
+
+def test_links_that_units_cut_are_found(spark, monkeypatch):
+    """A region compared by units in which any two texts are nearly similar (0.76): runs are cut at random, yet every link is found."""
+    n, pairs = 2500, 400
+    monkeypatch.setattr(neardup, "REGION", 500)
+    rows = boilerplate(n, pairs, 104, 16)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, 2).collect()}
+    sets = sets_of(rows, 2)
+    assert all(100 * len(sets[i] & sets[n + i]) >= 80 * len(sets[i] | sets[n + i]) for i in range(pairs))
+    assert [i for i in range(pairs) if got[n + i] != i] == []
+    assert all(got[i] == i for i in range(n))
+
+
+def test_runs_cut_without_a_large_region(spark):
+    """Texts too far apart (0.55) to make a region, in runs that are cut: their links are found too, and sizes do not matter."""
+    n, pairs = 3000, 300
+    rows = boilerplate(n, pairs, 80, 32)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, 2).collect()}
+    assert got == {**{i: i for i in range(n)}, **{n + i: i for i in range(pairs)}}
+
+
+@pytest.mark.parametrize("side", [setjoin.SIDE, 40])
+def test_links_between_components(spark, monkeypatch, side):
+    """All links between sets of different components, as by brute force, also where shingles are dealt to tiles."""
+    monkeypatch.setattr(setjoin, "SIDE", side)
+    rng = np.random.default_rng(6)
+    universe = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    sets = []
+    for i in range(240):
+        base = universe[rng.choice(400, int(rng.integers(1, 60)), replace=False)] if i % 2 == 0 else np.union1d(sets[-1][: max(1, len(sets[-1]) - int(rng.integers(0, 8)))], universe[rng.choice(400, int(rng.integers(1, 5)))])
+        sets.append(np.unique(base))
+    component = [i // 7 for i in range(len(sets))]
+    alike = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if component[i] != component[j] and alike(sets[i], sets[j])}
+    levels = np.full(1 << 12, 64, np.uint8)
+    entries = setjoin.prefixes(np.arange(len(sets)), np.array(component), [s.tobytes() for s in sets], 80, levels)
+    assert len(want) > 5 and want <= {(int(u), int(v)) for found in setjoin.pairs(entries, 80) for u, v in found}
+    df = spark.createDataFrame([(i, component[i], s.tobytes()) for i, s in enumerate(sets)], "rep long, component long, shingles binary").repartition(5)
+    forest, brute = graph.Forest(), graph.Forest()
+    for r in setjoin.links_between(df, 80).collect():
+        forest.union(r["u"], r["v"])
+    for u, v in want:
+        brute.union(u, v)
+    assert {x: forest.find(x) for x in brute.parent} == {x: brute.find(x) for x in brute.parent} and {forest.find(x) for x in forest.parent} == {brute.find(x) for x in brute.parent}
