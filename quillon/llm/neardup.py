@@ -371,7 +371,8 @@ def _rest(texts: DataFrame, found: DataFrame, places: DataFrame, reps: DataFrame
         return None
     rows = rows.join(reps.select("rep", "set_hash"), "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("component"))
     sets = texts.join(rows, "doc_id").select("text", "set_hash", F.col("doc_id").alias("rep"), "component").mapInArrow(_sets(words, "component"), "rep long, component long, shingles binary")
-    return links_between(saved(sets.dropDuplicates(["rep"])), percent)
+    files = max(8, partitions(texts.sparkSession) // 4)  # each file costs memory beside the JVM
+    return links_between(saved(sets.dropDuplicates(["rep"]).coalesce(files)), percent)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", key: bool = False) -> DataFrame:

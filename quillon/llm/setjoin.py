@@ -4,8 +4,8 @@ Sets of similarity ``percent`` / 100 or more share one of the first
 n - ceil(percent * n / 100) + 1 shingles of each, whatever the order, if it is
 the same for all. The order here is by number of occurrences, counted in
 ``cells`` by hash, so that what few sets hold comes first. Sets that share such a
-shingle, are alike enough in size and in the parities of their shingles, and
-are of different components are compared in full. Nothing is sampled or capped:
+shingle, are alike enough in size, in how many shingles follow and in the
+parities of all, and are of different components are compared in full. Nothing is sampled or capped:
 a shingle that many sets begin with is dealt to tiles.
 """
 
@@ -21,10 +21,10 @@ from quillon.llm.common import binary_rows, mix64, partitions, saved
 from quillon.llm.graph import LINK, Forest
 
 #: Least and most cells of the counts; cells of a row; steps of a level to each doubling.
-FEW_CELLS, MANY_CELLS, CELLS_A_ROW, STEPS = 1 << 12, 1 << 22, 1 << 16, 8
+FEW_CELLS, MANY_CELLS, CELLS_A_ROW, STEPS = 1 << 12, 1 << 21, 1 << 16, 8
 #: Entries of a bucket on average; entries of a tile's side; entries and pairs held at once; shingles of a block.
 BUCKET, SIDE, HELD, BLOCK_SHINGLES = 1 << 17, 1 << 14, 1 << 18, 1 << 21
-_ENTRY = np.dtype([("key", "<u8"), ("rep", "<i8"), ("component", "<i8"), ("n", "<i8"), ("even", "<u8"), ("odd", "<u8")])
+_ENTRY = np.dtype([("key", "<u8"), ("rep", "<i8"), ("component", "<i8"), ("n", "<i4"), ("left", "<i4"), ("even", "<u8"), ("odd", "<u8")])
 
 
 def _flat(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -37,10 +37,23 @@ def _levels(sets: DataFrame, cells: int) -> np.ndarray:
     rows = max(1, cells // CELLS_A_ROW)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
+        total, held, size = np.zeros(cells, np.int64), [], 0
+
+        def cell_counts() -> np.ndarray:
+            nonlocal size
+            flat, _ = _flat(held)
+            held.clear()
+            size = 0
+            return np.bincount((flat & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+
         for batch in batches:
-            flat, _ = _flat(batch.column(0).to_pylist())
-            total += np.bincount((flat & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+            for blob in batch.column(0).to_pylist():
+                held.append(blob)
+                size += len(blob) // 8
+                if size >= HELD:
+                    total += cell_counts()
+        if held:
+            total += cell_counts()
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows, dtype=np.int32)), binary_rows(total.reshape(rows, -1))], names=["part", "counts"])
 
@@ -73,9 +86,10 @@ def prefixes(reps: np.ndarray, components: np.ndarray, blobs: list[bytes], perce
     order = np.lexsort((flat, level, owner))
     flat, level = flat[order], level[order]
     most = n + (-percent * n) // 100 + 1
-    at = np.flatnonzero((np.arange(len(flat)) - starts[owner] < most[owner]) & (level > 0))
+    place = np.arange(len(flat)) - starts[owner]
+    at = np.flatnonzero((place < most[owner]) & (level > 0))
     sides = np.ceil(2.0 ** (level[at] / STEPS) / SIDE).astype(np.int64)
-    key, of = flat[at], owner[at]
+    key, of, place = flat[at], owner[at], place[at]
     wide = np.flatnonzero(sides > 1)
     if len(wide):  # each set to the tiles of its side with every other
         copies = sides[wide]
@@ -86,9 +100,10 @@ def prefixes(reps: np.ndarray, components: np.ndarray, blobs: list[bytes], perce
             tile = np.minimum(own, other) * np.repeat(copies, copies) + np.maximum(own, other)
             dealt = mix64(first + (tile.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
         narrow = np.flatnonzero(sides <= 1)
-        key, of = np.concatenate((key[narrow], dealt)), np.concatenate((of[narrow], np.repeat(of[wide], copies)))
+        again = np.concatenate((narrow, np.repeat(wide, copies)))
+        key, of, place = np.concatenate((key[narrow], dealt)), of[again], place[again]
     out = np.empty(len(key), _ENTRY)
-    out["key"], out["rep"], out["component"], out["n"], out["even"], out["odd"] = key, reps[of], components[of], n[of], even[of], odd[of]
+    out["key"], out["rep"], out["component"], out["n"], out["left"], out["even"], out["odd"] = key, reps[of], components[of], n[of], n[of] - place, even[of], odd[of]
     return out
 
 
@@ -110,9 +125,12 @@ def _deal(percent: int, levels: np.ndarray, buckets: int):
 
         for batch in batches:
             reps, components, blobs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            for lo in range(0, len(reps), 1024):
-                held.append(prefixes(reps[lo : lo + 1024], components[lo : lo + 1024], blobs[lo : lo + 1024], percent, levels))
-                size += len(held[-1])
+            group = np.cumsum([len(b) // 8 for b in blobs]) // HELD  # sets of about HELD shingles together
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(blobs)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo < hi:
+                    held.append(prefixes(reps[lo:hi], components[lo:hi], blobs[lo:hi], percent, levels))
+                    size += len(held[-1])
                 if size >= HELD:
                     yield out()
         if size:
@@ -124,23 +142,29 @@ def _deal(percent: int, levels: np.ndarray, buckets: int):
 def pairs(entries: np.ndarray, percent: int) -> Iterator[np.ndarray]:
     """Rows (u, v), u < v, that may be similar: of one key and different components, a bounded number at once."""
     e = entries[np.lexsort((entries["component"], entries["key"]))]
+    # a set in whose order too little follows for the key's smallest set has an earlier key in common with what is similar
+    begins = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1])))
+    least = np.repeat(np.minimum.reduceat(e["n"], begins), np.diff(np.append(begins, len(e)))).astype(np.int64)
+    e = e[e["left"].astype(np.int64) * (100 + percent) >= percent * (e["n"] + least)]
+    if not len(e):
+        return
     fresh = np.concatenate(([True], e["key"][1:] != e["key"][:-1], [True]))
     end = np.flatnonzero(fresh)[np.cumsum(fresh[:-1])]
     fresh[1:-1] |= e["component"][1:] != e["component"][:-1]
     other = np.flatnonzero(fresh)[np.cumsum(fresh[:-1])]
     at = np.flatnonzero(other < end)
-    now, end, e = other[at], end[at], {name: np.ascontiguousarray(e[name]) for name in _ENTRY.names}
+    now, end, e = other[at], end[at], {name: e[name].astype(np.int64) if name in ("n", "left") else np.ascontiguousarray(e[name]) for name in _ENTRY.names}
     held, size = [], 0
     while len(at):
         both = e["n"][at] + e["n"][now]
         need = -((-percent * both) // (100 + percent))
         apart = np.bitwise_count(e["even"][at] ^ e["even"][now]).astype(np.int64) + np.bitwise_count(e["odd"][at] ^ e["odd"][now])
-        ok = np.flatnonzero((np.minimum(e["n"][at], e["n"][now]) >= need) & (apart <= both - 2 * need))
+        ok = np.flatnonzero((np.minimum(e["left"][at], e["left"][now]) >= need) & (apart <= both - 2 * need))
         if len(ok):
             a, b = e["rep"][at[ok]], e["rep"][now[ok]]
             held.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
             size += len(ok)
-            if size >= 4 * HELD:
+            if size >= HELD:
                 yield np.unique(np.concatenate(held), axis=0)
                 held, size = [], 0
         more = now + 1 < end

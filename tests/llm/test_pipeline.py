@@ -4,6 +4,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from quillon.llm import neardup
 from quillon.llm.langid import has_letter
 from quillon.llm.personal import base_spans
 from tests.llm.test_neardup import components, sets_of
@@ -66,3 +67,18 @@ def test_nothing_to_learn_drops_nothing_with_letters(spark, docs):
     bare = docs.withColumn("lang", F.lit(None).cast("string"))
     kept = {r["doc_id"] for r in corpus_pipeline.language(spark, bare, "").collect()}
     assert kept and kept == {r["doc_id"] for r in docs.collect() if has_letter(r["text"])}
+
+
+def test_near_duplicates_do_not_depend_on_the_size_of_regions(spark, monkeypatch):
+    """Texts that are nearly similar to all others (0.76), some with one copy (0.84): what is kept is the same in regions above and below the bound."""
+    n, pairs, own = 2500, 400, 16
+    rows = [[f"c{j}" for j in range(104)] + [f"d{i}_{j}" for j in range(own)] for i in range(n)]
+    for i in range(pairs):  # two words that five shingles hold each
+        words = list(rows[i])
+        words[-11], words[-5] = f"e{i}", f"f{i}"
+        rows.append(words)
+    df = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(6)
+    for bound in (1 << 14, 500):
+        monkeypatch.setattr(neardup, "REGION", bound)
+        kept = [r["doc_id"] for r in corpus_pipeline.near_duplicate(spark, df, "").collect()]
+        assert sorted(kept) == list(range(n))
